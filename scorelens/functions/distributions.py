@@ -11,6 +11,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 EXACT_WILCOXON_ROWS = 50
@@ -158,34 +159,34 @@ def _mapped(function, *columns: pd.Series) -> pd.Series:
     return pd.Series([function(*row) for row in zip(*columns)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     """Inverse standard normal distribution function."""
     return p.map(_NORMAL.inv_cdf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def student_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p-value of a t statistic; missing statistics stay missing."""
     return _mapped(lambda a, b: student_two_sided(a, b) if a == a and b == b and b > 0 else float("nan"), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_two_sided(n: pd.Series, w_plus: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
     return _mapped(lambda *r: wilcoxon_p(int(r[0]), r[1], r[2], int(r[3]), "two-sided"), n, w_plus, ties, zeros)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def wilcoxon_greater(n: pd.Series, w_plus: pd.Series, ties: pd.Series, zeros: pd.Series) -> pd.Series:
     return _mapped(lambda *r: wilcoxon_p(int(r[0]), r[1], r[2], int(r[3]), "greater"), n, w_plus, ties, zeros)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def mann_whitney_p(n1: pd.Series, n2: pd.Series, u: pd.Series, ties: pd.Series) -> pd.Series:
     return _mapped(lambda *r: mann_whitney_greater(int(r[0]), int(r[1]), r[2], r[3]), n1, n2, u, ties)
 
 
-@F.pandas_udf("struct<w double, p double>")
+@F.pandas_udf(T.StructType([T.StructField("w", T.DoubleType()), T.StructField("p", T.DoubleType())]))
 def shapiro_udf(
     n: pd.Series,
     m2: pd.Series,

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from scorelens.plans import selection_queries, source_queries, statistics_queries  # noqa: F401
+from scorelens.plans import (  # noqa: F401
+    evaluation_queries,
+    pairing_queries,
+    selection_queries,
+    source_queries,
+    statistics_queries,
+)
 from scorelens.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
