@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import count_if, rate, relative_change
@@ -27,6 +25,12 @@ def experiment_grid(
     )
 
 
+def grid_coverage(grid: DataFrame, samples: DataFrame) -> DataFrame:
+    """The grid with the number of samples present for each experiment, 0 for a missing one."""
+    counts = samples.groupBy("experiment").agg(F.count("*").alias("samples"))
+    return join_on(grid, counts, ["experiment"], "left").fillna(0, subset=["samples"])
+
+
 def with_improvement(samples: DataFrame, *, original: str = "original", detoxified: str = "detoxified") -> DataFrame:
     o, d = F.col(original), F.col(detoxified)
     return samples.withColumn("improvement", d - o).withColumn("relative_improvement", relative_change(o, d))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.labels import LABEL_ALIASES, TOXIC_LABELS
@@ -104,14 +104,40 @@ def heatmap(
     return matrix if fill is None else matrix.fillna(fill, subset=columns)
 
 
-def column_classes(spark: SparkSession, columns: list[str]) -> DataFrame:
-    """Number of columns per name class."""
-    rules = [("delta", r"^delta_"), ("score", r"_score$"), ("output", r"^output_"), ("full", r"^full_"),
-             ("prompt", r"^prompt")]
-    counts = {name: 0 for name, _ in rules} | {"other": 0}
-    for column in columns:
-        counts[next((name for name, rule in rules if re.search(rule, column)), "other")] += 1
-    return spark.createDataFrame(list(counts.items()), "class string, columns bigint")
+# fixed values: name classes of result columns, first match wins
+COLUMN_CLASSES = [
+    ("delta", r"^delta_"), ("score", r"_score$"), ("output", r"^output_"), ("full", r"^full_"), ("prompt", r"^prompt")
+]
+
+
+def column_class(column: str) -> str:
+    return next((name for name, rule in COLUMN_CLASSES if re.search(rule, column)), "other")
+
+
+def _per_column(df: DataFrame, columns: dict[str, tuple], names: list[str]) -> DataFrame:
+    """One row per column with its literal attributes and its number of non-NULL cells, from one aggregate."""
+    counts = df.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in columns])
+    entries = [
+        F.struct(
+            F.lit(c).alias("column"),
+            *[F.lit(v).alias(n) for v, n in zip(values, names)],
+            F.col(f"`{c}`").alias("cells"),
+        )
+        for c, values in columns.items()
+    ]
+    return counts.select(F.inline(F.array(*entries)))
+
+
+def column_classes(df: DataFrame) -> DataFrame:
+    """Number of columns and of non-NULL cells per name class."""
+    rows = _per_column(df, {c: (column_class(c),) for c in df.columns}, ["class"])
+    return rows.groupBy("class").agg(F.count("*").alias("columns"), F.sum("cells").alias("cells"))
+
+
+def discovered_columns(df: DataFrame, classifiers: list[str]) -> DataFrame:
+    """Score columns found by name, with their parts and their number of non-NULL cells."""
+    names = ["text_type", "model", "classifier", "label"]
+    return _per_column(df, {f["column"]: tuple(f[n] for n in names) for f in discover(df.columns, classifiers)}, names)
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

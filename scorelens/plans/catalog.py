@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from scorelens.plans import (  # noqa: F401
+    comparison_queries,
     evaluation_queries,
     pairing_queries,
     selection_queries,

@@ -119,13 +119,12 @@ def e1(spark, d):
     return tidy(reshape.union_models(frames))
 
 
-@query("e2_schema_discovery", with_tables("primary_scores", """SELECT DISTINCT CASE text_type WHEN 'prompt' THEN 'prompt_' || classifier || '_score'
+@query("e2_schema_discovery", with_tables("primary_scores", """SELECT CASE text_type WHEN 'prompt' THEN 'prompt_' || classifier || '_score'
   WHEN 'output' THEN 'output_' || model || '_' || classifier || '_score' ELSE 'full_' || model || '_' || classifier || '_score' END AS "column",
-  text_type, CASE text_type WHEN 'prompt' THEN 'prompt' ELSE model END AS model, classifier, '' AS label FROM primary_scores"""))
+  text_type, CASE text_type WHEN 'prompt' THEN 'prompt' ELSE model END AS model, classifier, '' AS label, count(score) AS cells FROM primary_scores
+  WHERE text_type <> 'prompt' OR model = 'base' GROUP BY ALL"""))
 def e2(spark, d):
-    found = reshape.discover(wide_scores(spark, d).columns, sc.CLASSIFIERS)
-    rows = [(f["column"], f["text_type"], f["model"], f["classifier"], f["label"]) for f in found]
-    return spark.createDataFrame(rows, "column string, text_type string, model string, classifier string, label string")
+    return reshape.discovered_columns(wide_scores(spark, d), sc.CLASSIFIERS)
 
 
 @query("e3_wide_to_long", with_tables("primary_scores", rounded("prompt_id model text_type classifier label", "score", """
@@ -167,9 +166,10 @@ def e7(spark, d):
     return tidy(reshape.heatmap(rows, "model", "classifier", sc.CLASSIFIERS, "delta"))
 
 
-@query("e8_column_classes")
+@query("e8_column_classes", with_tables("primary_scores", """SELECT 'score' AS class, 39::BIGINT AS columns, count(score) AS cells FROM primary_scores WHERE text_type <> 'prompt' OR model = 'base'
+  UNION ALL SELECT 'prompt', 1, count(*) FROM documents"""))
 def e8(spark, d):
-    return reshape.column_classes(spark, wide_scores(spark, d).columns)
+    return reshape.column_classes(wide_scores(spark, d))
 
 
 @query("e9_missing_profile", with_tables("prompts", " UNION ALL ".join(
