@@ -1,20 +1,82 @@
-"""Exact percentiles of huge groups in two passes and no full shuffle.
+"""Exact percentiles of huge groups without a full shuffle or a task that holds a group.
 
-Pass one computes the wanted aggregates and a quantile sketch per group. The sketch error is bounded, so each
-percentile is enclosed in a narrow bracket of values. Pass two counts the rows between brackets and keeps only
-the distinct values inside them, which is a small fraction of the group; the order statistics are read off there.
+A coarse quantile sketch encloses each percentile of a group in a bracket of values. The brackets cut the value
+line into ordered segments; counting rows per segment shows where the wanted order statistics lie. While a
+bracket still holds many rows, a counting pass over a grid inside the brackets narrows it; then only the distinct
+values inside the brackets are kept, which is at most ``keep_rows`` values per percentile, and the order
+statistics are read off there. Every pass is an aggregate that combines map-side.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.storage import join_on, materialize
 
-ACCURACY = 20_000
+ACCURACY = 1_000
+GRID = 4_096
+KEEP_ROWS = 1_000_000
+
+
+def _segment(count: int) -> tuple[Column, Column]:
+    """Ordered segment number of a value and whether it lies inside a bracket.
+
+    Both ends of the brackets do not decrease, so the first bracket that ends at or after the value is the only
+    one that can be the first to hold it.
+    """
+    v = F.col("_v")
+    passed = sum((F.when(F.col(f"_hi{i}") < v, 1).otherwise(0) for i in range(count)), F.lit(0))
+    inside = F.coalesce(
+        *[F.when(F.col(f"_hi{i}") >= v, F.col(f"_lo{i}") <= v) for i in range(count)], F.lit(False)
+    )
+    return 2 * passed + inside.cast("int"), inside
+
+
+def _targets(fractions: list[float]) -> list[tuple[Column, Column]]:
+    """0-based positions of the two order statistics around each percentile."""
+    last = F.col("_n") - 1
+    lower = [F.floor(F.lit(f) * last) for f in fractions]
+    return [(k, F.least(k + 1, last)) for k in lower]
+
+
+def _at(position: Column, value: str, condition: Column | None = None) -> Column:
+    hit = (F.col("_before") <= position) & (position < F.col("_before") + F.col("_c"))
+    return F.max(F.when(hit if condition is None else hit & condition, F.col(value)))
+
+
+def _counted_before(counted: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
+    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counted.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
+
+
+def _narrow(rows: DataFrame, brackets: DataFrame, groups: list[str], fractions: list[float], grid: int) -> DataFrame:
+    """Brackets around the same order statistics, narrower by up to the grid size, with their number of rows."""
+    count = len(fractions)
+    joined = join_on(rows, brackets, groups)
+    segment, inside = _segment(count)
+    cell = F.lit(0)
+    for i in reversed(range(count)):
+        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
+        share = F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0)
+        here = F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(share * grid).cast("int")))
+        cell = F.when(high >= F.col("_v"), here).otherwise(cell)
+    # the least and greatest value of a cell are values of the data, so no edge is lost to rounding
+    counted = (
+        joined.select(*groups, "_n", "_v", segment.alias("_segment"), F.when(inside, cell).otherwise(0).alias("_cell"))
+        .groupBy(*groups, "_segment", "_cell")
+        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
+    )
+    placed = _counted_before(counted, groups, ["_segment", "_cell"])
+    placed = placed.withColumn("_through", F.col("_before") + F.col("_c"))
+    picks = []
+    for i, (k, after) in enumerate(_targets(fractions)):
+        picks += [
+            _at(k, "_a").alias(f"_lo{i}"),
+            _at(after, "_z").alias(f"_hi{i}"),
+            (_at(after, "_through") - _at(k, "_before")).alias(f"_rows{i}"),
+        ]
+    return placed.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
 
 
 def profile(
@@ -25,68 +87,75 @@ def profile(
     percentiles: dict[str, float],
     *,
     accuracy: int = ACCURACY,
+    keep_rows: int = KEEP_ROWS,
+    grid: int = GRID,
 ) -> DataFrame:
-    """Per-group ``aggregates`` plus exact linear-interpolated ``percentiles`` ``{name: fraction}`` of ``value``."""
+    """Per-group ``aggregates`` plus exact linear-interpolated ``percentiles`` ``{name: fraction}`` of ``value``.
+
+    NULL and NaN values do not count. The table is read twice; groups of more than about
+    ``keep_rows * accuracy / 8`` rows take one more pass per factor ``grid``.
+    """
     if not percentiles:
         return df.groupBy(*by).agg(*aggregates)
     groups = by
     if not by:
         df, groups = df.withColumn("_all", F.lit(0)), ["_all"]
     fractions = sorted(set(percentiles.values()))
-    margin = 4.0 / accuracy
-    wanted = [max(f - margin, 0.0) for f in fractions] + [min(f + margin, 1.0) for f in fractions]
-    clean = F.when(~F.isnan(value), F.col(value))
-    sketch = df.groupBy(*groups).agg(
-        *aggregates,
-        F.count(clean).alias("_n"),
-        F.percentile_approx(clean, wanted, accuracy).alias("_cut"),
-    )
-    sketch = materialize(sketch, "sketch")
     count = len(fractions)
-    lows, highs = [], []
-    for i, f in enumerate(fractions):
-        # a group no larger than the accuracy keeps all its values
-        small = F.col("_n") <= accuracy
-        low_open = small if f - margin > 0 else F.lit(True)
-        high_open = small if f + margin < 1 else F.lit(True)
-        lows.append(F.when(low_open, F.lit(float("-inf"))).otherwise(F.col("_cut")[i]))
-        highs.append(F.when(high_open, F.lit(float("inf"))).otherwise(F.col("_cut")[count + i]))
-    brackets = sketch.select(
-        *groups,
-        "_n",
-        *[c.alias(f"_lo{i}") for i, c in enumerate(lows)],
-        *[c.alias(f"_hi{i}") for i, c in enumerate(highs)],
-    )
-    rows = join_on(df.select(*groups, clean.alias("_v")).where(F.col("_v").isNotNull()), brackets, groups)
-    inside = reduce(
-        lambda a, b: a | b, [(F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}")) for i in range(count)]
-    )
-    below = F.greatest(
-        F.lit(float("-inf")), *[F.when(F.col(f"_hi{i}") < F.col("_v"), F.col(f"_hi{i}")) for i in range(count)]
+    margin = 4.0 / accuracy
+    ends = [max(f - margin, 0.0) for f in fractions] + [min(f + margin, 1.0) for f in fractions]
+    clean = F.when(~F.isnan(value), F.col(value).cast("double"))
+    sketch = materialize(
+        df.groupBy(*groups).agg(
+            *aggregates,
+            F.count(clean).alias("_n"),
+            F.min(clean).alias("_min"),
+            F.max(clean).alias("_max"),
+            F.percentile_approx(clean, ends, accuracy).alias("_cut"),
+        ),
+        "sketch",
     )
+    # a small group keeps all its values
+    small = F.col("_n") <= accuracy
+    lows = [
+        F.when(small if f > margin else F.lit(True), F.col("_min")).otherwise(F.col("_cut")[i]).alias(f"_lo{i}")
+        for i, f in enumerate(fractions)
+    ]
+    highs = [
+        F.when(small if f + margin < 1 else F.lit(True), F.col("_max")).otherwise(F.col("_cut")[count + i]).alias(f"_hi{i}")
+        for i, f in enumerate(fractions)
+    ]
+    brackets = sketch.where("_n > 0").select(*groups, "_n", *lows, *highs)
+    rows = df.select(*groups, clean.alias("_v")).where(F.col("_v").isNotNull())
+
+    largest = sketch.agg(F.max("_n")).first()[0] or 0
+    held = largest if largest <= accuracy else largest * 2 * margin
+    previous, measured = float("inf"), False
+    # brackets that stop shrinking hold repeated values, which are few however many rows they have
+    while held > keep_rows and held < previous:
+        narrowed = materialize(_narrow(rows, brackets, groups, fractions, grid), "brackets")
+        now = narrowed.agg(*[F.max(f"_rows{i}") for i in range(count)]).first()
+        brackets = narrowed.drop(*[f"_rows{i}" for i in range(count)])
+        previous = held if measured else float("inf")
+        held, measured = max(now), True
+
+    joined = join_on(rows, brackets, groups)
+    segment, inside = _segment(count)
     counted = (
-        rows.select(*groups, "_n", F.when(inside, F.col("_v")).otherwise(below).alias("_rep"), (~inside).alias("_gap"))
-        .groupBy(*groups, "_rep", "_gap")
+        joined.select(*groups, "_n", segment.alias("_segment"), F.when(inside, F.col("_v")).alias("_rep"))
+        .groupBy(*groups, "_segment", "_rep")
         .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     )
-    earlier = Window.partitionBy(*groups).orderBy("_rep", "_gap").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counted.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-
-    def order_statistic(index: Column) -> Column:
-        hit = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_c")) & ~F.col("_gap")
-        return F.max(F.when(hit, F.col("_rep")))
-
-    last = F.col("_n") - 1
+    placed = _counted_before(counted, groups, ["_segment", "_rep"])
     picks = []
-    for i, f in enumerate(fractions):
-        k = F.floor(F.lit(f) * last)
-        picks += [order_statistic(k).alias(f"_a{i}"), order_statistic(F.least(k + 1, last)).alias(f"_b{i}")]
+    for i, (k, after) in enumerate(_targets(fractions)):
+        picks += [_at(k, "_rep").alias(f"_a{i}"), _at(after, "_rep").alias(f"_b{i}")]
     picked = placed.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
     outputs = []
     for name, f in percentiles.items():
         i = fractions.index(f)
         low, high = F.col(f"_a{i}"), F.col(f"_b{i}")
-        rest = F.lit(f) * last - F.floor(F.lit(f) * last)
+        rest = F.lit(f) * (F.col("_n") - 1) - F.floor(F.lit(f) * (F.col("_n") - 1))
         outputs.append(
             F.when(low.isNull() | high.isNull(), F.raise_error(F.lit("percentile outside its bracket")))
             .otherwise(low + (high - low) * rest)
@@ -94,7 +163,7 @@ def profile(
             .alias(name)
         )
     found = picked.select(*groups, *outputs)
-    return join_on(sketch.drop("_n", "_cut"), found, groups, "left").drop("_all")
+    return join_on(sketch.drop("_n", "_min", "_max", "_cut"), found, groups, "left").drop("_all")
 
 
 def exact_percentiles(df: DataFrame, by: list[str], value: str, percentiles: dict[str, float], **options) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.text import text_variants
+from scorelens.operators.ranks import join_hot_values
 from scorelens.storage import materialize
 
 SAFE_FALLBACK = {"safe": 1.0, "unsafe": 0.0}
@@ -121,49 +122,59 @@ def _scored(df: DataFrame, text_col: str, scorers: list[Scorer]) -> DataFrame:
     return out
 
 
-def score_texts(df: DataFrame, text_col: str, scorers: list[str], *, dedupe: bool = True) -> DataFrame:
+def _result_rows(table: DataFrame, columns: list[str], chosen: list[Scorer]) -> DataFrame:
+    entries = [
+        F.struct(
+            F.lit(s.name).alias("classifier"),
+            F.col(f"_result_{s.name}.labels").alias("labels"),
+            F.col(f"_result_{s.name}.failed").alias("failed"),
+        )
+        for s in chosen
+    ]
+    return table.select(*columns, F.inline(F.array(*entries)))
+
+
+def score_texts(df: DataFrame, text_col: str, scorers: list[str], *, dedupe: bool | None = None) -> DataFrame:
     """(row, classifier, labels, failed) for every text and scorer.
 
-    With ``dedupe`` each distinct text is scored once: texts are grouped first (combined map-side, so copies
-    meet in one row), the scored texts are written once, and rows pick their scores up by a text hash and the text.
+    Native scorers alone are a projection without a shuffle. With a batch scorer (or ``dedupe``) each distinct
+    text is scored once: texts are grouped by content, combining map-side so that copies meet in one row, and the
+    results are written once under the SHA-256 of the text. Rows pick them up by that digest, so texts move once
+    and a text with very many copies is joined by broadcast. A NULL text gets no row.
     """
     chosen = [_SCORERS[name] for name in scorers]
+    if dedupe is None:
+        dedupe = any(s.column is None for s in chosen)
+    present = df.where(F.col(text_col).isNotNull())
+    if not dedupe:
+        return _result_rows(_scored(present, text_col, chosen), df.columns, chosen)
+    keyed = present.withColumn("_digest", F.sha2(text_col, 256))
+    texts = keyed.groupBy("_digest", text_col).agg(F.count("*").alias("n"))
+    results = [f"_result_{s.name}" for s in chosen]
+    scored = materialize(_scored(texts, text_col, chosen).select("_digest", "n", F.struct(*results).alias("_results")), "scored")
+    joined = join_hot_values(keyed, scored, ["_digest"], "_results")
+    return _result_rows(joined.select(*df.columns, "_results.*"), df.columns, chosen)
 
-    def rows(table: DataFrame, columns: list[str]) -> DataFrame:
-        entries = F.array(
-            *[
-                F.struct(
-                    F.lit(s.name).alias("classifier"),
-                    F.col(f"_result_{s.name}.labels").alias("labels"),
-                    F.col(f"_result_{s.name}.failed").alias("failed"),
-                )
-                for s in chosen
-            ]
-        )
-        return table.select(*columns, F.inline(entries))
 
-    if not dedupe:
-        return rows(_scored(df, text_col, chosen), df.columns)
-    texts = df.select(text_col).where(F.col(text_col).isNotNull()).distinct()
-    scored = materialize(
-        _scored(texts, text_col, chosen).withColumn("_hash", F.xxhash64(text_col)), "scored"
-    )
-    keyed = df.withColumn("_hash", F.xxhash64(text_col))
-    joined = keyed.join(scored.withColumnRenamed(text_col, "_text"),
-                        (keyed["_hash"] == scored["_hash"]) & (F.col(text_col) == F.col("_text")))
-    return rows(joined.drop("_hash", "_text"), df.columns)
+VARIANTS = ["prompt_only", "prompt_original", "prompt_detoxified", "original_output", "detoxified_output"]
 
 
-def score_variants(pairs: DataFrame, scorer_name: str, *, key: str = "sample_id", dedupe: bool = True) -> DataFrame:
-    """Primary score of the five text variants of each pair, one column per variant, from one scoring pass."""
-    variants = ["prompt_only", "prompt_original", "prompt_detoxified", "original_output", "detoxified_output"]
-    long = pairs.select(
-        key, F.inline(text_variants(F.col("prompt"), F.col("original_output"), F.col("detoxified_output")))
-    )
+def score_variants(pairs: DataFrame, scorer_name: str, *, key: str = "sample_id", dedupe: bool | None = None) -> DataFrame:
+    """Primary score of the five text variants of each pair, one column per variant, from one scoring pass.
+
+    A native scorer is applied to the five texts side by side, without a shuffle.
+    """
     s = _SCORERS[scorer_name]
+    variants = text_variants(F.col("prompt"), F.col("original_output"), F.col("detoxified_output"))
+
+    def primary(labels: Column) -> Column:
+        return F.coalesce(F.try_element_at(labels, F.lit(s.primary_label)), F.lit(0.0))
+
+    if s.column is not None and not dedupe:
+        return pairs.select(key, *[primary(s.column(variants[i]["text"])).alias(v) for i, v in enumerate(VARIANTS)])
+    long = pairs.select(key, F.inline(variants))
     scored = score_texts(long, "text", [scorer_name], dedupe=dedupe)
-    score = F.coalesce(F.try_element_at("labels", F.lit(s.primary_label)), F.lit(0.0))
-    return scored.groupBy(key).pivot("variant", variants).agg(F.max(score))
+    return scored.groupBy(key).pivot("variant", VARIANTS).agg(F.max(primary(F.col("labels"))))
 
 
 def score_with_models(df: DataFrame, vector: str, heads: dict[str, list[float]]) -> DataFrame:
