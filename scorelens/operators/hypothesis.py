@@ -152,7 +152,7 @@ def cohens_d(paired: DataFrame, by: list[str], *, base: str = "base_value", valu
     )
 
 
-def test_table(
+def significance_table(
     paired: DataFrame, by: list[str], *, tests: tuple[str, ...] = ("wilcoxon",), confidence: float = 0.95,
     key: str = "prompt_id",
 ) -> DataFrame:

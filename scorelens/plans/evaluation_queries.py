@@ -88,7 +88,7 @@ def i7(spark, d):
 @query("i8_test_table")
 def i8(spark, d):
     rows = paired(spark, d, text_types=["output"])
-    return tidy(hypothesis.test_table(rows, MC, tests=("wilcoxon", "t_test", "mannwhitney")))
+    return tidy(hypothesis.significance_table(rows, MC, tests=("wilcoxon", "t_test", "mannwhitney")))
 
 
 _P = f"SELECT source, lang, avg({u(repr('pv'), 'doc_id')}) / 4 AS p_value FROM documents GROUP BY ALL"
