@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelens.functions import distributions as dist
 from scorelens.operators import ensemble, hypothesis, losses, metrics, ranks
 from scorelens.operators.pairing import split_by_hash
 from scorelens.plans import scenario as sc
@@ -25,9 +26,49 @@ def i1(spark, d):
     return tidy(hypothesis.t_statistic(out_deltas(spark, d), MC))
 
 
-@query("i1_t_test")
+# reward differences per model and language, shifted so that p-values of all sizes appear
+ML = ["model_id", "lang"]
+_SHIFTED = "SELECT model_id, lang, sample_id, original + 0.25 AS base_value, detoxified AS score, detoxified - (original + 0.25) AS delta FROM reward_pairs JOIN documents ON doc_id = sample_id"
+
+
+def shifted(spark, d):
+    langs = sc.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "lang")
+    return reward_pairs(spark, d).join(langs, "sample_id").select(
+        *ML, "sample_id", (F.col("original") + 0.25).alias("base_value"), F.col("detoxified").alias("score"),
+    ).withColumn("delta", F.col("score") - F.col("base_value"))
+
+
+def integral(density: str, end: str, steps: int = 4000) -> str:
+    """Simpson's rule from 0 to ``end`` for a density in x."""
+    f = density.replace("x", f"(i * {end} / {steps})")
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(list_sum(list_transform(range(0, {steps + 1}), lambda i: ({weight})::DOUBLE * ({f}))) * {end} / {3 * steps})"
+
+
+def normal_tail(z: str) -> str:
+    """Upper tail of the standard normal distribution."""
+    half = integral("0.3989422804014327 * pow(2.718281828459045, -0.5 * x * x)", f"least(abs({z}), 12.0)")
+    return f"CASE WHEN {z} >= 0 THEN 0.5 - {half} ELSE 0.5 + {half} END"
+
+
+def student_both_tails(t: str, df: str) -> str:
+    scale = f"exp(lgamma(({df} + 1) / 2.0) - lgamma({df} / 2.0)) / sqrt({df} * 3.141592653589793)"
+    return f"1 - 2 * {scale} * {integral(f'pow(1 + x * x / {df}, -({df} + 1) / 2.0)', f'abs({t})')}"
+
+
+_T = "SELECT model_id, lang, count(*) AS n, avg(delta) AS mean, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM shifted GROUP BY ALL"
+_T_TWO = f"SELECT *, greatest({student_both_tails('t', 'df')}, 0.0) AS p_value FROM (SELECT * REPLACE (t::DOUBLE AS t) FROM ({_T}))"
+_T_ONE = f"SELECT * REPLACE (CASE WHEN t > 0 THEN p_value / 2 ELSE 1 - p_value / 2 END AS p_value) FROM ({_T_TWO})"
+_FLAGS = "p_value < 0.01 AS significant_01, p_value < 0.05 AS significant_05"
+
+
+def on_shifted(body: str) -> str:
+    return with_tables("reward_pairs", f"WITH shifted AS ({_SHIFTED}) {body}")
+
+
+@query("i1_t_test", on_shifted(rounded("model_id lang n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_TWO})")))
 def i1_p(spark, d):
-    return tidy(hypothesis.t_test(out_deltas(spark, d), MC))
+    return tidy(hypothesis.t_test(shifted(spark, d), ML))
 
 
 _SIGNED = """SELECT model, classifier, sum((delta > 0)::INT * r) AS w_plus, sum((delta < 0)::INT * r) AS w_minus, count(*) AS n FROM (
@@ -44,24 +85,63 @@ def i2(spark, d):
     return tidy(hypothesis.wilcoxon_statistic(out_deltas(spark, d), MC))
 
 
-@query("i2_wilcoxon_test")
+_W = """SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie_term / 48.0) AS z FROM (
+  SELECT model_id, lang, sum((delta > 0)::INT * r) AS w_plus, sum((delta < 0)::INT * r) AS w_minus, count(*) AS n FROM (
+    SELECT *, rank() OVER (PARTITION BY model_id, lang ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY model_id, lang, abs(delta)) - 1) / 2.0 AS r
+    FROM shifted WHERE delta <> 0) GROUP BY ALL)
+  JOIN (SELECT model_id, lang, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, lang, count(*) AS t FROM shifted WHERE delta <> 0
+    GROUP BY model_id, lang, abs(delta)) GROUP BY ALL) USING (model_id, lang)
+  JOIN (SELECT model_id, lang, count(*) FILTER (delta = 0) AS zeros FROM shifted GROUP BY ALL) USING (model_id, lang)"""
+_W_TWO = f"SELECT * EXCLUDE (z), least(w_plus, w_minus) AS statistic, least(1.0, 2 * ({normal_tail('abs(z)')})) AS p_value FROM ({_W})"
+_W_ONE = f"SELECT * EXCLUDE (z), w_plus AS statistic, {normal_tail('z')} AS p_value FROM ({_W})"
+_W_KEYS, _W_NUMBERS = "model_id lang n zeros significant_01 significant_05", "w_plus w_minus tie_term statistic p_value"
+
+
+@query("i2_wilcoxon_test", on_shifted(rounded(_W_KEYS, _W_NUMBERS, f"SELECT *, {_FLAGS} FROM ({_W_TWO})")))
 def i2_p(spark, d):
-    return tidy(hypothesis.wilcoxon_test(out_deltas(spark, d), MC))
+    return tidy(hypothesis.wilcoxon_test(shifted(spark, d), ML))
+
+
+def _normal_scores(rounds: int = 8) -> str:
+    """(n, i, m): expected normal scores by Newton steps on the logarithm of the lower tail."""
+    rows = """SELECT n, i, least(q, 1 - q) AS p, CASE WHEN q < 0.5 THEN 1.0 ELSE -1.0 END AS sign FROM (
+      SELECT n, i, (i - 0.375) / (n + 0.25) AS q FROM (SELECT DISTINCT n FROM sizes) s, LATERAL (SELECT unnest(range(1, n + 1)) AS i))"""
+    step = f"SELECT *, ln(p / (1 - p)) / 1.702 AS z FROM ({rows})"
+    for _ in range(rounds):
+        step = f"SELECT * REPLACE (z - ln(tail / p) * tail / (0.3989422804014327 * exp(-0.5 * z * z)) AS z) EXCLUDE (tail) FROM (SELECT *, {normal_tail('abs(z)')} AS tail FROM ({step}))"
+    return f"SELECT n, i, sign * z AS m FROM ({step})"
+
+
+def _polynomial(coefficients: tuple, x: str) -> str:
+    return "(" + " + ".join(f"({c!r})::DOUBLE * pow({x}, {i})" for i, c in enumerate(coefficients)) + ")"
+
 
+_SHAPIRO = f"""WITH rows AS (SELECT *, row_number() OVER (PARTITION BY model, classifier ORDER BY delta, prompt_id) AS i FROM primary_paired WHERE text_type = 'output'),
+  sizes AS (SELECT model, classifier, count(*) AS n, var_pop(delta) * count(*) AS squares FROM rows GROUP BY ALL),
+  scores AS ({_normal_scores()}),
+  sums AS (SELECT model, classifier, n, squares, sum(m * m) AS m2, sum(m * delta) AS mx, max(m) AS ml, max(m) FILTER (i = n - 1) AS mn,
+    max(delta) FILTER (i = 1) AS x1, max(delta) FILTER (i = 2) AS x2, max(delta) FILTER (i = n - 1) AS y2, max(delta) FILTER (i = n) AS y1
+    FROM rows JOIN sizes USING (model, classifier) JOIN scores USING (n, i) GROUP BY ALL),
+  ends AS (SELECT *, ml / sqrt(m2) + {_polynomial(dist._C1, '(1 / sqrt(n))')} AS al, mn / sqrt(m2) + {_polynomial(dist._C2, '(1 / sqrt(n))')} AS an FROM sums),
+  stats AS (SELECT *, pow((mx - ml * (y1 - x1) - mn * (y2 - x2)) / sqrt((m2 - 2 * ml * ml - 2 * mn * mn) / (1 - 2 * al * al - 2 * an * an)) + al * (y1 - x1) + an * (y2 - x2), 2) / squares AS w FROM ends),
+  zs AS (SELECT *, (ln(1 - w) - {_polynomial(dist._LARGE_MEAN, 'ln(n)')}) / exp({_polynomial(dist._LARGE_LOG_SD, 'ln(n)')}) AS z FROM stats),
+  ps AS (SELECT *, {normal_tail('z')} AS p_value FROM zs)
+  SELECT model, classifier, n, w, p_value, p_value > 0.05 AS normal, n <= 5000 AS p_reliable FROM ps"""
 
-@query("i3_shapiro_test")
+
+@query("i3_shapiro_test", with_tables("primary_paired", rounded("model classifier n normal p_reliable", "w p_value", _SHAPIRO)))
 def i3(spark, d):
     return tidy(hypothesis.shapiro_test(out_deltas(spark, d), MC))
 
 
-@query("i4_wilcoxon_greater")
+@query("i4_wilcoxon_greater", on_shifted(rounded(_W_KEYS, _W_NUMBERS, f"SELECT *, {_FLAGS} FROM ({_W_ONE})")))
 def i4(spark, d):
-    return tidy(hypothesis.wilcoxon_test(out_deltas(spark, d), MC, alternative="greater", min_rows=10))
+    return tidy(hypothesis.wilcoxon_test(shifted(spark, d), ML, alternative="greater", min_rows=10))
 
 
-@query("i5_paired_t_greater")
+@query("i5_paired_t_greater", on_shifted(rounded("model_id lang n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_ONE})")))
 def i5(spark, d):
-    return tidy(hypothesis.t_test(out_deltas(spark, d), MC, alternative="greater"))
+    return tidy(hypothesis.t_test(shifted(spark, d), ML, alternative="greater"))
 
 
 @query("i6_mann_whitney_statistic", with_tables("rewards", rounded("model_id n1 n2", "rank_sum tie_term u", """
@@ -73,9 +153,27 @@ def i6(spark, d):
     return tidy(hypothesis.mann_whitney_statistic(sc.rewards(spark, d), ["model_id"], "reward", F.col("side") == "detoxified"))
 
 
-@query("i6_mann_whitney_test")
+def _mann_whitney(first: str) -> str:
+    """First side against the other over the shifted pairs, one-sided."""
+    return f"""SELECT model_id, lang, n1, n2, rank_sum, tie_term, u, {normal_tail('zz')} AS p_value FROM (
+      SELECT *, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1.0)))) AS zz FROM (
+        SELECT *, rank_sum - n1 * (n1 + 1) / 2.0 AS u FROM (
+          SELECT model_id, lang, count(*) FILTER ({first}) AS n1, count(*) FILTER (NOT {first}) AS n2, sum(r) FILTER ({first}) AS rank_sum FROM (
+            SELECT *, rank() OVER (PARTITION BY model_id, lang ORDER BY v) + (count(*) OVER (PARTITION BY model_id, lang, v) - 1) / 2.0 AS r FROM both_sides) GROUP BY ALL)
+        JOIN (SELECT model_id, lang, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, lang, count(*) AS t FROM both_sides GROUP BY model_id, lang, v) GROUP BY ALL)
+        USING (model_id, lang)))"""
+
+
+_BOTH = "both_sides AS (SELECT model_id, lang, true AS is_base, base_value AS v FROM shifted UNION ALL SELECT model_id, lang, false, score FROM shifted)"
+
+
+@query("i6_mann_whitney_test", with_tables("reward_pairs", f"WITH shifted AS ({_SHIFTED}), {_BOTH} " + rounded("model_id lang n1 n2", "rank_sum tie_term u p_value", _mann_whitney("(NOT is_base)"))))
 def i6_p(spark, d):
-    return tidy(hypothesis.mann_whitney_test(sc.rewards(spark, d), ["model_id"], "reward", F.col("side") == "detoxified"))
+    """Are detoxified rewards greater than the shifted original ones?"""
+    rows = shifted(spark, d)
+    sides = rows.select(*ML, F.lit(0).alias("mine"), F.col("base_value").alias("v")).unionByName(
+        rows.select(*ML, F.lit(1).alias("mine"), F.col("score").alias("v")))
+    return tidy(hypothesis.mann_whitney_test(sides, ML, "v", F.col("mine") == 1))
 
 
 @query("i7_cohens_d", with_tables("primary_paired", rounded("model classifier n", "cohens_d", """
@@ -85,10 +183,19 @@ def i7(spark, d):
     return tidy(hypothesis.cohens_d(paired(spark, d, text_types=["output"]), MC))
 
 
-@query("i8_test_table")
+_FACTS = """SELECT model_id, lang, avg(base_value) AS base_mean, avg(score) AS model_mean, stddev_pop(base_value) AS base_std, stddev_pop(score) AS model_std, count(*) AS n,
+  (avg(base_value) - avg(score)) / sqrt((var_samp(base_value) + var_samp(score)) / 2) AS cohens_d FROM shifted GROUP BY ALL"""
+
+
+@query("i8_significance_table", with_tables("reward_pairs", f"WITH shifted AS (SELECT * REPLACE (base_value - score AS delta) FROM ({_SHIFTED})), {_BOTH} " + rounded(
+    "model_id lang test n significant", "statistic p_value base_mean model_mean base_std model_std cohens_d", f"""
+  SELECT *, p_value < 0.05 AS significant FROM (SELECT model_id, lang, 'wilcoxon' AS test, statistic::DOUBLE AS statistic, p_value FROM ({_W_ONE})
+    UNION ALL SELECT model_id, lang, 't_test', t, p_value FROM ({_T_ONE}) UNION ALL SELECT model_id, lang, 'mannwhitney', u, p_value FROM ({_mann_whitney('is_base')}))
+  JOIN ({_FACTS}) USING (model_id, lang)""")))
 def i8(spark, d):
-    rows = paired(spark, d, text_types=["output"])
-    return tidy(hypothesis.significance_table(rows, MC, tests=("wilcoxon", "t_test", "mannwhitney")))
+    """Positive differences mean that the original side is greater."""
+    rows = shifted(spark, d).drop("delta")
+    return tidy(hypothesis.significance_table(rows, ML, tests=("wilcoxon", "t_test", "mannwhitney")))
 
 
 _P = f"SELECT source, lang, avg({u(repr('pv'), 'doc_id')}) / 4 AS p_value FROM documents GROUP BY ALL"
