@@ -26,15 +26,15 @@ def i1(spark, d):
     return tidy(hypothesis.t_statistic(out_deltas(spark, d), MC))
 
 
-# reward differences per model and language, shifted so that p-values of all sizes appear
-ML = ["model_id", "lang"]
-_SHIFTED = "SELECT model_id, lang, sample_id, original + 0.25 AS base_value, detoxified AS score, detoxified - (original + 0.25) AS delta FROM reward_pairs JOIN documents ON doc_id = sample_id"
+# reward differences per model and half of the samplesuage, shifted so that p-values of all sizes appear
+ML = ["model_id", "half"]
+_SHIFTED = "SELECT model_id, (sample_id % 2)::INTEGER AS half, sample_id, original + 0.25 AS base_value, detoxified AS score, detoxified - (original + 0.25) AS delta FROM reward_pairs"
 
 
 def shifted(spark, d):
-    langs = sc.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "lang")
-    return reward_pairs(spark, d).join(langs, "sample_id").select(
-        *ML, "sample_id", (F.col("original") + 0.25).alias("base_value"), F.col("detoxified").alias("score"),
+    half = (F.col("sample_id") % 2).cast("int").alias("half")
+    return reward_pairs(spark, d).select(
+        "model_id", half, "sample_id", (F.col("original") + 0.25).alias("base_value"), F.col("detoxified").alias("score"),
     ).withColumn("delta", F.col("score") - F.col("base_value"))
 
 
@@ -56,7 +56,7 @@ def student_both_tails(t: str, df: str) -> str:
     return f"1 - 2 * {scale} * {integral(f'pow(1 + x * x / {df}, -({df} + 1) / 2.0)', f'abs({t})')}"
 
 
-_T = "SELECT model_id, lang, count(*) AS n, avg(delta) AS mean, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM shifted GROUP BY ALL"
+_T = "SELECT model_id, half, count(*) AS n, avg(delta) AS mean, avg(delta) / (stddev_samp(delta) / sqrt(count(*))) AS t, count(*) - 1 AS df FROM shifted GROUP BY ALL"
 _T_TWO = f"SELECT *, greatest({student_both_tails('t', 'df')}, 0.0) AS p_value FROM (SELECT * REPLACE (t::DOUBLE AS t) FROM ({_T}))"
 _T_ONE = f"SELECT * REPLACE (CASE WHEN t > 0 THEN p_value / 2 ELSE 1 - p_value / 2 END AS p_value) FROM ({_T_TWO})"
 _FLAGS = "p_value < 0.01 AS significant_01, p_value < 0.05 AS significant_05"
@@ -66,7 +66,7 @@ def on_shifted(body: str) -> str:
     return with_tables("reward_pairs", f"WITH shifted AS ({_SHIFTED}) {body}")
 
 
-@query("i1_t_test", on_shifted(rounded("model_id lang n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_TWO})")))
+@query("i1_t_test", on_shifted(rounded("model_id half n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_TWO})")))
 def i1_p(spark, d):
     return tidy(hypothesis.t_test(shifted(spark, d), ML))
 
@@ -86,15 +86,15 @@ def i2(spark, d):
 
 
 _W = """SELECT *, (w_plus - n * (n + 1) / 4.0) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0 - tie_term / 48.0) AS z FROM (
-  SELECT model_id, lang, sum((delta > 0)::INT * r) AS w_plus, sum((delta < 0)::INT * r) AS w_minus, count(*) AS n FROM (
-    SELECT *, rank() OVER (PARTITION BY model_id, lang ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY model_id, lang, abs(delta)) - 1) / 2.0 AS r
+  SELECT model_id, half, sum((delta > 0)::INT * r) AS w_plus, sum((delta < 0)::INT * r) AS w_minus, count(*) AS n FROM (
+    SELECT *, rank() OVER (PARTITION BY model_id, half ORDER BY abs(delta)) + (count(*) OVER (PARTITION BY model_id, half, abs(delta)) - 1) / 2.0 AS r
     FROM shifted WHERE delta <> 0) GROUP BY ALL)
-  JOIN (SELECT model_id, lang, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, lang, count(*) AS t FROM shifted WHERE delta <> 0
-    GROUP BY model_id, lang, abs(delta)) GROUP BY ALL) USING (model_id, lang)
-  JOIN (SELECT model_id, lang, count(*) FILTER (delta = 0) AS zeros FROM shifted GROUP BY ALL) USING (model_id, lang)"""
+  JOIN (SELECT model_id, half, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, half, count(*) AS t FROM shifted WHERE delta <> 0
+    GROUP BY model_id, half, abs(delta)) GROUP BY ALL) USING (model_id, half)
+  JOIN (SELECT model_id, half, count(*) FILTER (delta = 0) AS zeros FROM shifted GROUP BY ALL) USING (model_id, half)"""
 _W_TWO = f"SELECT * EXCLUDE (z), least(w_plus, w_minus) AS statistic, least(1.0, 2 * ({normal_tail('abs(z)')})) AS p_value FROM ({_W})"
 _W_ONE = f"SELECT * EXCLUDE (z), w_plus AS statistic, {normal_tail('z')} AS p_value FROM ({_W})"
-_W_KEYS, _W_NUMBERS = "model_id lang n zeros significant_01 significant_05", "w_plus w_minus tie_term statistic p_value"
+_W_KEYS, _W_NUMBERS = "model_id half n zeros significant_01 significant_05", "w_plus w_minus tie_term statistic p_value"
 
 
 @query("i2_wilcoxon_test", on_shifted(rounded(_W_KEYS, _W_NUMBERS, f"SELECT *, {_FLAGS} FROM ({_W_TWO})")))
@@ -108,7 +108,7 @@ def _normal_scores(rounds: int = 8) -> str:
       SELECT n, i, (i - 0.375) / (n + 0.25) AS q FROM (SELECT DISTINCT n FROM sizes) s, LATERAL (SELECT unnest(range(1, n + 1)) AS i))"""
     step = f"SELECT *, ln(p / (1 - p)) / 1.702 AS z FROM ({rows})"
     for _ in range(rounds):
-        step = f"SELECT * REPLACE (z - ln(tail / p) * tail / (0.3989422804014327 * exp(-0.5 * z * z)) AS z) EXCLUDE (tail) FROM (SELECT *, {normal_tail('abs(z)')} AS tail FROM ({step}))"
+        step = f"SELECT * EXCLUDE (tail) REPLACE (z - ln(tail / p) * tail / (0.3989422804014327 * exp(-0.5 * z * z)) AS z) FROM (SELECT *, {normal_tail('abs(z)')} AS tail FROM ({step}))"
     return f"SELECT n, i, sign * z AS m FROM ({step})"
 
 
@@ -139,7 +139,7 @@ def i4(spark, d):
     return tidy(hypothesis.wilcoxon_test(shifted(spark, d), ML, alternative="greater", min_rows=10))
 
 
-@query("i5_paired_t_greater", on_shifted(rounded("model_id lang n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_ONE})")))
+@query("i5_paired_t_greater", on_shifted(rounded("model_id half n df significant_01 significant_05", "mean t p_value", f"SELECT *, {_FLAGS} FROM ({_T_ONE})")))
 def i5(spark, d):
     return tidy(hypothesis.t_test(shifted(spark, d), ML, alternative="greater"))
 
@@ -155,19 +155,19 @@ def i6(spark, d):
 
 def _mann_whitney(first: str) -> str:
     """First side against the other over the shifted pairs, one-sided."""
-    return f"""SELECT model_id, lang, n1, n2, rank_sum, tie_term, u, {normal_tail('zz')} AS p_value FROM (
+    return f"""SELECT model_id, half, n1, n2, rank_sum, tie_term, u, {normal_tail('zz')} AS p_value FROM (
       SELECT *, (u - n1 * n2 / 2.0 - 0.5) / sqrt(n1 * n2 / 12.0 * ((n1 + n2 + 1) - tie_term / ((n1 + n2) * (n1 + n2 - 1.0)))) AS zz FROM (
         SELECT *, rank_sum - n1 * (n1 + 1) / 2.0 AS u FROM (
-          SELECT model_id, lang, count(*) FILTER ({first}) AS n1, count(*) FILTER (NOT {first}) AS n2, sum(r) FILTER ({first}) AS rank_sum FROM (
-            SELECT *, rank() OVER (PARTITION BY model_id, lang ORDER BY v) + (count(*) OVER (PARTITION BY model_id, lang, v) - 1) / 2.0 AS r FROM both_sides) GROUP BY ALL)
-        JOIN (SELECT model_id, lang, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, lang, count(*) AS t FROM both_sides GROUP BY model_id, lang, v) GROUP BY ALL)
-        USING (model_id, lang)))"""
+          SELECT model_id, half, count(*) FILTER ({first}) AS n1, count(*) FILTER (NOT {first}) AS n2, sum(r) FILTER ({first}) AS rank_sum FROM (
+            SELECT *, rank() OVER (PARTITION BY model_id, half ORDER BY v) + (count(*) OVER (PARTITION BY model_id, half, v) - 1) / 2.0 AS r FROM both_sides) GROUP BY ALL)
+        JOIN (SELECT model_id, half, sum(t * t * t - t)::DOUBLE AS tie_term FROM (SELECT model_id, half, count(*) AS t FROM both_sides GROUP BY model_id, half, v) GROUP BY ALL)
+        USING (model_id, half)))"""
 
 
-_BOTH = "both_sides AS (SELECT model_id, lang, true AS is_base, base_value AS v FROM shifted UNION ALL SELECT model_id, lang, false, score FROM shifted)"
+_BOTH = "both_sides AS (SELECT model_id, half, true AS is_base, base_value AS v FROM shifted UNION ALL SELECT model_id, half, false, score FROM shifted)"
 
 
-@query("i6_mann_whitney_test", with_tables("reward_pairs", f"WITH shifted AS ({_SHIFTED}), {_BOTH} " + rounded("model_id lang n1 n2", "rank_sum tie_term u p_value", _mann_whitney("(NOT is_base)"))))
+@query("i6_mann_whitney_test", with_tables("reward_pairs", f"WITH shifted AS ({_SHIFTED}), {_BOTH} " + rounded("model_id half n1 n2", "rank_sum tie_term u p_value", _mann_whitney("(NOT is_base)"))))
 def i6_p(spark, d):
     """Are detoxified rewards greater than the shifted original ones?"""
     rows = shifted(spark, d)
@@ -183,15 +183,15 @@ def i7(spark, d):
     return tidy(hypothesis.cohens_d(paired(spark, d, text_types=["output"]), MC))
 
 
-_FACTS = """SELECT model_id, lang, avg(base_value) AS base_mean, avg(score) AS model_mean, stddev_pop(base_value) AS base_std, stddev_pop(score) AS model_std, count(*) AS n,
+_FACTS = """SELECT model_id, half, avg(base_value) AS base_mean, avg(score) AS model_mean, stddev_pop(base_value) AS base_std, stddev_pop(score) AS model_std, count(*) AS n,
   (avg(base_value) - avg(score)) / sqrt((var_samp(base_value) + var_samp(score)) / 2) AS cohens_d FROM shifted GROUP BY ALL"""
 
 
 @query("i8_significance_table", with_tables("reward_pairs", f"WITH shifted AS (SELECT * REPLACE (base_value - score AS delta) FROM ({_SHIFTED})), {_BOTH} " + rounded(
-    "model_id lang test n significant", "statistic p_value base_mean model_mean base_std model_std cohens_d", f"""
-  SELECT *, p_value < 0.05 AS significant FROM (SELECT model_id, lang, 'wilcoxon' AS test, statistic::DOUBLE AS statistic, p_value FROM ({_W_ONE})
-    UNION ALL SELECT model_id, lang, 't_test', t, p_value FROM ({_T_ONE}) UNION ALL SELECT model_id, lang, 'mannwhitney', u, p_value FROM ({_mann_whitney('is_base')}))
-  JOIN ({_FACTS}) USING (model_id, lang)""")))
+    "model_id half test n significant", "statistic p_value base_mean model_mean base_std model_std cohens_d", f"""
+  SELECT *, p_value < 0.05 AS significant FROM (SELECT model_id, half, 'wilcoxon' AS test, statistic::DOUBLE AS statistic, p_value FROM ({_W_ONE})
+    UNION ALL SELECT model_id, half, 't_test', t, p_value FROM ({_T_ONE}) UNION ALL SELECT model_id, half, 'mannwhitney', u, p_value FROM ({_mann_whitney('is_base')}))
+  JOIN ({_FACTS}) USING (model_id, half)""")))
 def i8(spark, d):
     """Positive differences mean that the original side is greater."""
     rows = shifted(spark, d).drop("delta")
