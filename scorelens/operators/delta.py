@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import biased_skewness, count_if, rate
@@ -21,14 +21,13 @@ def with_baseline(
 ) -> DataFrame:
     """Every non-baseline row with the baseline value of the same sample.
 
-    One shuffle on the sample keys serves all models; a sample has one row per model, so the windows are small.
-    Samples without a baseline value are dropped.
+    One equi-join on the sample keys serves all models. The baseline side is reduced to one row per sample first,
+    so repeated samples cannot multiply, and AQE may split a sample key that holds very many rows. Samples without
+    a baseline value are dropped.
     """
-    same_sample = Window.partitionBy(*keys)
-    base = F.max(F.when(F.col(model_col) == baseline, F.col(value))).over(same_sample)
-    return scores.withColumn("base_value", base).where(
-        (F.col(model_col) != baseline) & F.col("base_value").isNotNull() & F.col(value).isNotNull()
-    )
+    is_base = F.col(model_col) == baseline
+    base = scores.where(is_base & F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias("base_value"))
+    return scores.where(~is_base & F.col(value).isNotNull()).join(base, keys)
 
 
 def baseline_delta(

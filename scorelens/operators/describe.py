@@ -162,14 +162,20 @@ def delta_metrics(deltas: DataFrame, by: list[str], value: str = "delta", *, thr
 
 
 def inventory(scores: DataFrame) -> DataFrame:
-    """Numbers of prompts, models, classifiers, labels and score rows."""
-    return scores.agg(
-        F.count_distinct("prompt_id").alias("prompts"),
+    """Numbers of prompts, models, classifiers, labels and score rows.
+
+    Two plain aggregates instead of one with four distinct counts, which would multiply the rows before the shuffle.
+    """
+    prompts = scores.groupBy("prompt_id").agg(F.count("*").alias("k"))
+    prompts = prompts.agg(F.count("prompt_id").alias("prompts"), F.coalesce(F.sum("k"), F.lit(0)).alias("rows"))
+    series = scores.groupBy("model", "classifier", "label").agg(F.lit(1).alias("k")).agg(
         F.count_distinct("model").alias("models"),
         F.count_distinct("classifier").alias("classifiers"),
         F.count_distinct("classifier", "label").alias("series"),
-        F.count("*").alias("rows"),
     )
+    one = F.lit(0).alias("_all")
+    both = join_on(prompts.select("*", one), series.select("*", one), ["_all"])
+    return both.select("prompts", "models", "classifiers", "series", "rows")
 
 
 def dataset_analysis(records: DataFrame, by: list[str], text: str = "output") -> DataFrame:

@@ -100,8 +100,9 @@ def score_table(
 
 
 def prediction_records(rewards: DataFrame, keys: list[str] = SAMPLE) -> DataFrame:
-    """Sorted individual predictions and the equal-weight ensemble score of each sample."""
-    return rewards.groupBy(*keys).agg(
+    """Sorted individual predictions, one per model, and the equal-weight ensemble score of each sample."""
+    per_model = rewards.groupBy(*keys, "model_id").agg(F.avg("reward").alias("reward"))
+    return per_model.groupBy(*keys).agg(
         F.sort_array(F.collect_list(F.struct("model_id", "reward"))).alias("predictions"),
         F.avg("reward").alias("ensemble"),
     )

@@ -81,10 +81,15 @@ def consistent_improvers(
     value: str = "improvement",
     min_rate: float = 0.75,
 ) -> DataFrame:
-    """Samples that improve in enough of the models of a set, with their mean, spread and per-model values."""
+    """Samples that improve in enough of the models of a set, with their mean, spread and per-model values.
+
+    Repeated values of a sample and model are averaged first, so a sample collects one value per model.
+    """
     v = F.col(value)
     return (
-        samples.groupBy(*set_cols, key)
+        samples.groupBy(*set_cols, key, model)
+        .agg(F.avg(v).alias(value))
+        .groupBy(*set_cols, key)
         .agg(
             rate(v > 0, v).alias("improvement_rate"),
             F.avg(v).alias("mean_improvement"),

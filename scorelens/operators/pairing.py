@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelens.functions.text import text_variants
 from scorelens.operators.ranks import ordered_index
@@ -36,31 +37,32 @@ def compose_variants(pairs: DataFrame, *, key: str = "sample_id", sep: str = " "
     return pairs.select(key, F.inline(variants))
 
 
-def _boundary(df: DataFrame, order: list[Column], bucket: Column, rows: int):
-    """Bucket and order values of row number ``rows`` under ``order``; ``bucket`` must not decrease along it.
+BOUNDARY_ROWS = 10_000
 
-    Counts per bucket find the bucket that holds the row; only that bucket is ordered. Only scalars reach the driver.
+
+def _bucket_of(df: DataFrame, bucket: Column, rows: int, *extra: Column):
+    """Bucket that holds row number ``rows``, its size, and the row's number inside it.
+
+    ``bucket`` must not decrease along the order and have at most 65 536 values, so the table of counts is small.
     """
-    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"))
+    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), *extra)
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    hit = (
+    return (
         counts.withColumn("through", F.sum("n").over(w))
         .where(F.col("through") >= rows)
         .orderBy("b")
         .limit(1)
-        .select("b", (F.lit(rows) - F.col("through") + F.col("n")).alias("inside"))
+        .withColumn("inside", F.lit(rows) - F.col("through") + F.col("n"))
         .first()
     )
+
+
+def _edge(df: DataFrame, order: list[Column], rows: int) -> list:
+    """Order values of row number ``rows`` of a small table."""
     names = [f"o{i}" for i in range(len(order))]
-    edge = (
-        df.where(bucket == F.lit(hit["b"]))
-        .select(*[c.alias(n) for c, n in zip(order, names)])
-        .orderBy(*names)
-        .limit(hit["inside"])
-        .agg(F.max(F.struct(*names)).alias("edge"))
-        .first()["edge"]
-    )
-    return hit["b"], [edge[n] for n in names]
+    ordered = df.select(*[c.alias(n) for c, n in zip(order, names)]).orderBy(*names).limit(rows)
+    edge = ordered.agg(F.max(F.struct(*names)).alias("edge")).first()["edge"]
+    return [edge[n] for n in names]
 
 
 def _through(order: list[Column], edge: list) -> Column:
@@ -71,35 +73,60 @@ def _through(order: list[Column], edge: list) -> Column:
     return result
 
 
+def _label(df: DataFrame, first: Column, names: tuple[str, str]) -> DataFrame:
+    return df.withColumn("split", F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
+
+
 def split_by_hash(
     df: DataFrame, key: str, ratio: float = 0.8, *, seed: int = 42, names: tuple[str, str] = ("train", "test")
 ) -> DataFrame:
-    """Seeded random split with exactly floor(ratio * n) rows in the first part.
+    """Seeded random split by a unique key with exactly floor(ratio * n) rows in the first part.
 
-    Rows are ordered by the md5 of the seed and key. The row that ends the first part is found from counts of
-    65 536 hash buckets and the order inside one of them, so no full sort or shuffle of the table is needed: the
-    split is a comparison per row.
+    Rows are ordered by the md5 of the seed and key. Counts per hash prefix find the prefix of the row that ends
+    the first part, and longer prefixes follow until few rows are left; the split is then a comparison per row,
+    without a sort or shuffle of the table. Only scalars reach the driver.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    return _split(df, [digest, F.col(key)], F.substring(digest, 1, 4), ratio, names)
+    rows = math.floor(ratio * df.count())
+    if rows == 0:
+        return _label(df, F.lit(False), names)
+    part, length = df, 0
+    while True:
+        length += 4
+        hit = _bucket_of(part, F.substring(digest, 1, length), rows)
+        part, rows = part.where(F.substring(digest, 1, length) == hit["b"]), hit["inside"]
+        if hit["n"] <= BOUNDARY_ROWS or length == 32:
+            break
+    order = [digest, F.col(key)]
+    return _label(df, _through(order, _edge(part, order, rows)), names)
 
 
 def split_by_order(
     df: DataFrame, key: str, ratio: float = 0.8, *, names: tuple[str, str] = ("train", "test")
 ) -> DataFrame:
-    """First floor(ratio * n) rows in the order of a numeric key."""
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max((high - low) / 65536.0, 1.0) if low is not None else 1.0
-    return _split(df, [F.col(key)], F.floor((F.col(key) - F.lit(low)) / F.lit(width)), ratio, names)
-
+    """First floor(ratio * n) rows in the order of a unique key.
 
-def _split(df: DataFrame, order: list[Column], bucket: Column, ratio: float, names: tuple[str, str]) -> DataFrame:
-    rows = math.floor(ratio * df.count())
+    A numeric key needs counting passes over ever narrower ranges; other keys are ordered with ``ordered_index``.
+    """
+    total = df.count()
+    rows = math.floor(ratio * total)
     if rows == 0:
-        return df.withColumn("split", F.lit(names[1]))
-    edge_bucket, edge = _boundary(df, order, bucket, rows)
-    first = (bucket < F.lit(edge_bucket)) | ((bucket == F.lit(edge_bucket)) & _through(order, edge))
-    return df.withColumn("split", F.when(first, F.lit(names[0])).otherwise(F.lit(names[1])))
+        return _label(df, F.lit(False), names)
+    k = F.col(key)
+    if not isinstance(df.schema[key].dataType, T.NumericType):
+        placed = ordered_index(df, [], [key], "_position")
+        return _label(placed, F.col("_position") <= rows, names).drop("_position")
+    low, high = df.agg(F.min(key), F.max(key)).first()
+    part = df
+    while low != high:
+        share = (k - F.lit(low)).cast("double") / F.lit(float(high - low))
+        bucket = F.least(F.floor(share * 65536), F.lit(65535))
+        hit = _bucket_of(part, bucket, rows, F.min(key).alias("low"), F.max(key).alias("high"))
+        low, high, rows = hit["low"], hit["high"], hit["inside"]
+        part = df.where(k.between(F.lit(low), F.lit(high)))
+        if hit["n"] <= BOUNDARY_ROWS:
+            low = high = _edge(part, [k], rows)[0]
+    return _label(df, k <= F.lit(high), names)
 
 
 def split_by_threshold(

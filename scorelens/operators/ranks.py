@@ -124,6 +124,8 @@ def join_hot_values(df: DataFrame, ranks: DataFrame, keys: list[str], name: str,
     other values go through a shuffle join.
     """
     hot = materialize(ranks.where(F.col("n") >= hot_rows).drop("n").withColumnRenamed(name, "_hot"), "hot")
+    if hot.isEmpty():
+        return join_on(df, ranks.drop("n"), keys, "left")
     cold = ranks.where(F.col("n") < hot_rows).drop("n").withColumnRenamed(name, "_cold")
     marked = join_on(df, hot, keys, "left")
     settled = marked.where(F.col("_hot").isNotNull()).select(*df.columns, F.col("_hot").alias(name))

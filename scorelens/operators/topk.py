@@ -45,7 +45,11 @@ def improvement_rank(rows: DataFrame, by: list[str], value: str, *, key: str = "
 
 
 def trajectories(points: DataFrame, by: list[str], value: str = "score", *, threshold: float = 0.05) -> DataFrame:
-    """Per-prompt scores over epochs, their average, and the class of the final change (first minus last)."""
+    """Per-prompt scores over epochs, their average, and the class of the final change (first minus last).
+
+    Repeated scores of a prompt and epoch are averaged first, so a trajectory has one entry per epoch.
+    """
+    points = points.groupBy(*by, "epoch").agg(F.avg(value).alias(value))
     first, last = F.min_by(value, "epoch"), F.max_by(value, "epoch")
     change = F.col("first_score") - F.col("last_score")
     return (

@@ -102,13 +102,53 @@ def scores(
 
 
 def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label maps: every 11th prompt has an empty map, every 5th lacks the label 'threat'."""
-    long = scores(spark, sf_dir)
-    entry = F.struct(F.col("label").alias("key"), F.col("score").alias("value"))
-    missing = (F.col("prompt_id") % 5 == 0) & (F.col("label") == "threat") | (F.col("prompt_id") % 11 == 0)
-    return long.groupBy("prompt_id", "model", "epoch", "text_type", "classifier").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.when(~missing, entry)))).alias("labels")
+    """Label maps of ``scores``: every 11th prompt has an empty map, every 5th lacks the label 'threat'."""
+    doc = F.col("prompt_id").cast("string")
+    listed = F.array(
+        *[
+            F.struct(F.lit(c).alias("classifier"), F.array(*[F.lit(x) for x in labels]).alias("names"))
+            for c, labels in CLASSIFIER_LABELS.items()
+        ]
+    )
+    rows = ids(spark, sf_dir, "prompt_id").select("prompt_id", F.inline(listed))
+    rows = rows.withColumn(
+        "drawn",
+        F.transform(
+            "names",
+            lambda label: F.struct(
+                label.alias("label"),
+                (F.lit(0.2) + F.lit(0.8) * hash_unit(F.lit("b"), "classifier", label, doc)).alias("b"),
+                (F.lit(0.3) * hash_unit(F.lit("p"), "classifier", label, doc)).alias("p"),
+            ),
+        ),
+    ).select("*", F.inline(structs(MODELS, ["model", "epoch", "decay"])))
+
+    def output(x: Column) -> Column:
+        noise = hash_unit(F.lit("n"), "model", "classifier", x["label"], doc)
+        tuned = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["b"] * F.col("decay") + F.lit(0.2) * (noise - F.lit(0.5))))
+        return F.when(F.col("epoch") == 0, x["b"]).otherwise(tuned)
+
+    rows = rows.withColumn(
+        "drawn", F.transform("drawn", lambda x: F.struct(x["label"].alias("label"), x["p"].alias("p"), output(x).alias("o")))
+    )
+    rows = rows.withColumn(
+        "drawn",
+        F.filter(
+            "drawn",
+            lambda x: (F.col("prompt_id") % 11 != 0) & ~((F.col("prompt_id") % 5 == 0) & (x["label"] == "threat")),
+        ),
+    )
+
+    def entries(value) -> Column:
+        return F.map_from_entries(
+            F.transform("drawn", lambda x: F.struct(x["label"].alias("key"), cut3(value(x)).alias("value")))
+        )
+
+    values = {"output": lambda x: x["o"], "full_text": lambda x: F.lit(0.9) * x["o"], "prompt": lambda x: x["p"]}
+    typed = F.array(
+        *[F.struct(F.lit(t).alias("text_type"), entries(values[t]).alias("labels")) for t in TEXT_TYPES]
     )
+    return rows.select("prompt_id", "model", "epoch", "classifier", F.inline(typed))
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
