@@ -106,3 +106,14 @@ def prediction_records(rewards: DataFrame, keys: list[str] = SAMPLE) -> DataFram
         F.sort_array(F.collect_list(F.struct("model_id", "reward"))).alias("predictions"),
         F.avg("reward").alias("ensemble"),
     )
+
+
+def ensemble(
+    rewards: DataFrame, method: str = "mean", keys: list[str] = SAMPLE, *, weights: dict[str, float] | None = None
+) -> DataFrame:
+    """Ensemble reward of each sample by mean, median, max, min, ``weighted`` (given) or ``auc_weighted``."""
+    if method == "weighted":
+        return user_weighted(rewards, weights, keys).withColumnRenamed("weighted", "reward")
+    if method == "auc_weighted":
+        return weighted(rewards, auc_weights(rewards), keys).withColumnRenamed("weighted", "reward")
+    return combine(rewards, keys).select(*keys, F.col(method).alias("reward"))

@@ -154,10 +154,12 @@ def cohens_d(paired: DataFrame, by: list[str], *, base: str = "base_value", valu
 
 def significance_table(
     paired: DataFrame, by: list[str], *, tests: tuple[str, ...] = ("wilcoxon",), confidence: float = 0.95,
-    key: str = "prompt_id",
+    correction: str | None = None,
 ) -> DataFrame:
     """One row per group and test: statistic, one-sided p-value, significance, effect size, means, spreads, n.
 
+    With a ``correction`` the p-values of each test are adjusted over its groups, and the adjusted one decides.
+
     ``paired`` has ``base_value`` and ``score``; positive differences mean improvement. An unknown test name
     means the signed-rank test.
     """
@@ -192,7 +194,10 @@ def significance_table(
         return found.select(*by, F.lit(test).alias("test"), F.col("statistic").cast("double"), "p_value")
 
     results = reduce(lambda a, b: a.unionByName(b), [run(t) for t in tests])
-    return join_on(results, facts, by).withColumn("significant", F.col("p_value") < 1 - confidence)
+    p = "p_value"
+    if correction:
+        results, p = adjust_p_values(results, ["test"], key=by, method=correction), "p_adjusted"
+    return join_on(results, facts, by).withColumn("significant", F.col(p) < 1 - confidence)
 
 
 def adjust_p_values(

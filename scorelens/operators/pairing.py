@@ -168,3 +168,10 @@ def shuffled_batches(pairs: DataFrame, key: str, batch_size: int, *, seed: int =
 def assign_index(df: DataFrame, order_by: list[str], name: str = "sample_index") -> DataFrame:
     """0-based row index in the given order."""
     return ordered_index(df, [], order_by, name).withColumn(name, F.col(name) - 1)
+
+
+def split(df: DataFrame, key: str, ratio: float = 0.8, *, by: str = "hash", seed: int = 42, **options) -> DataFrame:
+    """Exact split ``by`` hash or order, or the pass-free ``threshold`` form."""
+    if by == "order":
+        return split_by_order(df, key, ratio, **options)
+    return {"hash": split_by_hash, "threshold": split_by_threshold}[by](df, key, ratio, seed=seed, **options)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scorelens.functions import numeric as num
 from scorelens.functions.text import epoch_of
 from scorelens.operators import delta, metrics, pairing, reshape, scoring
+from scorelens.plans import evaluation
 from scorelens.plans import scenario as sc
 from scorelens.plans.registry import query
 from scorelens.plans.scenario import rounded, tidy, with_tables
@@ -56,6 +57,21 @@ def d1_batch(spark, d):
     return tidy(scored.select("doc_id", "failed", F.explode("labels").alias("label", "score")))
 
 
+@query("d1_classify_generations", with_tables("pairs", rounded("prompt_id model text_type label", "score", " UNION ALL ".join(
+    f"SELECT sample_id AS prompt_id, '{m}' AS model, '{t}' AS text_type, '{label}' AS label, {lexical_sql(text, word_list(label))} AS score FROM pairs"
+    for m, output in (("base", "original_output"), ("tuned", "detoxified_output"))
+    for t, text in (("prompt", "prompt"), ("output", output), ("full_text", f"prompt || ' ' || {output}"))
+    for label in scoring.LEXICON))))
+def d1_generations(spark, d):
+    """Prompt, output and full text of two models, classified and exploded to score rows."""
+    pairs = sc.pairs(spark, d)
+    generations = pairs.select(F.col("sample_id").alias("prompt_id"), "prompt", F.inline(F.array(
+        F.struct(F.lit("base").alias("model"), F.col("original_output").alias("output")),
+        F.struct(F.lit("tuned").alias("model"), F.col("detoxified_output").alias("output")))))
+    scores = evaluation.scores_of(evaluation.classify_generations(generations, ["lexical"]))
+    return tidy(scores.select("prompt_id", "model", "text_type", "label", "score"))
+
+
 @query("d2_score_variants", with_tables("pairs", rounded("sample_id", _VARIANT_NUMBERS, _VARIANTS)))
 def d2(spark, d):
     return tidy(scoring.score_variants(sc.pairs(spark, d), "lexical"))
@@ -190,6 +206,10 @@ def e10(spark, d):
 
 # ---- joins and splits ----------------------------------------------------------------------------------------
 
+def sample_ids(spark, d):
+    return sc.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"))
+
+
 def corpora(spark, d):
     docs = sc.table(spark, d, "documents")
     left = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("sample_id"), F.length("text").alias("original_length"))
@@ -215,23 +235,23 @@ def f2(spark, d):
 
 @query("f3_ordered_split", "SELECT doc_id AS sample_id, CASE WHEN row_number() OVER (ORDER BY doc_id) <= floor(0.8 * count(*) OVER ()) THEN 'train' ELSE 'test' END AS split FROM documents")
 def f3(spark, d):
-    return pairing.split_by_order(sc.ids(spark, d, "sample_id"), "sample_id", 0.8)
+    return pairing.split_by_order(sample_ids(spark, d), "sample_id", 0.8)
 
 
 @query("f4_seeded_split", with_tables("doc_split", "SELECT * FROM doc_split"))
 def f4(spark, d):
-    return pairing.split_by_hash(sc.ids(spark, d, "sample_id"), "sample_id", 0.8)
+    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.8)
 
 
 @query("f4_threshold_split", f"SELECT doc_id AS sample_id, CASE WHEN {sc.u(repr('42'), 'doc_id')} < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents")
 def f4_threshold(spark, d):
-    return pairing.split_by_threshold(sc.ids(spark, d, "sample_id"), "sample_id", 0.8)
+    return pairing.split_by_threshold(sample_ids(spark, d), "sample_id", 0.8)
 
 
 @query("f5_held_out_split", """SELECT doc_id AS sample_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', '7', doc_id)), doc_id) <= floor(0.9 * count(*) OVER ())
   THEN 'train' ELSE 'test' END AS split FROM documents""")
 def f5(spark, d):
-    return pairing.split_by_hash(sc.ids(spark, d, "sample_id"), "sample_id", 0.9, seed=7)
+    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.9, seed=7)
 
 
 @query("f6_identical_pairs", rounded("identical pairs", "percent", """SELECT count(*) FILTER (a = b) AS identical, count(*) AS pairs, 100.0 * avg((a = b)::INT) AS percent
@@ -281,4 +301,4 @@ def f10(spark, d):
 
 @query("f11_shuffled_batches", """SELECT doc_id AS sample_id, ((row_number() OVER (ORDER BY md5(concat_ws(':', '3', doc_id)), doc_id) - 1) // 16)::BIGINT AS batch_id FROM documents""")
 def f11(spark, d):
-    return pairing.shuffled_batches(sc.ids(spark, d, "sample_id"), "sample_id", 16, seed=3)
+    return pairing.shuffled_batches(sample_ids(spark, d), "sample_id", 16, seed=3)

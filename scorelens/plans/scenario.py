@@ -49,13 +49,13 @@ def structs(rows: list[tuple], names: list[str]) -> Column:
 
 
 def ids(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Document ids under a new name, spread over all cores when the scan has fewer partitions than cores.
+    """Document ids under a new name, spread over all cores when the table has fewer files than cores.
 
     Only 8 bytes per row move, ahead of a fan-out of up to 180 hashed rows each.
     """
     df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(name))
     cores = spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, name)
+    return df if len(df.inputFiles()) >= cores else df.repartition(cores, name)
 
 
 def cut3(x: Column) -> Column:
@@ -342,10 +342,9 @@ def rounded(keys: str, numbers: str, body: str) -> str:
 
 def tidy(df: DataFrame) -> DataFrame:
     """Spark side of ``rounded``: all double columns to six digits."""
-    numbers = {name for name, kind in df.dtypes if kind in ("double", "float")}
-    return df.select(
+    return df.selectExpr(
         *[
-            F.round(F.col(f"`{c}`").cast("double") + F.lit(NUDGE), 6).alias(c) if c in numbers else F.col(f"`{c}`")
-            for c in df.columns
+            f"round(cast(`{c}` as double) + {NUDGE}D, 6) as `{c}`" if kind in ("double", "float") else f"`{c}`"
+            for c, kind in df.dtypes
         ]
     )
