@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scorelens.storage import join_on, materialize
 
 ACCURACY = 1_000
-GRID = 4_096
+GRID = 1_024
 KEEP_ROWS = 1_000_000
 
 

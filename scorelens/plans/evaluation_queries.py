@@ -387,12 +387,13 @@ _MATRIX_NAMES = [*sc.SEED_NAMES, "toxicity", "insult"]
 
 
 @query("j11_correlation_matrix", with_tables("rewards prompts", rounded("i j", "correlation", """
-  WITH long AS (SELECT sample_id, model_id AS name, reward AS v FROM rewards WHERE side = 'original'
-    UNION ALL SELECT prompt_id, 'toxicity', toxicity FROM prompts WHERE toxicity IS NOT NULL UNION ALL SELECT prompt_id, 'insult', insult FROM prompts WHERE insult IS NOT NULL)
-  SELECT a.name AS i, b.name AS j, corr(a.v, b.v) AS correlation FROM long a JOIN long b USING (sample_id) GROUP BY ALL""")))
+  WITH sides AS (SELECT DISTINCT side FROM rewards), long AS (SELECT sample_id, side, model_id AS name, reward AS v FROM rewards
+    UNION ALL SELECT prompt_id, side, 'toxicity', toxicity FROM prompts, sides WHERE toxicity IS NOT NULL
+    UNION ALL SELECT prompt_id, side, 'insult', insult FROM prompts, sides WHERE insult IS NOT NULL)
+  SELECT a.name AS i, b.name AS j, corr(a.v, b.v) AS correlation FROM long a JOIN long b USING (sample_id, side) GROUP BY ALL""")))
 def j11(spark, d):
     """Seeds against seeds and prompt attributes."""
-    wide = sc.rewards(spark, d).where("side = 'original'").groupBy("sample_id").pivot("model_id", sc.SEED_NAMES).agg(F.max("reward"))
+    wide = sc.rewards(spark, d).groupBy("sample_id", "side").pivot("model_id", sc.SEED_NAMES).agg(F.max("reward"))
     attributes = sc.prompts(spark, d).select(F.col("prompt_id").alias("sample_id"), "prompt.toxicity", "prompt.insult")
     return tidy(metrics.correlation_matrix(wide.join(attributes, "sample_id"), _MATRIX_NAMES))
 

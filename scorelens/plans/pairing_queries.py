@@ -125,13 +125,11 @@ def d7(spark, d):
 
 @query("e1_comprehensive_union", with_tables("primary_scores", rounded("prompt_id model classifier extra", "score", """
   SELECT prompt_id, model, classifier, score, CASE WHEN model = 'base' THEN NULL ELSE 'tuned' END AS extra FROM primary_scores
-  WHERE text_type = 'output' AND model IN ('base', 'detox_epoch_20')""")))
+  WHERE text_type = 'output'""")))
 def e1(spark, d):
     scores = primary(spark, d).select("prompt_id", "classifier", "score", F.col("model").alias("m"))
-    frames = {
-        "base": scores.where("m = 'base'").drop("m"),
-        "detox_epoch_20": scores.where("m = 'detox_epoch_20'").drop("m").withColumn("extra", F.lit("tuned")),
-    }
+    frames = {m[0]: scores.where(F.col("m") == m[0]).drop("m") for m in sc.MODELS}
+    frames = {m: df if m == "base" else df.withColumn("extra", F.lit("tuned")) for m, df in frames.items()}
     return tidy(reshape.union_models(frames))
 
 
@@ -167,10 +165,10 @@ def e5(spark, d):
 
 
 @query("e6_epoch_union", with_tables("primary_scores", rounded("sample_index epoch epoch_index classifier", "score", """
-  SELECT prompt_id AS sample_index, epoch, (epoch // 20 - 1)::INTEGER AS epoch_index, classifier, score FROM primary_scores WHERE text_type = 'output' AND epoch IN (20, 40, 60)""")))
+  SELECT prompt_id AS sample_index, epoch, (epoch // 20)::INTEGER AS epoch_index, classifier, score FROM primary_scores WHERE text_type = 'output'""")))
 def e6(spark, d):
     scores = primary(spark, d).select(F.col("prompt_id").alias("sample_index"), "epoch", "classifier", "score")
-    frames = {e: scores.where(F.col("epoch") == e).drop("epoch") for e in (60, 20, 40)}
+    frames = {e: scores.where(F.col("epoch") == e).drop("epoch") for e in (60, 20, 100, 0, 40, 80)}
     return tidy(reshape.union_epochs(frames).orderBy("epoch", "sample_index"))
 
 
@@ -211,19 +209,19 @@ def sample_ids(spark, d):
 
 
 def corpora(spark, d):
-    docs = sc.table(spark, d, "documents")
-    left = docs.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("sample_id"), F.length("text").alias("original_length"))
-    right = docs.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("sample_id"), F.col("n_chars").alias("detoxified_length"))
+    """Two corpora of unequal length: all documents, and the labels of some of them."""
+    left = sc.table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "n_chars")
+    right = sc.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), "quality", "toxic")
     return left, right
 
 
-@query("f1_pair_join", "SELECT doc_id AS sample_id, length(text)::INTEGER AS original_length, n_chars AS detoxified_length FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 4 <> 0")
+@query("f1_pair_join", "SELECT doc_id AS sample_id, n_chars, quality, toxic FROM documents JOIN labels USING (doc_id)")
 def f1(spark, d):
     return pairing.pair(*corpora(spark, d))
 
 
-@query("f1_unmatched_counts", """SELECT count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 4 <> 0) AS paired, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 4 = 0) AS left_only,
-  count(*) FILTER (doc_id % 3 = 0 AND doc_id % 4 <> 0) AS right_only FROM documents""")
+@query("f1_unmatched_counts", """SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired, count(*) FILTER (l.doc_id IS NULL) AS left_only,
+  count(*) FILTER (d.doc_id IS NULL) AS right_only FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def f1_counts(spark, d):
     return pairing.pair_counts(*corpora(spark, d))
 
@@ -285,18 +283,20 @@ def f8(spark, d):
 
 
 @query("f9_model_pairs", with_tables("rewards", rounded("i j", "correlation", """
-  SELECT a.model_id AS i, b.model_id AS j, corr(a.reward, b.reward) AS correlation FROM rewards a JOIN rewards b USING (sample_id, side) WHERE a.side = 'original' GROUP BY ALL""")))
+  SELECT a.model_id AS i, b.model_id AS j, corr(a.reward, b.reward) AS correlation FROM rewards a JOIN rewards b USING (sample_id, side) GROUP BY ALL""")))
 def f9(spark, d):
-    wide = sc.rewards(spark, d).where("side = 'original'").groupBy("sample_id").pivot("model_id", sc.SEED_NAMES).agg(F.max("reward"))
+    wide = sc.rewards(spark, d).groupBy("sample_id", "side").pivot("model_id", sc.SEED_NAMES).agg(F.max("reward"))
     return tidy(metrics.correlation_matrix(wide, sc.SEED_NAMES))
 
 
-@query("f10_complete_pairs", with_tables("primary_paired", rounded("prompt_id model classifier", "base_value score", """
-  SELECT prompt_id, model, classifier, base_value, score FROM primary_paired WHERE text_type = 'output' AND prompt_id % 6 <> 0""")))
+@query("f10_complete_pairs", with_tables("primary_paired", rounded("prompt_id model classifier quality", "base_value score", """
+  SELECT prompt_id, model, classifier, base_value, score, quality FROM primary_paired JOIN labels ON doc_id = prompt_id WHERE text_type = 'output'""")))
 def f10(spark, d):
-    rows = paired(spark, d, text_types=["output"]).withColumn(
-        "score", F.when(F.col("prompt_id") % 12 == 0, F.lit(float("nan"))).when(F.col("prompt_id") % 6 != 0, F.col("score")))
-    return tidy(pairing.complete_pairs(rows, "base_value", "score").select("prompt_id", "model", "classifier", "base_value", "score"))
+    """Only labelled documents have a quality; rows without one are left out."""
+    labels = sc.table(spark, d, "labels").select(F.col("doc_id").alias("prompt_id"), "quality")
+    rows = paired(spark, d, text_types=["output"]).join(labels, "prompt_id", "left")
+    complete = pairing.complete_pairs(rows, "base_value", "score", "quality")
+    return tidy(complete.select("prompt_id", "model", "classifier", "quality", "base_value", "score"))
 
 
 @query("f11_shuffled_batches", """SELECT doc_id AS sample_id, ((row_number() OVER (ORDER BY md5(concat_ws(':', '3', doc_id)), doc_id) - 1) // 16)::BIGINT AS batch_id FROM documents""")

@@ -215,11 +215,10 @@ def g18(spark, d):
     return tidy(describe.reward_batch_stats(sc.reward_events(spark, d), ["epoch", "model"]))
 
 
-@query("g19_average_eval_toxicity", with_tables("primary_scores", rounded("epoch", "mean_toxicity",
-  "SELECT epoch, avg(score) AS mean_toxicity FROM primary_scores WHERE text_type = 'output' AND classifier = 'roberta_toxicity' GROUP BY epoch")))
+@query("g19_average_eval_toxicity", with_tables("primary_scores", rounded("epoch classifier", "mean_toxicity",
+  "SELECT epoch, classifier, avg(score) AS mean_toxicity FROM primary_scores WHERE text_type = 'output' GROUP BY epoch, classifier")))
 def g19(spark, d):
-    scores = primary(spark, d).where("classifier = 'roberta_toxicity'")
-    return tidy(scores.groupBy("epoch").agg(F.avg("score").alias("mean_toxicity")))
+    return tidy(primary(spark, d).groupBy("epoch", "classifier").agg(F.avg("score").alias("mean_toxicity")))
 
 
 @query("g20_score_column_profile", with_tables("primary_scores", rounded("text_type model classifier", "mean std", """

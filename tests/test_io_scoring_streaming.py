@@ -96,7 +96,7 @@ def test_reward_head_is_not_beaten_nearby(spark, loss):
     rng = np.random.default_rng(7)
     o = rng.normal(size=(300, 4))
     d = o + rng.normal([0.05, -0.02, 0.0, 0.03], 0.2, size=(300, 4))
-    df = spark.createDataFrame([(o[i].tolist(), d[i].tolist()) for i in range(300)], "o array<double>, d array<double>").persist()
+    df = spark.createDataFrame([(o[i].tolist(), d[i].tolist()) for i in range(300)], "o array<double>, d array<double>").coalesce(1).persist()
     w = np.array(reward_head.fit_reward_head(df, "o", "d", loss))
 
     def mean(weights):
