@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions import distributions as dist
-from scorelens.functions.numeric import count_if
 from scorelens.operators.ranks import ordered_index, value_ranks
 from scorelens.storage import join_on, materialize
 
@@ -39,25 +38,39 @@ def t_test(deltas: DataFrame, by: list[str], value: str = "delta", *, alternativ
 
 
 def wilcoxon_statistic(deltas: DataFrame, by: list[str], value: str = "delta") -> DataFrame:
-    """Signed-rank sums of the non-zero differences, with the tie term and the number of zeros."""
+    """Signed-rank sums of the non-zero differences, with the tie term and the number of zeros.
+
+    Zeros are ranked with the rest, where they come first, and their number is taken off every rank afterwards, so
+    one ordered table is enough.
+    """
     d = F.col(value)
     ranked = value_ranks(
-        deltas.where(d != 0).select(*by, F.abs(d).alias("_a"), (d > 0).cast("int").alias("_up")),
+        deltas.where(d.isNotNull()).select(*by, F.abs(d).alias("_a"), (d > 0).cast("int").alias("_up")),
         by,
         "_a",
         {"up": F.col("_up")},
     )
-    n = F.col("n").cast("double")
+    n, up, moved = F.col("n"), F.col("up"), F.col("_a") > 0
+
+    def total(x: Column) -> Column:
+        return F.coalesce(F.sum(F.when(moved, x)), F.lit(0))
+
+    size = n.cast("double")
     sums = ranked.groupBy(*by).agg(
-        F.sum("n").alias("n"),
-        F.sum(F.col("avg_rank") * F.col("up")).alias("w_plus"),
-        F.sum(F.col("avg_rank") * (F.col("n") - F.col("up"))).alias("w_minus"),
-        F.sum(n * n * n - n).alias("tie_term"),
+        F.coalesce(F.sum(F.when(~moved, n)), F.lit(0)).alias("zeros"),
+        total(n).alias("n"),
+        total(up).alias("_ups"),
+        total(F.col("avg_rank") * up).alias("_up_ranks"),
+        total(F.col("avg_rank") * (n - up)).alias("_down_ranks"),
+        total(size * size * size - size).cast("double").alias("tie_term"),
+    )
+    zeros, ups = F.col("zeros"), F.col("_ups")
+    return (
+        sums.withColumn("w_plus", (F.col("_up_ranks") - zeros * ups).cast("double"))
+        .withColumn("w_minus", (F.col("_down_ranks") - zeros * (F.col("n") - ups)).cast("double"))
+        .withColumn("statistic", F.least("w_plus", "w_minus"))
+        .drop("_ups", "_up_ranks", "_down_ranks")
     )
-    groups = deltas.groupBy(*by).agg(count_if(d == 0).alias("zeros"))
-    return join_on(groups, sums, by, "left").fillna(
-        0, subset=["n", "w_plus", "w_minus", "tie_term"]
-    ).withColumn("statistic", F.least("w_plus", "w_minus"))
 
 
 def wilcoxon_test(

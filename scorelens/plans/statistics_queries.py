@@ -11,6 +11,7 @@ from scorelens.operators.scoring import score_variants
 from scorelens.plans import scenario as sc
 from scorelens.plans.registry import query
 from scorelens.plans.scenario import rounded, tidy, with_tables
+from scorelens.storage import materialize
 
 SERIES = ["model", "text_type", "classifier", "label"]
 
@@ -265,7 +266,9 @@ _IMPROVEMENT_NUMBERS = "mean std min max improved_rate regressed_rate neutral_ra
 @query("h2_improvement_stats", with_tables("primary_paired", rounded("model classifier n improved regressed neutral", _IMPROVEMENT_NUMBERS, f"""
   SELECT model, classifier, {_IMPROVEMENT} FROM primary_paired WHERE text_type = 'output' GROUP BY ALL""")))
 def h2(spark, d):
-    return tidy(delta.improvement_stats(deltas(spark, d), ["model", "classifier"]))
+    """The deltas are written once, since exact quartiles read them twice."""
+    rows = materialize(deltas(spark, d).select("model", "classifier", "delta"), "deltas")
+    return tidy(delta.improvement_stats(rows, ["model", "classifier"]))
 
 
 @query("h3_skewness", with_tables("paired", rounded("model classifier label text_type", "skewness", f"""
