@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from scorelens.functions.text import text_variants
 from scorelens.operators.ranks import ordered_index
-from scorelens.storage import join_on
+from scorelens.storage import join_on, materialize
 
 
 def pair(left: DataFrame, right: DataFrame, key: str = "sample_id", *, how: str = "inner") -> DataFrame:
@@ -40,12 +40,16 @@ def compose_variants(pairs: DataFrame, *, key: str = "sample_id", sep: str = " "
 BOUNDARY_ROWS = 10_000
 
 
-def _bucket_of(df: DataFrame, bucket: Column, rows: int, *extra: Column):
+def _bucket_counts(df: DataFrame, bucket: Column, *extra: Column) -> DataFrame:
+    """Rows per bucket; a bucket has at most 65 536 values."""
+    return df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), *extra)
+
+
+def _bucket_of(counts: DataFrame, rows: int):
     """Bucket that holds row number ``rows``, its size, and the row's number inside it.
 
-    ``bucket`` must not decrease along the order and have at most 65 536 values, so the table of counts is small.
+    Buckets must not decrease along the order of the rows.
     """
-    counts = df.groupBy(bucket.alias("b")).agg(F.count("*").alias("n"), *extra)
     w = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         counts.withColumn("through", F.sum("n").over(w))
@@ -87,16 +91,18 @@ def split_by_hash(
     without a sort or shuffle of the table. Only scalars reach the driver.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
-    rows = math.floor(ratio * df.count())
+    length = 4
+    counts = materialize(_bucket_counts(df, F.substring(digest, 1, length)), "buckets")
+    rows = math.floor(ratio * (counts.agg(F.sum("n")).first()[0] or 0))
     if rows == 0:
         return _label(df, F.lit(False), names)
-    part, length = df, 0
+    hit = _bucket_of(counts, rows)
     while True:
-        length += 4
-        hit = _bucket_of(part, F.substring(digest, 1, length), rows)
-        part, rows = part.where(F.substring(digest, 1, length) == hit["b"]), hit["inside"]
+        part, rows = df.where(F.substring(digest, 1, length) == hit["b"]), hit["inside"]
         if hit["n"] <= BOUNDARY_ROWS or length == 32:
             break
+        length += 4
+        hit = _bucket_of(_bucket_counts(part, F.substring(digest, 1, length)), rows)
     order = [digest, F.col(key)]
     return _label(df, _through(order, _edge(part, order, rows)), names)
 
@@ -108,20 +114,19 @@ def split_by_order(
 
     A numeric key needs counting passes over ever narrower ranges; other keys are ordered with ``ordered_index``.
     """
-    total = df.count()
+    k = F.col(key)
+    total, low, high = df.agg(F.count("*"), F.min(key), F.max(key)).first()
     rows = math.floor(ratio * total)
     if rows == 0:
         return _label(df, F.lit(False), names)
-    k = F.col(key)
     if not isinstance(df.schema[key].dataType, T.NumericType):
         placed = ordered_index(df, [], [key], "_position")
         return _label(placed, F.col("_position") <= rows, names).drop("_position")
-    low, high = df.agg(F.min(key), F.max(key)).first()
     part = df
     while low != high:
         share = (k - F.lit(low)).cast("double") / F.lit(float(high - low))
         bucket = F.least(F.floor(share * 65536), F.lit(65535))
-        hit = _bucket_of(part, bucket, rows, F.min(key).alias("low"), F.max(key).alias("high"))
+        hit = _bucket_of(_bucket_counts(part, bucket, F.min(key).alias("low"), F.max(key).alias("high")), rows)
         low, high, rows = hit["low"], hit["high"], hit["inside"]
         part = df.where(k.between(F.lit(low), F.lit(high)))
         if hit["n"] <= BOUNDARY_ROWS:

@@ -220,6 +220,16 @@ def f1(spark, d):
     return pairing.pair(*corpora(spark, d))
 
 
+@query("f1_conversation_pairs", """SELECT a.conv_id, a.turn, a.text AS prompt, b.text AS output FROM conversations a JOIN conversations b
+  ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND b.role = 'assistant'""")
+def f1_conversations(spark, d):
+    """A user turn and the assistant turn that follows it."""
+    turns = sc.table(spark, d, "conversations")
+    prompts = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("prompt"))
+    answers = turns.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("output"))
+    return prompts.join(answers, ["conv_id", "turn"])
+
+
 @query("f1_unmatched_counts", """SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS paired, count(*) FILTER (l.doc_id IS NULL) AS left_only,
   count(*) FILTER (d.doc_id IS NULL) AS right_only FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id""")
 def f1_counts(spark, d):

@@ -44,9 +44,14 @@ def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(strip(F.col("value")).alias("text")).where(F.length("text") > 0)
 
 
-def read_results_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """Results frame from CSV with quoted multi-line text; without a schema an extra pass infers it."""
-    reader = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
+def read_results_csv(
+    spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True
+) -> DataFrame:
+    """Results frame from CSV with quoted text; without a schema an extra pass infers it.
+
+    Text with line breaks needs ``multi_line``, where one task reads a file; without it large files are split.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 

@@ -157,3 +157,15 @@ def test_batches_are_full_and_whole(spark):
     for r in rows:
         sizes[r["batch_id"]] = sizes.get(r["batch_id"], 0) + 1
     assert len(rows) == 50 and sizes == {**{b: 8 for b in range(6)}, 6: 2}
+
+
+@pytest.mark.parametrize("boundary", [1, 20])
+def test_splits_narrow_down_in_several_passes(spark, monkeypatch, boundary):
+    monkeypatch.setattr(pairing, "BOUNDARY_ROWS", boundary)
+    # clustered keys with one far outlier
+    df = spark.range(997).select(F.when(F.col("id") == 996, F.lit(10**12)).otherwise(F.col("id")).alias("k"))
+    for ratio in (0.1, 0.8):
+        want = math.floor(ratio * 997)
+        ordered = sorted(r["k"] for r in pairing.split_by_order(df, "k", ratio).where("split = 'train'").collect())
+        assert ordered == list(range(want))
+        assert pairing.split_by_hash(df, "k", ratio).where("split = 'train'").count() == want
