@@ -1,6 +1,9 @@
 """All queries of this subpackage."""
 
-from scorelens.llm import bpe_query  # noqa: F401
+from scorelens.llm import (  # noqa: F401
+    bpe_query,
+    ngram_join_query,
+)
 from scorelens.llm.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
