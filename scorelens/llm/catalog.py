@@ -2,6 +2,8 @@
 
 from scorelens.llm import (  # noqa: F401
     bpe_query,
+    chat_events_query,
+    hilbert_shards_query,
     ngram_join_query,
 )
 from scorelens.llm.registry import QUERIES, SQL
