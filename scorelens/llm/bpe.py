@@ -13,13 +13,14 @@ from __future__ import annotations
 
 import base64
 import heapq
+import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,9 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_JOIN, IN_SPACES, ONE_LEFT, TWO_L
 #: The White_Space property of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces whose merges a worker remembers.
-CACHE_PIECES = 1 << 17
+CACHE_PIECES = 1 << 18
+#: Longer pieces are merged one by one, with a heap.
+LONG_PIECE = 64
 _BLOCK = 256
 
 
@@ -156,24 +159,90 @@ def piece_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Merger:
-    """Ids of pieces by lowest-rank pair merging, remembered per piece."""
+    """Ids of pieces by lowest-rank pair merging, remembered per piece.
+
+    Unknown pieces of a slice are merged together, one merge of each at a time, on arrays of token ids.
+    """
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        self.seen: dict[bytes, tuple[int, ...]] = {}
-
-    def ids(self, piece: bytes) -> tuple[int, ...]:
-        found = self.seen.get(piece)
-        if found is None:
-            if len(self.seen) >= CACHE_PIECES:
-                self.seen.clear()
-            rank = self.ranks.get(piece)
-            found = (rank,) if rank is not None else self._merge(piece)
-            if len(piece) <= 256:
-                self.seen[piece] = found
-        return found
-
-    def _merge(self, piece: bytes) -> tuple[int, ...]:
+        self.known: dict[bytes, bytes] = {}  # piece to its ids as int32
+        self.width = max(ranks.values(), default=0) + 1
+        joined = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
+                if left is not None and right is not None:
+                    joined[left * self.width + right] = rank
+        self.keys = np.array(sorted(joined), dtype=np.int64)
+        self.merged = np.array([joined[k] for k in self.keys.tolist()] + [self.width], dtype=np.int64)
+        self.byte_ids = np.array([ranks[bytes([i])] for i in range(256)], dtype=np.int64)
+
+    def ids(self, pieces: list[bytes]) -> np.ndarray:
+        """The ids of all pieces, one after another."""
+        distinct = set(pieces)
+        new = distinct.difference(self.known)
+        if len(self.known) + len(new) > CACHE_PIECES:
+            self.known = {p: self.known[p] for p in distinct.intersection(self.known)}
+        known, ranks = self.known, self.ranks
+        by_length: dict[int, list[bytes]] = {}
+        for piece in new:
+            rank = ranks.get(piece)
+            if rank is not None:
+                known[piece] = rank.to_bytes(4, sys.byteorder)
+            elif len(piece) > LONG_PIECE:
+                known[piece] = np.array(self._merge_long(piece), dtype=np.int32).tobytes()
+            else:
+                by_length.setdefault(len(piece), []).append(piece)
+        for length, group in by_length.items():
+            known.update(zip(group, self._merge_group(group, length)))
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), dtype=np.int32)
+
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of the token that two adjacent ones give; ``width`` if none."""
+        key = left * self.width + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys.take(at, mode="clip") == key, self.merged[at], self.width)
+
+    def _merge_group(self, group: list[bytes], length: int) -> list[bytes]:
+        token = self.byte_ids[np.frombuffer(b"".join(group), np.uint8)].reshape(len(group), length)
+        pair = self._pairs(token[:, :-1], token[:, 1:])
+        order = np.arange(len(group))
+        out = [b""] * len(group)
+
+        def put(order: np.ndarray, token: np.ndarray) -> None:
+            raw, size = token.astype(np.int32).tobytes(), 4 * token.shape[1]
+            for k, i in enumerate(order.tolist()):
+                out[i] = raw[k * size : (k + 1) * size]
+
+        while True:
+            best = pair.argmin(axis=1)
+            rows = np.arange(len(best))
+            rank = pair[rows, best]
+            over = rank == self.width
+            if over.any():
+                put(order[over], token[over])
+                token, pair, best, rank, order = token[~over], pair[~over], best[~over], rank[~over], order[~over]
+                rows = rows[: len(order)]
+            if not len(order):
+                return out
+            token[rows, best] = rank
+            count = token.shape[1] - 1
+            if count == 1:
+                put(order, token[:, :1])
+                return out
+            # close the gap behind the merged token, then renew the pairs on both sides of it
+            after = np.arange(count) > best[:, None]
+            token = np.where(after, token[:, 1:], token[:, :-1])
+            pair = np.where(after[:, :-1] if count > 1 else after, pair[:, 1:], pair[:, :-1])
+            has_right = np.flatnonzero(best < count - 1)
+            at = best[has_right]
+            pair[has_right, at] = self._pairs(token[has_right, at], token[has_right, at + 1])
+            has_left = np.flatnonzero(best > 0)
+            at = best[has_left]
+            pair[has_left, at - 1] = self._pairs(token[has_left, at - 1], token[has_left, at])
+
+    def _merge_long(self, piece: bytes) -> tuple[int, ...]:
         """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left; n log n in the length."""
         ranks, n = self.ranks, len(piece)
         end = list(range(1, n + 1))  # of the part that begins here
@@ -212,6 +281,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return _RANKS[path]
 
 
+_MERGERS: dict[str, Merger] = {}
+
+
+def _merger(path: str) -> Merger:
+    """One for each worker, so that pieces stay known from task to task."""
+    if path not in _MERGERS:
+        _MERGERS[path] = Merger(load_ranks(path))
+    return _MERGERS[path]
+
+
 def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Token ids of every text: (key, ids array<int>, starts array<int>).
 
@@ -221,8 +300,7 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
-        merger = Merger(ranks)
-        ids_of = merger.ids
+        merger = _merger(vocabulary)
         lengths = np.zeros(max(ranks.values(), default=0) + 1, dtype=np.int32)
         for token, rank in ranks.items():
             lengths[rank] = len(token)
@@ -231,9 +309,7 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
                 begins = piece_starts(data, offsets)
                 raw = data.tobytes()
                 stops = np.append(begins[1:], len(raw)).tolist()
-                parts = [ids_of(raw[a:b]) for a, b in zip(begins.tolist(), stops)]
-                ids = np.fromiter(chain.from_iterable(parts), dtype=np.int32)
-                del parts
+                ids = merger.ids([raw[a:b] for a, b in zip(begins.tolist(), stops)])
                 size = lengths[ids]
                 at = np.cumsum(size, dtype=np.int64) - size
                 bounds = np.searchsorted(at, offsets).astype(np.int32)
@@ -272,7 +348,10 @@ def decode(df: DataFrame, vocabulary: str, keep: list[str], ids: str = "ids") ->
             column = batch.column(batch.num_columns - 1)
             for first in range(0, batch.num_rows, 256):
                 part = column.slice(first, 256)
-                out = [None if value is None else b"".join(map(token, value)) for value in part.to_pylist()]
+                values = list(map(token, part.flatten().to_pylist()))
+                ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)).tolist()
+                there = part.is_valid().to_pylist()
+                out = [b"".join(values[a:b]) if valid else None for a, b, valid in zip([0, *ends], ends, there)]
                 kept = [c.slice(first, len(out)) for c in batch.columns[:-1]]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
