@@ -3,8 +3,10 @@
 from scorelens.llm import (  # noqa: F401
     bpe_query,
     chat_events_query,
+    disclosure_query,
     hilbert_shards_query,
     ngram_join_query,
+    url_reputation_query,
 )
 from scorelens.llm.registry import QUERIES, SQL
 
