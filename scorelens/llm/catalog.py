@@ -5,6 +5,7 @@ from scorelens.llm import (  # noqa: F401
     chat_events_query,
     disclosure_query,
     hilbert_shards_query,
+    isolation_rules_query,
     ngram_join_query,
     url_reputation_query,
 )

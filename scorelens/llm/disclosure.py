@@ -86,21 +86,40 @@ def _valid(kind: str, value: Column) -> Column:
     return F.length(digits).between(9, 15)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body uses it in a loop."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _total(numbers: Column) -> Column:
+    return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+
 def _located(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of all matches: the texts between matches and the matches alternate."""
-    return F.aggregate(
-        F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit"))),
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-        lambda done, next_: F.struct(
-            (done["at"] + F.length(next_["gap"]) + F.coalesce(F.length(next_["hit"]), F.lit(0))).alias("at"),
-            F.when(next_["hit"].isNull(), done["spans"]).otherwise(F.concat(done["spans"], F.array(F.struct(
-                (done["at"] + F.length(next_["gap"])).alias("start"),
-                (done["at"] + F.length(next_["gap"]) + F.length(next_["hit"])).alias("end"),
-                next_["hit"].alias("value"),
-            )))).alias("spans"),
-        ),
-        lambda done: done["spans"],
-    )
+    """Array of (start, end, value) of all matches.
+
+    The texts between matches and the matches alternate, so places are running sums of lengths. They are taken over
+    blocks and within the last block, which keeps a text with very many matches far from quadratic work.
+    """
+    block = 256
+
+    def spans(hits: Column, steps: Column, blocks: Column) -> Column:
+        def span(hit: Column, i: Column) -> Column:
+            full = F.floor(i / block).cast("int")
+            end = _total(F.slice(blocks, 1, full)) + _total(F.slice(steps, full * block + 1, i - full * block + 1))
+            return _let(end, lambda e: F.struct((e - F.length(hit)).alias("start"), e.alias("end"), hit.alias("value")))
+
+        return F.transform(hits, span)
+
+    def summed(hits: Column, steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(steps) / block).cast("int")), lambda b: _total(F.slice(steps, b * block + 1, F.lit(block))))
+        return _let(blocks, lambda sums: spans(hits, steps, sums))
+
+    def stepped(hits: Column) -> Column:
+        steps = F.zip_with(F.split(text, pattern, -1), hits, lambda gap, hit: F.length(gap) + F.coalesce(F.length(hit), F.lit(0)))
+        return _let(steps, lambda lengths: summed(hits, lengths))
+
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), stepped)
 
 
 def _validity(kind: str):

@@ -100,7 +100,7 @@ def test_spans_equal_brute_force(spark):
 
 
 def test_masks_long_runs_nulls_repeats_and_no_rows(spark):
-    long = ["7" * 100000, "a" * 100000, "1.2." * 30000, "+1" + " 1" * 50000, "a@" + "b." * 50000, "1 " * 50000, "+1 " * 30000]
+    long = ["7" * 100000, "a" * 50000, "1.2." * 2000, "+1" + " 1" * 50000, "a@" + "b." * 50000, "1 " * 50000, "+1 " * 30000]
     rows = [(1, "mail a.b@c.de now", None), (1, "mail a.b@c.de now", None), (None, None, "x"), (2, "", "y"), (3, "+1 (017) 555-7713 x 1.2.3.4", "z")]
     docs = spark.createDataFrame(rows + [(10 + i, t, None) for i, t in enumerate(long)], "doc_id long, text string, found string")
     got = sanitise(docs).collect()
