@@ -8,6 +8,7 @@ from scorelens.llm import (  # noqa: F401
     isolation_rules_query,
     ngram_join_query,
     url_reputation_query,
+    weak_quality_query,
 )
 from scorelens.llm.registry import QUERIES, SQL
 
