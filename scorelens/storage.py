@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def _shuffle_files_removed(spark: SparkSession):
+    """Within, Spark removes the shuffle files of a query when it has ended: what is written needs them no longer."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 _WRITTEN: list[str] = []
 
 
@@ -39,21 +52,58 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Later plans see fixed rows, exact file sizes (so Spark's own size check decides about broadcasting)
-    and survive the loss of executors.
+    and survive the loss of executors. Inside a ``Scratch`` the table belongs to it and goes with it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    _WRITTEN.append(path)
+    with _shuffle_files_removed(df.sparkSession):
+        df.write.parquet(path)
+    (_OWNERS[-1].paths if _OWNERS else _WRITTEN).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_materialized(spark: SparkSession) -> None:
-    """Delete the tables this process has written with ``materialize``, once no result that reads them is needed."""
-    while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(paths.pop())
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Scratch:
+    """Owns the tables that are written with ``materialize`` inside its ``with`` block and deletes them at its end.
+
+    Nothing that leaves the block may still read them: write it with ``keep`` before.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Scratch:
+        _OWNERS.append(self)
+        return self
+
+    def __exit__(self, *_) -> None:
+        _OWNERS.remove(self)
+        _delete(self.spark, self.paths)
+
+    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+        """Write a table that outlives this block."""
+        at = _OWNERS.index(self)
+        inner = _OWNERS[at:]
+        del _OWNERS[at:]
+        try:
+            return materialize(df, name)
+        finally:
+            _OWNERS.extend(inner)
+
+
+_OWNERS: list[Scratch] = []
+
+
+def drop_materialized(spark: SparkSession) -> None:
+    """Delete the tables this process has written with ``materialize`` outside of a ``Scratch``, once no result needs them."""
+    _delete(spark, _WRITTEN)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join that keeps one copy of the keys and matches NULL with NULL."""
     renamed = right.select(*[F.col(c).alias(f"_right_{c}") if c in keys else F.col(c) for c in right.columns])
