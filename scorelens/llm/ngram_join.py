@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from scorelens.llm.components import connected_components
 from scorelens.llm.textscan import gram_hashes, mix, row_bounds, text_slices, word_hashes, words
-from scorelens.storage import materialize
+from scorelens.storage import Scratch, materialize
 
 #: Sets up to this size meet on prefix n-grams, larger ones on segments.
 SMALL_SET = 37
@@ -245,13 +245,26 @@ def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
 def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable over pairs of at least ``similarity``."""
     spark = docs.sparkSession
-    sets = materialize(set_keys(docs, n, similarity, key, text), "sets")
-    rows = sets.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    postings = materialize(
-        rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
-        .mapInArrow(_shared_keys, "key long, node long, pivot long"), "postings",
+    with Scratch(spark) as wide:
+        keyed = materialize(set_keys(docs, n, similarity, key, text), "keys")
+        rows = keyed.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
+        postings = wide.keep(
+            rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
+            .mapInArrow(_shared_keys, "key long, node long, pivot long"), "postings",
+        )
+        sets = wide.keep(keyed.drop("keys"), "sets")
+    with Scratch(spark) as inner:
+        labels = inner.keep(_labels(docs, sets, postings, n, similarity, key, text), "components")
+    named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
+    first = materialize(named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
+    return named.join(first, "group", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
+    """(node, label) of the nodes that are similar to another one."""
     # one pivot for each node: the smallest node of its segments
     stars = materialize(postings.groupBy(F.col("node").alias("src")).agg(F.min("pivot").alias("dst")), "stars")
     chosen = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
@@ -274,8 +287,4 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
         last = materialize(similar_pairs(rest, segments, similarity), "links")
         if not last.isEmpty():
             labels = connected_components(links.union(last))
-    named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
-    first = materialize(named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
-    return named.join(first, "group", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")
-    )
+    return labels
