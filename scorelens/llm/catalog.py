@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
 from scorelens.llm import (  # noqa: F401
+    bm25_wand_query,
     bpe_query,
     chat_events_query,
     disclosure_query,

@@ -92,6 +92,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(offsets, starts, side="right") - 1
 
 
+_OUTER = np.zeros(256, dtype=bool)
+_OUTER[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+
+
+def trim_punctuation(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, times: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Words without up to ``times`` ASCII punctuation marks at either end; one byte always stays."""
+    if len(starts):
+        for _ in range(times):
+            starts = starts + (_OUTER[data[starts]] & (ends - starts > 1))
+            ends = ends - (_OUTER[data[ends - 1]] & (ends - starts > 1))
+    return starts, ends
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
     """64-bit hashes of byte ranges; with ``lower``, A to Z count as a to z."""
     if len(starts) == 0:

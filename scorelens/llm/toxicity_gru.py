@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelens.llm.textscan import mix, text_slices, word_hashes, words
+from scorelens.llm.textscan import mix, text_slices, trim_punctuation, word_hashes, words
 from scorelens.storage import materialize
 
 TRAIN_POSITIVE, TRAIN_NEGATIVE, TRAIN_CHARS = 1500, 3000, 3000
@@ -42,8 +42,6 @@ LEAST_TEXTS = 5
 DECISION = 0.7
 LOGIT_BINS = 400
 
-_OUTER = np.zeros(256, dtype=bool)
-_OUTER[list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -65,9 +63,7 @@ class Words:
 
 def read_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     starts, ends, rows = words(data, offsets)
-    for _ in range(4):  # outer punctuation, as long as a byte of the word remains
-        starts = starts + (_OUTER[data[np.minimum(starts, len(data) - 1)]] & (ends - starts > 1)) if len(data) else starts
-        ends = ends - (_OUTER[data[ends - 1]] & (ends - starts > 1)) if len(data) else ends
+    starts, ends = trim_punctuation(data, starts, ends)
     hashes = word_hashes(data, starts, ends, lower=True)
     distinct, first, index = np.unique(hashes, return_index=True, return_inverse=True)
     starts, ends = starts[first], ends[first]
