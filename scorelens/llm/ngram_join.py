@@ -7,7 +7,9 @@ segments, one per fragment.
   n-grams, so of the first ``d + 1`` non-empty segments of either one at least one is the same in both. Documents meet
   on (size class, fragment, segment hash). A segment holds several n-grams, so a passage shared by many otherwise
   different documents rarely fills one. Small sets meet on the n-grams of their prefix in the global order.
-* Overlaps. For candidate pairs the common n-grams are counted in every fragment separately and summed per pair.
+* Bounds. Every set has a profile, its counts in ``PROFILE_CELLS`` equal ranges of the order. The sum of the smaller
+  counts bounds a pair's overlap from above; pairs whose bound is too low are no links.
+* Overlaps. For the pairs left the common n-grams are counted in every fragment separately and summed per pair.
 * Large groups. In a segment shared by many documents every document is first compared with one pivot only. Only
   pairs that are in different components afterwards are compared one by one, so the members of a large group of near
   copies are not paired with each other, and no link between components is lost.
@@ -39,6 +41,8 @@ SMALL_SET = 37
 CLASS_RATIO = 1.4
 #: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 8
+#: Ranges of the order in which a set's n-grams are counted.
+PROFILE_CELLS = 256
 #: Set hashes that a task remembers to send the keys of equal sets once.
 SEEN_SETS = 1 << 18
 
@@ -111,10 +115,16 @@ def set_hash(grams: np.ndarray) -> int:
     return int(_signed(mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))))[0])
 
 
+def profile_of(grams: np.ndarray) -> bytes:
+    """Counts of n-grams by range of the order; the greatest value stands for any number."""
+    cell = (grams >> np.uint64(64 - PROFILE_CELLS.bit_length() + 1)).astype(np.int64)
+    return np.minimum(np.bincount(cell, minlength=PROFILE_CELLS), 0xFFFF).astype(np.uint16).tobytes()
+
+
 def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, keys): set size, set hash (null: empty set) and meeting keys of every document.
+    """(doc_id, n_shingles, node, keys, profile): set size, set hash (null: empty set), meeting keys, counts by range.
 
-    A task sends the keys of equal sets once.
+    A task sends the keys and profile of equal sets once.
     """
     share = _share(similarity)
 
@@ -122,34 +132,36 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
         seen: set[int] = set()
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(1)):
-                sizes, nodes, keys = [], [], []
+                sizes, nodes, keys, profiles = [], [], [], []
                 for grams in _sets(data, offsets, n):
                     sizes.append(len(grams))
+                    keys.append(None)
+                    profiles.append(None)
                     if len(grams) == 0:
                         nodes.append(None)
-                        keys.append(None)
                         continue
                     node = set_hash(grams)
                     nodes.append(node)
                     if node in seen:
-                        keys.append(None)
                         continue
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(node)
-                    keys.append(_signed(meeting_keys(grams, share)))
+                    keys[-1] = _signed(meeting_keys(grams, share))
+                    profiles[-1] = profile_of(grams)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sizes)),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(profiles, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys"],
+                    names=["doc_id", "n_shingles", "node", "keys", "profile"],
                 )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, profile binary")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,9 +229,33 @@ def fragments_of(docs: DataFrame, n: int) -> DataFrame:
     return source.mapInArrow(run, f"{fields}, fragment int, grams array<long>")
 
 
-def similar_pairs(pairs: DataFrame, segments: DataFrame, similarity: float) -> DataFrame:
+def possible_pairs(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Of ``pairs`` (src, dst) those whose profiles (node, size, profile) allow the similarity."""
+    share = _share(similarity)
+    a = profiles.select(F.col("node").alias("src"), F.col("size").alias("_m"), F.col("profile").alias("_a"))
+    b = profiles.select(F.col("node").alias("dst"), F.col("size").alias("_n"), F.col("profile").alias("_b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 4096):
+                part = batch.slice(first, 4096)
+                src, dst, m, n = (part.column(i).to_numpy() for i in range(4))
+                left, right = (
+                    np.frombuffer(b"".join(part.column(i).to_pylist()), np.uint16).reshape(-1, PROFILE_CELLS) for i in (4, 5)
+                )
+                least = np.minimum(left, right)
+                most = np.where((least == 0xFFFF).any(axis=1), np.minimum(m, n), np.minimum(least.sum(axis=1, dtype=np.int64), np.minimum(m, n)))
+                fits = most * share.denominator >= (m + n - most) * share.numerator
+                yield pa.RecordBatch.from_arrays([pa.array(src[fits]), pa.array(dst[fits])], names=["src", "dst"])
+
+    joined = pairs.join(a, "src").join(b, "dst")
+    return joined.select("src", "dst", "_m", "_n", "_a", "_b").mapInArrow(run, "src long, dst long")
+
+
+def similar_pairs(pairs: DataFrame, profiles: DataFrame, segments: DataFrame, similarity: float) -> DataFrame:
     """Of ``pairs`` (src, dst) those that are similar, by partial overlaps per fragment summed per pair."""
     share = _share(similarity)
+    pairs = materialize(possible_pairs(pairs, profiles, similarity), "possible")
     left = segments.select(F.col("node").alias("src"), "fragment", F.col("grams").alias("_a"), F.col("size").alias("_m"))
     right = segments.select(F.col("node").alias("dst"), "fragment", F.col("grams").alias("_b"), F.col("size").alias("_n"))
     partial = pairs.join(left, "src").join(right, ["dst", "fragment"]).select(
@@ -253,9 +289,12 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
             rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
             .mapInArrow(_shared_keys, "key long, node long, pivot long"), "postings",
         )
-        sets = wide.keep(keyed.drop("keys"), "sets")
+        sets = wide.keep(keyed.drop("keys", "profile"), "sets")
+        met = postings.select("node").distinct()
+        profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile")
+        profiles = wide.keep(profiles.join(met, "node").dropDuplicates(["node"]), "profiles")
     with Scratch(spark) as inner:
-        labels = inner.keep(_labels(docs, sets, postings, n, similarity, key, text), "components")
+        labels = inner.keep(_labels(docs, sets, postings, profiles, n, similarity, key, text), "components")
     named = sets.select("doc_id", "n_shingles", "node").join(labels, "node", "left").withColumn("group", F.coalesce("label", "node"))
     first = materialize(named.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("component_id")), "first")
     return named.join(first, "group", "left").select(
@@ -263,7 +302,7 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
     )
 
 
-def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
+def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, profiles: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are similar to another one."""
     # one pivot for each node: the smallest node of its segments
     stars = materialize(postings.groupBy(F.col("node").alias("src")).agg(F.min("pivot").alias("dst")), "stars")
@@ -271,20 +310,20 @@ def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, n: int, simil
     wanted = chosen.join(stars.select(F.col("src").alias("node")), "node").filter("doc_id is not null")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     segments = materialize(fragments_of(source.join(wanted, "doc_id").select("node", "size", "text"), n), "segments")
-    links = materialize(similar_pairs(stars.filter("src <> dst"), segments, similarity), "links")
+    links = materialize(similar_pairs(stars.filter("src <> dst"), profiles, segments, similarity), "links")
     labels = connected_components(links)
     mixed = _labelled(postings, labels)
     if not mixed.isEmpty():
         # a second pivot: the largest label of each node's segments
         again = mixed.filter("label <> high").groupBy(F.col("node").alias("src")).agg(F.max("high").alias("dst"))
-        more = materialize(similar_pairs(again, segments, similarity), "links")
+        more = materialize(similar_pairs(again, profiles, segments, similarity), "links")
         links = links.union(more)
         labels = connected_components(links)
         mixed = _labelled(mixed, labels)
         a = mixed.select("key", F.col("node").alias("src"), F.col("label").alias("_from"))
         b = mixed.select("key", F.col("node").alias("dst"), F.col("label").alias("_to"))
         rest = a.join(b, "key").filter("_from < _to").select("src", "dst").distinct()
-        last = materialize(similar_pairs(rest, segments, similarity), "links")
+        last = materialize(similar_pairs(rest, profiles, segments, similarity), "links")
         if not last.isEmpty():
             labels = connected_components(links.union(last))
     return labels
