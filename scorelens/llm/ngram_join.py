@@ -10,7 +10,8 @@ segments, one per fragment.
 * Bounds. Every set has a profile, its counts in ``PROFILE_CELLS`` equal ranges of the order. The sum of the smaller
   counts bounds a pair's overlap from above; pairs whose bound is too low are no links.
 * Overlaps. For the pairs left the common n-grams are counted in every fragment separately and summed per pair.
-* Large groups. In a segment shared by many documents every document is first compared with one pivot only. Only
+* Large groups. In a segment shared by many documents every document is first compared with one pivot only, one of those
+  that share most segments with others, as the originals of near copies do; some rounds vary the pivot. Only
   pairs that are in different components afterwards are compared one by one, so the members of a large group of near
   copies are not paired with each other, and no link between components is lost.
 
@@ -28,7 +29,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.llm.components import connected_components
@@ -38,11 +39,15 @@ from scorelens.storage import Scratch, materialize
 #: Sets up to this size meet on prefix n-grams, larger ones on segments.
 SMALL_SET = 37
 #: Ratio of the largest to the smallest size of a size class.
-CLASS_RATIO = 1.4
+CLASS_RATIO = 1.25
 #: Fragments in which overlaps are counted.
 OVERLAP_FRAGMENTS = 8
 #: Ranges of the order in which a set's n-grams are counted.
 PROFILE_CELLS = 256
+#: Wider ranges of a second, small profile, which the pairing of large groups checks as it goes.
+COARSE_CELLS = 64
+#: Rounds in which nodes meet one pivot of another component, before all pairs that are still apart are compared.
+PIVOT_ROUNDS = 3
 #: Set hashes that a task remembers to send the keys of equal sets once.
 SEEN_SETS = 1 << 18
 
@@ -95,7 +100,8 @@ def meeting_keys(grams: np.ndarray, similarity: Fraction) -> np.ndarray:
         if largest < low or n > high:
             continue
         differ = int(2 * high * (1 - similarity) / (1 + similarity))
-        fragments = int(1.5 * (differ + 1)) + 8
+        # some fragments stay empty
+        fragments = int(1.15 * (differ + 1)) + 8
         place = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         if mixed is None:
             mixed = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
@@ -115,10 +121,16 @@ def set_hash(grams: np.ndarray) -> int:
     return int(_signed(mix(mix(grams).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(grams))))[0])
 
 
-def profile_of(grams: np.ndarray) -> bytes:
+def profile_of(grams: np.ndarray) -> np.ndarray:
     """Counts of n-grams by range of the order; the greatest value stands for any number."""
     cell = (grams >> np.uint64(64 - PROFILE_CELLS.bit_length() + 1)).astype(np.int64)
-    return np.minimum(np.bincount(cell, minlength=PROFILE_CELLS), 0xFFFF).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount(cell, minlength=PROFILE_CELLS), 0xFFFF).astype(np.uint16)
+
+
+def coarse_of(counts: np.ndarray, size: int) -> np.ndarray:
+    """A profile added up to COARSE_CELLS ranges; a range that may have overflown counts as the whole set."""
+    cells = counts.reshape(COARSE_CELLS, -1)
+    return np.where((cells == 0xFFFF).any(axis=1), size, cells.sum(axis=1)).astype(np.int32)
 
 
 def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
@@ -132,11 +144,12 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
         seen: set[int] = set()
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(1)):
-                sizes, nodes, keys, profiles = [], [], [], []
+                sizes, nodes, keys, profiles, coarse = [], [], [], [], []
                 for grams in _sets(data, offsets, n):
                     sizes.append(len(grams))
                     keys.append(None)
                     profiles.append(None)
+                    coarse.append(None)
                     if len(grams) == 0:
                         nodes.append(None)
                         continue
@@ -148,7 +161,8 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                         seen.clear()
                     seen.add(node)
                     keys[-1] = _signed(meeting_keys(grams, share))
-                    profiles[-1] = profile_of(grams)
+                    counts = profile_of(grams)
+                    profiles[-1], coarse[-1] = counts.tobytes(), coarse_of(counts, len(grams))
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sizes)),
@@ -156,12 +170,13 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                         pa.array(nodes, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(profiles, pa.binary()),
+                        pa.array(coarse, pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys", "profile"],
+                    names=["doc_id", "n_shingles", "node", "keys", "profile", "coarse"],
                 )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, profile binary")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, profile binary, coarse array<int>")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,13 +286,50 @@ def similar_pairs(pairs: DataFrame, profiles: DataFrame, segments: DataFrame, si
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of keys whose nodes are in more than one component, with the label of each node."""
     named = materialize(
-        postings.select("key", "node").join(labels, "node", "left")
-        .select("key", "node", F.coalesce("label", "node").alias("label")), "labelled",
+        postings.select("key", "node", "weight").join(labels, "node", "left")
+        .select("key", "node", "weight", F.coalesce("label", "node").alias("label")), "labelled",
     )
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     return materialize(named.join(mixed, "key"), "mixed")
 
 
+def _weighed(postings: DataFrame) -> DataFrame:
+    """Postings (key, node, weight) with the order of magnitude of the number of nodes that a node meets."""
+    size = postings.groupBy("key").agg(F.count("*").alias("n"))
+    weight = postings.select("key", "node").join(size, "key").groupBy("node").agg(F.floor(2 * F.log2(F.sum("n"))).cast("int").alias("weight"))
+    return postings.select("key", "node").join(weight, "node")
+
+
+def _star(rows: DataFrame, k: int) -> DataFrame:
+    """One pivot (src, dst) for each node: a heavy node of its segments, in another component; ``k`` varies the choice."""
+    rank = F.struct("weight", F.xxhash64("node", F.lit(k)).alias("draw"), "node", "label")
+    heavy = rows.groupBy("key").agg(F.max(rank).alias("top")).select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("_of"))
+    return _most_frequent(rows.join(materialize(heavy, "heavy"), "key").filter("label <> _of"), "node", "pivot")
+
+
+def _most_frequent(rows: DataFrame, node: str, partner: str) -> DataFrame:
+    """(src, dst): the partner that each node meets most often, the smallest of equals."""
+    counted = rows.groupBy(node, partner).agg(F.count("*").alias("n"))
+    return counted.groupBy(F.col(node).alias("src")).agg(F.max(F.struct(F.col("n"), (-F.col(partner)).alias("p"))).alias("best")).select(
+        "src", (-F.col("best.p")).alias("dst")
+    )
+
+
+def _between_components(mixed: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of nodes in one segment and different components whose coarse profiles allow the similarity."""
+    share = _share(similarity)
+    rows = materialize(mixed.join(profiles.select("node", "size", *[F.col("coarse")[i].alias(f"c{i}") for i in range(COARSE_CELLS)]), "node"), "profiled")
+    names = ["node", "label", "size", *(f"c{i}" for i in range(COARSE_CELLS))]
+    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in names])
+    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in names])
+    most = F.lit(0)
+    for i in range(COARSE_CELLS):
+        most = most + F.least(f"a_c{i}", f"b_c{i}")
+    fits = most * (share.denominator + share.numerator) >= (F.col("a_size") + F.col("b_size")) * share.numerator
+    joined = a.join(b, (a["key"] == b["key"]) & (F.col("a_label") < F.col("b_label")) & fits)
+    return joined.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
+
+
 def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): the smallest doc_id reachable over pairs of at least ``similarity``."""
     spark = docs.sparkSession
@@ -289,9 +341,9 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
             rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
             .mapInArrow(_shared_keys, "key long, node long, pivot long"), "postings",
         )
-        sets = wide.keep(keyed.drop("keys", "profile"), "sets")
+        sets = wide.keep(keyed.drop("keys", "profile", "coarse"), "sets")
         met = postings.select("node").distinct()
-        profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile")
+        profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile", "coarse")
         profiles = wide.keep(profiles.join(met, "node").dropDuplicates(["node"]), "profiles")
     with Scratch(spark) as inner:
         labels = inner.keep(_labels(docs, sets, postings, profiles, n, similarity, key, text), "components")
@@ -304,26 +356,20 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
 
 def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, profiles: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
     """(node, label) of the nodes that are similar to another one."""
-    # one pivot for each node: the smallest node of its segments
-    stars = materialize(postings.groupBy(F.col("node").alias("src")).agg(F.min("pivot").alias("dst")), "stars")
+    postings = materialize(_weighed(postings), "weighed")
     chosen = sets.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
-    wanted = chosen.join(stars.select(F.col("src").alias("node")), "node").filter("doc_id is not null")
+    wanted = chosen.join(profiles.select("node"), "node").filter("doc_id is not null")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     segments = materialize(fragments_of(source.join(wanted, "doc_id").select("node", "size", "text"), n), "segments")
-    links = materialize(similar_pairs(stars.filter("src <> dst"), profiles, segments, similarity), "links")
-    labels = connected_components(links)
-    mixed = _labelled(postings, labels)
-    if not mixed.isEmpty():
-        # a second pivot: the largest label of each node's segments
-        again = mixed.filter("label <> high").groupBy(F.col("node").alias("src")).agg(F.max("high").alias("dst"))
-        more = materialize(similar_pairs(again, profiles, segments, similarity), "links")
-        links = links.union(more)
+    mixed = postings.withColumn("label", F.col("node"))
+    links = None
+    for k in range(PIVOT_ROUNDS):
+        more = materialize(similar_pairs(_star(mixed, k), profiles, segments, similarity), "links")
+        links = more if links is None else links.union(more)
         labels = connected_components(links)
         mixed = _labelled(mixed, labels)
-        a = mixed.select("key", F.col("node").alias("src"), F.col("label").alias("_from"))
-        b = mixed.select("key", F.col("node").alias("dst"), F.col("label").alias("_to"))
-        rest = a.join(b, "key").filter("_from < _to").select("src", "dst").distinct()
-        last = materialize(similar_pairs(rest, profiles, segments, similarity), "links")
-        if not last.isEmpty():
-            labels = connected_components(links.union(last))
-    return labels
+        if mixed.isEmpty():
+            return labels
+    rest = materialize(_between_components(mixed, profiles, similarity), "rest")
+    last = materialize(similar_pairs(rest, profiles, segments, similarity), "links")
+    return labels if last.isEmpty() else connected_components(links.union(last))
