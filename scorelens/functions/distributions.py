@@ -10,11 +10,14 @@ from functools import lru_cache
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _NORMAL = NormalDist()
 EXACT_WILCOXON_ROWS = 50
+#: Degrees of freedom from which the normal form of the t distribution is exact to nine digits.
+LARGE_DF = 1e5
 
 
 def normal_sf(z: float) -> float:
@@ -38,8 +41,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = c if abs(c) > tiny else tiny
             result *= c * d
         if abs(c * d - 1.0) < 1e-15:
-            break
-    return result
+            return result
+    raise ArithmeticError(f"incomplete beta function doesn't converge for {a}, {b}, {x}")
 
 
 def incomplete_beta(a: float, b: float, x: float) -> float:
@@ -57,6 +60,9 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
 def student_two_sided(t: float, df: float) -> float:
     if math.isinf(t):
         return 0.0
+    if df > LARGE_DF:
+        # normal tail of the statistic corrected for the degrees of freedom; the rest is of order 1 / df ** 2
+        return 2.0 * normal_sf(abs(t) * (1.0 - 0.25 / df) / math.sqrt(1.0 + t * t / (2.0 * df)))
     return incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
 
 
@@ -159,10 +165,44 @@ def _mapped(function, *columns: pd.Series) -> pd.Series:
     return pd.Series([function(*row) for row in zip(*columns)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    """Inverse standard normal distribution function."""
-    return p.map(_NORMAL.inv_cdf)
+# fixed values: Wichura 1988 (AS 241) rational approximations, lowest power first
+_CENTRAL = (
+    (3.3871328727963666080, 133.14166789178437745, 1971.5909503065514427, 13731.693765509461125,
+     45921.953931549871457, 67265.770927008700853, 33430.575583588128105, 2509.0809287301226727),
+    (1.0, 42.313330701600911252, 687.18700749205790830, 5394.1960214247511077,
+     21213.794301586595867, 39307.895800092710610, 28729.085735721942674, 5226.4952788528545610),
+)
+_TAIL = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504,
+     1.27045825245236838258, 0.241780725177450611770, 0.0227238449892691845833, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 0.689767334985100004550,
+     0.148103976427480074590, 0.0151986665636164571966, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+_FAR_TAIL = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 0.296560571828504891230,
+     0.0265321895265761230930, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 0.599832206555887937690, 0.136929880922735805310, 0.0148753612908506148525,
+     7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def _ratio(coefficients: tuple[tuple[float, ...], tuple[float, ...]], x: Column) -> Column:
+    def horner(values: tuple[float, ...]) -> Column:
+        total = F.lit(values[-1])
+        for value in reversed(values[:-1]):
+            total = total * x + F.lit(value)
+        return total
+
+    return horner(coefficients[0]) / horner(coefficients[1])
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse standard normal distribution function for 0 < p < 1, as built-in arithmetic."""
+    centre = p - F.lit(0.5)
+    distance = F.sqrt(-F.log(F.least(p, 1 - p)))
+    tail = F.when(distance <= 5, _ratio(_TAIL, distance - F.lit(1.6))).otherwise(_ratio(_FAR_TAIL, distance - F.lit(5.0)))
+    near = centre * _ratio(_CENTRAL, F.lit(0.180625) - centre * centre)
+    return F.when(F.abs(centre) <= 0.425, near).when(centre < 0, -tail).otherwise(tail)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import biased_skewness, count_if, rate
 from scorelens.operators.quantiles import profile
+from scorelens.storage import join_on, materialize
 
 SAMPLE_KEYS = ["prompt_id", "text_type", "classifier", "label"]
 
@@ -21,13 +22,26 @@ def with_baseline(
 ) -> DataFrame:
     """Every non-baseline row with the baseline value of the same sample.
 
-    One equi-join on the sample keys serves all models. The baseline side is reduced to one row per sample first,
-    so repeated samples cannot multiply, and AQE may split a sample key that holds very many rows. Samples without
-    a baseline value are dropped.
+    One equi-join on the sample keys serves all models; NULL keys match each other. The baseline side is written first
+    with one row per sample, the mean of repeats, so repeated samples cannot multiply and the join's sides are plain
+    tables, of which AQE can split a hot key. Rows without a baseline value are dropped; ``unmatched`` counts them.
     """
     is_base = F.col(model_col) == baseline
-    base = scores.where(is_base & F.col(value).isNotNull()).groupBy(*keys).agg(F.max(value).alias("base_value"))
-    return scores.where(~is_base & F.col(value).isNotNull()).join(base, keys)
+    base = scores.where(is_base & F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("base_value"))
+    return join_on(scores.where(~is_base & F.col(value).isNotNull()), materialize(base, "baseline"), keys)
+
+
+def unmatched(
+    scores: DataFrame, *, keys: list[str] = SAMPLE_KEYS, model_col: str = "model", baseline: str = "base", value: str = "score"
+) -> DataFrame:
+    """(model, rows, unmatched): rows of each model other than the baseline, and those without a baseline value."""
+    is_base = F.col(model_col) == baseline
+    known = scores.where(is_base & F.col(value).isNotNull()).select(*keys).distinct().withColumn("_known", F.lit(1))
+    rows = scores.where(~is_base & F.col(value).isNotNull()).groupBy(model_col, *keys).agg(F.count("*").alias("_n"))
+    joined = join_on(rows, known, keys, "left")
+    return joined.groupBy(model_col).agg(
+        F.sum("_n").alias("rows"), F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("unmatched")
+    )
 
 
 def baseline_delta(

@@ -101,6 +101,23 @@ def consistent_improvers(
     )
 
 
+def consistency_totals(
+    samples: DataFrame, set_cols: list[str], *, key: str = "sample_id", model: str = "experiment", value: str = "improvement",
+    min_rate: float = 0.75,
+) -> DataFrame:
+    """Per set and model: samples, samples that improve, and of the set all samples and consistent improvers."""
+    v = F.col(value)
+    per_model = samples.groupBy(*set_cols, key, model).agg(F.avg(v).alias(value))
+    per_sample = per_model.groupBy(*set_cols, key).agg(rate(v > 0, v).alias("_rate"))
+    totals = per_sample.groupBy(*set_cols).agg(
+        F.count("*").alias("total_samples"), F.count(F.when(F.col("_rate") >= min_rate, 1)).alias("total_consistent_improvers")
+    )
+    models = per_model.groupBy(*set_cols, model).agg(F.count(v).alias("model_samples"), F.count(F.when(v > 0, 1)).alias("model_improvers"))
+    if not set_cols:
+        return models.crossJoin(F.broadcast(totals))  # one row
+    return join_on(models, totals, set_cols)
+
+
 def improvement_trend(summary: DataFrame, by: list[str], *, order: str = "size_order",
                       mean: str = "mean_improvement") -> DataFrame:
     """Compare the last with the first mean in configuration order."""

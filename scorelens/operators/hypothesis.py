@@ -13,13 +13,16 @@ from scorelens.storage import join_on, materialize
 
 
 def t_statistic(deltas: DataFrame, by: list[str], value: str = "delta") -> DataFrame:
-    """One-sample t against 0; NULL when there is no spread."""
+    """One-sample t against 0. Equal values other than 0 give an infinite t, all zeros give NULL."""
     d = F.col(value)
     error = F.stddev_samp(d) / F.sqrt(F.count(d))
+    infinite = F.when(F.avg(d) > 0, F.lit(float("inf"))).when(F.avg(d) < 0, F.lit(float("-inf")))
     return deltas.groupBy(*by).agg(
         F.count(d).alias("n"),
         F.avg(d).alias("mean"),
-        F.try_divide(F.avg(d), F.nullif(error, F.lit(0.0))).alias("t"),
+        F.when(F.min(d) == F.max(d), F.when(F.count(d) > 1, infinite)).otherwise(
+            F.try_divide(F.avg(d), F.nullif(error, F.lit(0.0)))
+        ).alias("t"),
         (F.count(d) - 1).alias("df"),
     )
 
@@ -130,7 +133,11 @@ def shapiro_test(deltas: DataFrame, by: list[str], value: str = "delta", *, key:
 
 
 def mann_whitney_statistic(samples: DataFrame, by: list[str], value: str, first: Column) -> DataFrame:
-    """U of the rows where ``first`` holds against the others, with the tie term."""
+    """U of the rows where ``first`` holds against the others, with the tie term.
+
+    Rows without a value (NULL or NaN) or with an unknown side take no part.
+    """
+    samples = samples.where(first.isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
     ranked = value_ranks(
         samples.select(*by, value, first.cast("int").alias("_first")), by, value, {"first": F.col("_first")}
     )
@@ -165,6 +172,11 @@ def cohens_d(paired: DataFrame, by: list[str], *, base: str = "base_value", valu
     )
 
 
+#: Fewest rows of a group for a p-value in ``significance_table``.
+MIN_ROWS = 10
+_TEST_NAMES = {"wilcoxon": "wilcoxon", "t_test": "t_test", "mann_whitney": "mann_whitney", "mannwhitney": "mann_whitney"}
+
+
 def significance_table(
     paired: DataFrame, by: list[str], *, tests: tuple[str, ...] = ("wilcoxon",), confidence: float = 0.95,
     correction: str | None = None,
@@ -173,9 +185,11 @@ def significance_table(
 
     With a ``correction`` the p-values of each test are adjusted over its groups, and the adjusted one decides.
 
-    ``paired`` has ``base_value`` and ``score``; positive differences mean improvement. An unknown test name
-    means the signed-rank test.
+    ``paired`` has ``base_value`` and ``score``; positive differences mean improvement. Known tests are ``wilcoxon``,
+    ``t_test`` and ``mann_whitney``; another name means the signed-rank test, and the row says so. Groups of fewer than
+    ``MIN_ROWS`` rows have no p-value.
     """
+    tests = tuple(dict.fromkeys(_TEST_NAMES.get(t, "wilcoxon") for t in tests))
     deltas = paired.withColumn("delta", F.col("base_value") - F.col("score"))
     facts = join_on(
         paired.groupBy(*by).agg(
@@ -191,7 +205,7 @@ def significance_table(
     def run(test: str) -> DataFrame:
         if test == "t_test":
             found = t_test(deltas, by, alternative="greater").withColumnRenamed("t", "statistic")
-        elif test == "mannwhitney":
+        elif test == "mann_whitney":
             sides = paired.select(
                 *by,
                 F.inline(
@@ -203,10 +217,12 @@ def significance_table(
             )
             found = mann_whitney_test(sides, by, "_v", F.col("_base") == 1).withColumnRenamed("u", "statistic")
         else:
-            found = wilcoxon_test(deltas, by, alternative="greater", min_rows=10)
+            found = wilcoxon_test(deltas, by, alternative="greater")
         return found.select(*by, F.lit(test).alias("test"), F.col("statistic").cast("double"), "p_value")
 
     results = reduce(lambda a, b: a.unionByName(b), [run(t) for t in tests])
+    enough = facts.where(F.col("n") >= MIN_ROWS).select(*by, F.lit(True).alias("_enough"))
+    results = join_on(results, enough, by, "left").withColumn("p_value", F.when(F.col("_enough"), F.col("p_value"))).drop("_enough")
     p = "p_value"
     if correction:
         results, p = adjust_p_values(results, ["test"], key=by, method=correction), "p_adjusted"
@@ -216,17 +232,21 @@ def significance_table(
 def adjust_p_values(
     tests: DataFrame, family: list[str], p: str = "p_value", *, key: list[str], method: str = "holm"
 ) -> DataFrame:
-    """Correct the p-values of a family of tests (bonferroni, holm, or fdr); there is one row per test."""
+    """Correct the p-values of a family of tests (bonferroni, holm, or fdr); there is one row per test.
+
+    A NULL p-value is no member of the family and stays NULL.
+    """
     whole = Window.partitionBy(*family)
-    upward = whole.orderBy(F.col(p), *key)
+    upward = whole.orderBy(F.col(p).asc_nulls_last(), *key)
+    known = F.col(p).isNotNull()
     m = F.count(p).over(whole)
     place = F.row_number().over(upward)
     if method == "bonferroni":
-        return tests.withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * m))
+        return tests.withColumn("p_adjusted", F.when(known, F.least(F.lit(1.0), F.col(p) * m)))
     if method == "holm":
-        stepped = tests.withColumn("_step", F.least(F.lit(1.0), F.col(p) * (m - place + 1)))
+        stepped = tests.withColumn("_step", F.when(known, F.least(F.lit(1.0), F.col(p) * (m - place + 1))))
         running = upward.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return stepped.withColumn("p_adjusted", F.max("_step").over(running)).drop("_step")
-    stepped = tests.withColumn("_step", F.least(F.lit(1.0), F.col(p) * m / place))
+        return stepped.withColumn("p_adjusted", F.when(known, F.max("_step").over(running))).drop("_step")
+    stepped = tests.withColumn("_step", F.when(known, F.least(F.lit(1.0), F.col(p) * m / place)))
     running = upward.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    return stepped.withColumn("p_adjusted", F.min("_step").over(running)).drop("_step")
+    return stepped.withColumn("p_adjusted", F.when(known, F.min("_step").over(running))).drop("_step")

@@ -13,10 +13,10 @@ from scorelens.storage import attach_stats, join_on
 
 
 def pair_sides(rewards: DataFrame, keys: list[str], *, side: str = "side", reward: str = "reward") -> DataFrame:
-    """Long rewards as one row per pair with ``original`` and ``detoxified``."""
+    """Long rewards as one row per pair with ``original`` and ``detoxified``, the means of repeats."""
     wide = rewards.groupBy(*keys).agg(
-        F.max(F.when(F.col(side) == "original", F.col(reward))).alias("original"),
-        F.max(F.when(F.col(side) == "detoxified", F.col(reward))).alias("detoxified"),
+        F.avg(F.when(F.col(side) == "original", F.col(reward))).alias("original"),
+        F.avg(F.when(F.col(side) == "detoxified", F.col(reward))).alias("detoxified"),
     )
     return wide.where(F.col("original").isNotNull() & F.col("detoxified").isNotNull())
 

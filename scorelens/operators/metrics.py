@@ -52,8 +52,9 @@ def ranking_metrics(
     """ROC-AUC (ties count half) and trapezoid PR-AUC of a score from one ordered table of distinct values.
 
     With ``low_is_positive`` the ranking score is the negated reward. Both areas are sums over distinct values,
-    so only their running counts are needed.
+    so only their running counts are needed. Rows without a label or a score (NULL or NaN) take no part.
     """
+    df = df.where(F.col(label).isNotNull() & F.col(score).isNotNull() & ~F.isnan(score))
     s = F.col(score) if low_is_positive else -F.col(score)
     ranked = value_ranks(
         df.select(*by, s.alias("_s"), F.col(label).alias("_y")), by, "_s", {"pos": F.col("_y")}

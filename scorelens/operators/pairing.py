@@ -82,23 +82,26 @@ def _label(df: DataFrame, first: Column, names: tuple[str, str]) -> DataFrame:
 
 
 def split_by_hash(
-    df: DataFrame, key: str, ratio: float = 0.8, *, seed: int = 42, names: tuple[str, str] = ("train", "test")
+    df: DataFrame, key: str, ratio: float = 0.8, *, seed: int = 42, names: tuple[str, str] = ("train", "test"),
+    unique: bool = False,
 ) -> DataFrame:
-    """Seeded random split by a unique key with exactly floor(ratio * n) rows in the first part.
+    """Seeded random split with exactly floor(ratio * n) of the n distinct keys in the first part.
 
-    Rows are ordered by the md5 of the seed and key. Counts per hash prefix find the prefix of the row that ends
+    All rows of a key are on one side. ``unique`` says that no key repeats, which saves making keys distinct.
+    Keys are ordered by the md5 of the seed and key. Counts per hash prefix find the prefix of the row that ends
     the first part, and longer prefixes follow until few rows are left; the split is then a comparison per row,
     without a sort or shuffle of the table. Only scalars reach the driver.
     """
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
     length = 4
-    counts = materialize(_bucket_counts(df, F.substring(digest, 1, length)), "buckets")
+    keys = df.select(key) if unique else df.select(key).distinct()
+    counts = materialize(_bucket_counts(keys, F.substring(digest, 1, length)), "buckets")
     rows = math.floor(ratio * (counts.agg(F.sum("n")).first()[0] or 0))
     if rows == 0:
         return _label(df, F.lit(False), names)
     hit = _bucket_of(counts, rows)
     while True:
-        part, rows = df.where(F.substring(digest, 1, length) == hit["b"]), hit["inside"]
+        part, rows = keys.where(F.substring(digest, 1, length) == hit["b"]), hit["inside"]
         if hit["n"] <= BOUNDARY_ROWS or length == 32:
             break
         length += 4

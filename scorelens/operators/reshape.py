@@ -80,8 +80,8 @@ def to_long(wide: DataFrame, keys: list[str], classifiers: list[str]) -> DataFra
 def to_wide(
     scores: DataFrame, keys: list[str], names: list[str], *, name: str = "name", value: str = "score"
 ) -> DataFrame:
-    """One row per key with one column per listed name."""
-    return scores.groupBy(*keys).pivot(name, names).agg(F.max(value))
+    """One row per key with one column per listed name; repeats give their mean."""
+    return scores.groupBy(*keys).pivot(name, names).agg(F.avg(value))
 
 
 def series_name(*, score_suffix: bool = True):

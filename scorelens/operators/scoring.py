@@ -61,7 +61,7 @@ def scorer(name: str) -> Scorer:
     return _SCORERS[name]
 
 
-# fixed values: example word lists of the shipped lexical scorer
+# example word lists of the shipped lexical scorer
 LEXICON = {
     "toxic": ["worthless", "stupid", "idiot", "hate", "garbage", "trash", "pathetic", "disgusting"],
     "insult": ["stupid", "idiot", "pathetic", "worthless"],
@@ -174,7 +174,7 @@ def score_variants(pairs: DataFrame, scorer_name: str, *, key: str = "sample_id"
         return pairs.select(key, *[primary(s.column(variants[i]["text"])).alias(v) for i, v in enumerate(VARIANTS)])
     long = pairs.select(key, F.inline(variants))
     scored = score_texts(long, "text", [scorer_name], dedupe=dedupe)
-    return scored.groupBy(key).pivot("variant", VARIANTS).agg(F.max(primary(F.col("labels"))))
+    return scored.groupBy(key).pivot("variant", VARIANTS).agg(F.avg(primary(F.col("labels"))))
 
 
 def score_with_models(df: DataFrame, vector: str, heads: dict[str, list[float]]) -> DataFrame:

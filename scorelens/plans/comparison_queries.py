@@ -70,10 +70,11 @@ _FL = "arg_min(score, epoch) AS first_score, arg_max(score, epoch) AS last_score
 
 @query("m6_trajectories", with_tables("primary_scores", rounded("prompt_id classifier outcome epochs", "first_score last_score mean_score change", f"""
   SELECT *, first_score - last_score AS change, CASE WHEN first_score - last_score > 0.05 THEN 'improved' WHEN first_score - last_score < -0.05 THEN 'regressed' ELSE 'flat' END AS outcome
-  FROM (SELECT prompt_id, classifier, string_agg(epoch::VARCHAR, '>' ORDER BY epoch) AS epochs, {_FL}, avg(score) AS mean_score FROM primary_scores WHERE text_type = 'output' GROUP BY ALL)""")))
+  FROM (SELECT prompt_id, classifier, string_agg(epoch || ':' || round(score * 1000)::BIGINT, '>' ORDER BY epoch) AS epochs, {_FL}, avg(score) AS mean_score FROM primary_scores WHERE text_type = 'output' GROUP BY ALL)""")))
 def m6(spark, d):
     rows = topk.trajectories(primary(spark, d), ["prompt_id", "classifier"])
-    epochs = F.array_join(F.transform("trajectory", lambda t: t["epoch"].cast("string")), ">")
+    points = F.transform("trajectory", lambda t: F.concat(t["epoch"].cast("string"), F.lit(":"), F.round(t["score"] * 1000).cast("bigint").cast("string")))
+    epochs = F.array_join(points, ">")
     return tidy(rows.withColumn("epochs", epochs).drop("trajectory"))
 
 
@@ -148,13 +149,13 @@ def n3(spark, d):
 def _consistent(sets: str, source: str) -> str:
     by = f"{sets}, sample_id" if sets else "sample_id"
     return f"""SELECT {by}, avg((improvement > 0)::INT) AS improvement_rate, avg(improvement) AS mean_improvement, stddev_pop(improvement) AS std_improvement,
-      count(*) AS models, string_agg(experiment || '=' || (improvement > 0)::VARCHAR, ' ' ORDER BY experiment) AS improved
+      count(*) AS models, string_agg(experiment || '=' || round(improvement * 1000)::BIGINT, ' ' ORDER BY experiment) AS improved
       FROM ({source}) WHERE split = 'test' GROUP BY {by} HAVING avg((improvement > 0)::INT) >= 0.75"""
 
 
 def shown(improvers):
-    """Which experiments improved, as text."""
-    flags = F.transform(F.array_sort(F.map_entries("improvements")), lambda e: F.concat(e["key"], F.lit("="), (e["value"] > 0).cast("string")))
+    """The improvement in each experiment, in thousandths, as text."""
+    flags = F.transform(F.array_sort(F.map_entries("improvements")), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 1000).cast("bigint").cast("string")))
     return tidy(improvers.withColumn("improved", F.array_join(flags, " ")).drop("improvements"))
 
 
@@ -168,6 +169,24 @@ def n4(spark, d):
     return shown(ex.consistent_improvers(tests, ["input_type", "toxicity_threshold"]))
 
 
+_PER_SET = "SELECT * FROM samples JOIN (SELECT experiment, input_type, toxicity_threshold FROM experiments) USING (experiment)"
+
+
+@query("n4_consistency_totals", with_tables("samples", rounded("input_type experiment model_samples model_improvers total_samples total_consistent_improvers", "toxicity_threshold", f"""
+  SELECT * FROM (SELECT input_type, toxicity_threshold, experiment, count(*) AS model_samples, count(*) FILTER (improvement > 0) AS model_improvers
+    FROM ({_PER_SET}) WHERE split = 'test' GROUP BY ALL)
+  JOIN (SELECT input_type, toxicity_threshold, count(*) AS total_samples, count(*) FILTER (r >= 0.75) AS total_consistent_improvers
+    FROM (SELECT input_type, toxicity_threshold, sample_id, avg((improvement > 0)::INT) AS r FROM ({_PER_SET}) WHERE split = 'test' GROUP BY ALL) GROUP BY ALL)
+    USING (input_type, toxicity_threshold)""")))
+def n4_totals(spark, d):
+    """How many samples of each set and model improve, and how many do so consistently."""
+    from scorelens.operators.pairing import with_experiment
+
+    dimension = sc.experiment_dimension(spark).select("experiment", "input_type", "toxicity_threshold")
+    tests = with_experiment(improved_samples(spark, d).where("split = 'test'"), dimension)
+    return tidy(ex.consistency_totals(tests, ["input_type", "toxicity_threshold"]))
+
+
 @query("n5_consistent_improvers", with_tables("samples", rounded("sample_id models improved", "improvement_rate mean_improvement std_improvement", _consistent("", "SELECT * FROM samples"))))
 def n5(spark, d):
     return shown(ex.consistent_improvers(improved_samples(spark, d).where("split = 'test'"), []))
@@ -312,23 +331,33 @@ def p11(spark, d):
   FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM reward_events) GROUP BY w, model
   HAVING w + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")))
 def s1(spark, d):
-    """Append mode: windows appear once the watermark has passed their end."""
+    """Append mode: windows appear once the watermark has passed their end; ``s1_finished_monitor`` has them all."""
     stream = monitor.reward_monitor(sc.reward_events(spark, d, stream=True))
     rows = monitor.run_available(stream, "monitor")
     return tidy(rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
 
 
+@query("s1_finished_monitor", with_tables("reward_events", rounded("window_start window_end model bad_count n", "mean std", """
+  SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, model, avg(clean) AS mean, stddev_samp(clean) AS std, count(*) FILTER (bad) AS bad_count, count(*) AS n
+  FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM reward_events) GROUP BY w, model""")))
+def s1_finished(spark, d):
+    """The same windows over the finished table, the last ones included."""
+    rows = monitor.reward_monitor(sc.reward_events(spark, d))
+    return tidy(rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
+
+
 @query("s2_incremental_scoring", rounded("prompt_id model", "score base_value delta", f"""
-  SELECT doc_id AS prompt_id, m.model, {lexical_sql('text')} AS score, 0.5 AS base_value, 0.5 - {lexical_sql('text')} AS delta
+  SELECT doc_id AS prompt_id, m.model, {lexical_sql('text')} AS score, CASE WHEN doc_id % 4 <> 3 THEN 0.5 END AS base_value,
+    CASE WHEN doc_id % 4 <> 3 THEN 0.5 - {lexical_sql('text')} END AS delta
   FROM documents CROSS JOIN (VALUES ('base'), ('tuned')) m(model)"""))
 def s2(spark, d):
-    """Every generation arrives twice; each is scored once."""
+    """Every generation arrives twice; each is scored once. Every fourth prompt has no baseline."""
     docs = sc.table(spark, d, "documents")
     stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
     arrivals = stream.select(
         F.col("doc_id").alias("prompt_id"), F.col("text").alias("output"),
         F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id") % 60).alias("ts"),
         F.explode(F.array(F.lit("base"), F.lit("tuned"), F.lit("base"), F.lit("tuned"))).alias("model"))
-    baseline = docs.select(F.col("doc_id").alias("prompt_id"), F.lit(0.5).alias("base_value"))
+    baseline = docs.where("doc_id % 4 <> 3").select(F.col("doc_id").alias("prompt_id"), F.lit(0.5).alias("base_value"))
     rows = monitor.run_available(monitor.score_stream(arrivals, baseline), "scored")
     return tidy(rows.select("prompt_id", "model", "score", "base_value", "delta"))

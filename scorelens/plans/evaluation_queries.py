@@ -190,12 +190,12 @@ _FACTS = """SELECT model_id, half, avg(base_value) AS base_mean, avg(score) AS m
 @query("i8_significance_table", with_tables("reward_pairs", f"WITH shifted AS (SELECT * REPLACE (base_value - score AS delta) FROM ({_SHIFTED})), {_BOTH} " + rounded(
     "model_id half test n significant", "statistic p_value base_mean model_mean base_std model_std cohens_d", f"""
   SELECT *, p_value < 0.05 AS significant FROM (SELECT model_id, half, 'wilcoxon' AS test, statistic::DOUBLE AS statistic, p_value FROM ({_W_ONE})
-    UNION ALL SELECT model_id, half, 't_test', t, p_value FROM ({_T_ONE}) UNION ALL SELECT model_id, half, 'mannwhitney', u, p_value FROM ({_mann_whitney('is_base')}))
+    UNION ALL SELECT model_id, half, 't_test', t, p_value FROM ({_T_ONE}) UNION ALL SELECT model_id, half, 'mann_whitney', u, p_value FROM ({_mann_whitney('is_base')}))
   JOIN ({_FACTS}) USING (model_id, half)""")))
 def i8(spark, d):
     """Positive differences mean that the original side is greater."""
     rows = shifted(spark, d).drop("delta")
-    return tidy(hypothesis.significance_table(rows, ML, tests=("wilcoxon", "t_test", "mannwhitney")))
+    return tidy(hypothesis.significance_table(rows, ML, tests=("wilcoxon", "t_test", "mann_whitney")))
 
 
 _P = f"SELECT source, lang, avg({u(repr('pv'), 'doc_id')}) / 4 AS p_value FROM documents GROUP BY ALL"
@@ -226,6 +226,23 @@ def i9_fdr(spark, d):
     return tidy(hypothesis.adjust_p_values(p_values(spark, d), ["source"], key=["lang"], method="fdr"))
 
 
+_GAP_P = f"SELECT source, lang, CASE WHEN lang <> 'de' THEN p_value END AS p_value FROM ({_P})"
+_GAP_PLACED = f"SELECT *, row_number() OVER (PARTITION BY source ORDER BY p_value NULLS LAST, lang) AS i, count(p_value) OVER (PARTITION BY source) AS m FROM ({_GAP_P})"
+
+
+@query("i9_missing_p_values", rounded("source lang", "p_value bonferroni holm fdr", f"""SELECT source, lang, p_value,
+  CASE WHEN p_value IS NOT NULL THEN least(1.0, p_value * m) END AS bonferroni,
+  CASE WHEN p_value IS NOT NULL THEN max(CASE WHEN p_value IS NOT NULL THEN least(1.0, p_value * (m - i + 1)) END) OVER (PARTITION BY source ORDER BY i ROWS UNBOUNDED PRECEDING) END AS holm,
+  CASE WHEN p_value IS NOT NULL THEN min(CASE WHEN p_value IS NOT NULL THEN least(1.0, p_value * m / i) END) OVER (PARTITION BY source ORDER BY i DESC ROWS UNBOUNDED PRECEDING) END AS fdr
+  FROM ({_GAP_PLACED})"""))
+def i9_missing(spark, d):
+    """Tests without a p-value are no members of their family."""
+    rows = p_values(spark, d).withColumn("p_value", F.when(F.col("lang") != "de", F.col("p_value")))
+    for method in ("bonferroni", "holm", "fdr"):
+        rows = hypothesis.adjust_p_values(rows, ["source"], key=["lang"], method=method).withColumnRenamed("p_adjusted", method)
+    return tidy(rows)
+
+
 # ---- ranks and metrics ---------------------------------------------------------------------------------------
 
 @query("r1_average_rank", with_tables("rewards", rounded("sample_id side model_id", "avg_rank", """
@@ -472,12 +489,14 @@ def k6(spark, d):
     return tidy(ensemble.score_table(sc.rewards(spark, d), texts, sc.SEED_NAMES))
 
 
-@query("k7_prediction_records", with_tables("rewards", rounded("sample_id side models", "ensemble first_reward", """
-  SELECT sample_id, side, count(*) AS models, avg(reward) AS ensemble, max(reward) FILTER (model_id = 'seed_42') AS first_reward FROM rewards GROUP BY sample_id, side""")))
+@query("k7_prediction_records", with_tables("rewards", rounded("sample_id side predictions", "ensemble", """
+  SELECT sample_id, side, avg(reward) AS ensemble, string_agg(model_id || '=' || round(reward * 1000)::BIGINT, ' ' ORDER BY model_id) AS predictions
+  FROM rewards GROUP BY sample_id, side""")))
 def k7(spark, d):
+    """All predictions of a sample, in thousandths."""
     records = ensemble.prediction_records(sc.rewards(spark, d))
-    return tidy(records.select("sample_id", "side", F.size("predictions").cast("bigint").alias("models"), "ensemble",
-                               F.col("predictions")[0]["reward"].alias("first_reward")))
+    shown = F.transform("predictions", lambda p: F.concat(p["model_id"], F.lit("="), F.round(p["reward"] * 1000).cast("bigint").cast("string")))
+    return tidy(records.select("sample_id", "side", "ensemble", F.array_join(shown, " ").alias("predictions")))
 
 
 # ---- losses --------------------------------------------------------------------------------------------------

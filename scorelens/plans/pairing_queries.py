@@ -50,9 +50,10 @@ def d1(spark, d):
 @query("d1_batch_scorer", rounded("doc_id label failed", "score", """
   SELECT doc_id, l.label, false AS failed, CASE l.label WHEN 'toxic' THEN up ELSE 1.0 - up END AS score
   FROM (SELECT doc_id, length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(text) AS up FROM documents WHERE length(text) > 0)
-  CROSS JOIN (VALUES ('toxic'), ('neutral')) l(label)"""))
+  CROSS JOIN (VALUES ('toxic'), ('neutral')) l(label)
+  UNION ALL SELECT doc_id, 'safe', true, 1.0 FROM documents WHERE length(text) = 0"""))
 def d1_batch(spark, d):
-    docs = sc.table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text")
+    docs = sc.table(spark, d, "documents").select("doc_id", "text")
     scored = scoring.score_texts(docs, "text", ["upper_share"])
     return tidy(scored.select("doc_id", "failed", F.explode("labels").alias("label", "score")))
 
@@ -90,19 +91,19 @@ def d3(spark, d):
 
 
 @query("d4_score_once", rounded("doc_id classifier", "score", f"""
-  SELECT doc_id, 'lexical' AS classifier, {lexical_sql('text', word_list('toxic'))} AS score FROM documents WHERE length(text) > 0
-  UNION ALL SELECT doc_id, 'upper_share', length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / length(text) FROM documents WHERE length(text) > 0"""))
+  SELECT doc_id, 'lexical' AS classifier, {lexical_sql('text', word_list('toxic'))} AS score FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, 'upper_share', length(regexp_replace(text, '[^A-Z]', '', 'g'))::DOUBLE / nullif(length(text), 0) FROM documents WHERE text IS NOT NULL"""))
 def d4(spark, d):
     """Two scorers over texts with copies; every distinct text is scored once."""
-    docs = sc.table(spark, d, "documents").where("length(text) > 0").select("doc_id", "text")
+    docs = sc.table(spark, d, "documents").select("doc_id", "text")
     scored = scoring.score_texts(docs, "text", ["lexical", "upper_share"])
-    return tidy(scored.select("doc_id", "classifier", F.col("labels")["toxic"].alias("score")))
+    return tidy(scored.select("doc_id", "classifier", F.try_element_at("labels", F.lit("toxic")).alias("score")))
 
 
-@query("d5_safe_fallback", rounded("doc_id failed", "safe", """SELECT doc_id, doc_id % 10 = 0 AS failed, CASE WHEN doc_id % 10 = 0 THEN 1.0 END AS safe FROM documents WHERE length(text) > 0"""))
+@query("d5_safe_fallback", rounded("doc_id failed", "safe", """SELECT doc_id, (doc_id % 10 = 0 OR text = '') AS failed, CASE WHEN doc_id % 10 = 0 OR text = '' THEN 1.0 END AS safe FROM documents WHERE text IS NOT NULL"""))
 def d5(spark, d):
     """Empty texts make the scorer fail and get the safe labels."""
-    docs = sc.table(spark, d, "documents").where("length(text) > 0").select(
+    docs = sc.table(spark, d, "documents").where("text is not null").select(
         "doc_id", F.when(F.col("doc_id") % 10 == 0, F.lit("")).otherwise(F.col("text")).alias("text"))
     scored = scoring.score_texts(docs, "text", ["upper_share"])
     return tidy(scored.select("doc_id", "failed", F.try_element_at("labels", F.lit("safe")).alias("safe")))
@@ -248,7 +249,7 @@ def f3(spark, d):
 
 @query("f4_seeded_split", with_tables("doc_split", "SELECT * FROM doc_split"))
 def f4(spark, d):
-    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.8)
+    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.8, unique=True)
 
 
 @query("f4_threshold_split", f"SELECT doc_id AS sample_id, CASE WHEN {sc.u(repr('42'), 'doc_id')} < 0.8 THEN 'train' ELSE 'test' END AS split FROM documents")
@@ -259,16 +260,47 @@ def f4_threshold(spark, d):
 @query("f5_held_out_split", """SELECT doc_id AS sample_id, CASE WHEN row_number() OVER (ORDER BY md5(concat_ws(':', '7', doc_id)), doc_id) <= floor(0.9 * count(*) OVER ())
   THEN 'train' ELSE 'test' END AS split FROM documents""")
 def f5(spark, d):
-    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.9, seed=7)
+    return pairing.split_by_hash(sample_ids(spark, d), "sample_id", 0.9, seed=7, unique=True)
 
 
-@query("f6_identical_pairs", rounded("identical pairs", "percent", """SELECT count(*) FILTER (a = b) AS identical, count(*) AS pairs, 100.0 * avg((a = b)::INT) AS percent
-  FROM (SELECT a.lang AS a, b.lang AS b FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 WHERE a.doc_id % 2 = 0)"""))
+@query("f6_identical_pairs", with_tables("pairs", rounded("identical pairs", "percent", """SELECT count(*) FILTER (original_output = detoxified_output) AS identical,
+  count(*) AS pairs, 100.0 * avg((original_output = detoxified_output)::INT) AS percent FROM pairs""")))
 def f6(spark, d):
-    docs = sc.table(spark, d, "documents").select(F.expr("doc_id div 2").alias("sample_id"), "doc_id", "lang")
-    left = docs.where("doc_id % 2 = 0").select("sample_id", F.col("lang").alias("original_output"))
-    right = docs.where("doc_id % 2 = 1").select("sample_id", F.col("lang").alias("detoxified_output"))
-    return tidy(pairing.identical_pairs(pairing.pair(left, right)))
+    return tidy(pairing.identical_pairs(sc.pairs(spark, d)))
+
+
+_GAPS = """SELECT prompt_id, model, text_type, classifier, CASE WHEN prompt_id % 7 = 0 THEN NULL ELSE label END AS label, score
+  FROM scores WHERE text_type = 'output' AND NOT (model = 'base' AND prompt_id % 5 = 0)"""
+
+
+def gaps(spark, d):
+    """Scores with NULL labels, and without the baseline of every fifth prompt."""
+    rows = sc.scores(spark, d, text_types=["output"]).where(~((F.col("model") == "base") & (F.col("prompt_id") % 5 == 0)))
+    return rows.withColumn("label", F.when(F.col("prompt_id") % 7 != 0, F.col("label"))).drop("epoch")
+
+
+@query("f2_unmatched_rows", with_tables("scores", f"""WITH g AS ({_GAPS}) SELECT model, count(*) AS rows, count(*) FILTER (NOT EXISTS (SELECT 1 FROM g b
+  WHERE b.model = 'base' AND b.prompt_id = g.prompt_id AND b.classifier = g.classifier AND b.label IS NOT DISTINCT FROM g.label)) AS unmatched
+  FROM g WHERE model <> 'base' GROUP BY model"""))
+def f2_unmatched(spark, d):
+    """Rows of each model that have no baseline."""
+    from scorelens.operators.delta import unmatched
+
+    return unmatched(gaps(spark, d))
+
+
+@query("f2_null_labels", with_tables("scores", rounded("model classifier label n", "base_mean score_mean", f"""
+  SELECT model, classifier, label, count(*) AS n, avg(base_value) AS base_mean, avg(score) AS score_mean FROM (
+    SELECT g.*, b.base_value FROM ({_GAPS}) g JOIN (SELECT prompt_id, classifier, label, avg(score) AS base_value FROM ({_GAPS}) WHERE model = 'base' GROUP BY ALL) b
+      ON b.prompt_id = g.prompt_id AND b.classifier = g.classifier AND b.label IS NOT DISTINCT FROM g.label WHERE g.model <> 'base')
+  GROUP BY model, classifier, label""")))
+def f2_null_labels(spark, d):
+    """NULL labels match each other; several of one sample count as repeats."""
+    from scorelens.operators.delta import with_baseline
+
+    rows = with_baseline(gaps(spark, d))
+    return tidy(rows.groupBy("model", "classifier", "label").agg(
+        F.count("*").alias("n"), F.avg("base_value").alias("base_mean"), F.avg("score").alias("score_mean")))
 
 
 @query("f7_experiment_join", with_tables("samples", rounded("experiment model_size size_order input_type n", "toxicity_threshold mean", """

@@ -49,13 +49,11 @@ def structs(rows: list[tuple], names: list[str]) -> Column:
 
 
 def ids(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Document ids under a new name, spread over all cores when the table has fewer files than cores.
+    """Document ids under a new name, spread evenly over the shuffle partitions.
 
     Only 8 bytes per row move, ahead of a fan-out of up to 180 hashed rows each.
     """
-    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(name))
-    cores = spark.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores, name)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(name)).repartition(name)
 
 
 def cut3(x: Column) -> Column:
@@ -152,13 +150,13 @@ def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Even documents as original outputs, the next odd ones as detoxified outputs."""
-    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 2").alias("sample_id"), "doc_id", "text")
-    left = docs.where("doc_id % 2 = 0").select(
-        "sample_id", F.substring("text", 1, 40).alias("prompt"), F.col("text").alias("original_output")
-    )
-    right = docs.where("doc_id % 2 = 1").select("sample_id", F.col("text").alias("detoxified_output"))
-    return left.join(right, "sample_id")
+    """Three documents in a row as prompt, original output and detoxified output, all whole."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 3").alias("sample_id"), "doc_id", "text")
+    parts = [
+        docs.where(F.col("doc_id") % 3 == k).select("sample_id", F.col("text").alias(name))
+        for k, name in enumerate(("prompt", "original_output", "detoxified_output"))
+    ]
+    return parts[0].join(parts[1], "sample_id").join(parts[2], "sample_id")
 
 
 def rewards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +185,7 @@ def experiment_dimension(spark: SparkSession) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original and detoxified scores of each sample in each experiment, with an exact 80/20 split."""
-    split = split_by_hash(ids(spark, sf_dir, "sample_id"), "sample_id", 0.8)
+    split = split_by_hash(ids(spark, sf_dir, "sample_id"), "sample_id", 0.8, unique=True)
     rows = split.select("sample_id", "split", F.inline(structs([(e[0], e[5]) for e in EXPERIMENTS], ["experiment", "gain"])))
     doc = F.col("sample_id").cast("string")
     original = F.when(F.col("sample_id") % 50 == 0, F.lit(0.0)).otherwise(
@@ -281,9 +279,9 @@ CTES: dict[str, tuple[list[str], str]] = {
     "filled": (["scores"], """SELECT prompt_id, model, epoch, text_type, classifier, label,
         CASE WHEN prompt_id % 5 = 0 AND label = 'threat' THEN 0.0 ELSE score END AS score
         FROM scores WHERE prompt_id % 11 <> 0"""),
-    "pairs": ([], """SELECT a.doc_id // 2 AS sample_id, substr(a.text, 1, 40) AS prompt, a.text AS original_output,
-        b.text AS detoxified_output FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
-        WHERE a.doc_id % 2 = 0"""),
+    "pairs": ([], """SELECT a.doc_id // 3 AS sample_id, a.text AS prompt, b.text AS original_output,
+        c.text AS detoxified_output FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1
+        JOIN documents c ON c.doc_id = a.doc_id + 2 WHERE a.doc_id % 3 = 0"""),
     "rewards": ([], f"""
     SELECT sample_id, side, model_id, true_reward,
       floor(1000 * (0.5 * true_reward + 0.5 * (2.0 * {u("'r'", 'model_id', 'side', 'sample_id')} - 1.0) + shift * better)) / 1000 AS reward
@@ -326,7 +324,7 @@ def with_tables(names: str, body: str) -> str:
         need(name)
     if not order:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({CTES[n][1]})" for n in order) + f"\nSELECT * FROM ({body}) AS result"
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in order) + f"\nSELECT * FROM ({body}) AS result"
 
 
 # means of three-decimal scores often end in an exact 5 at the seventh digit; this moves them off the half, so

@@ -300,16 +300,19 @@ def c18(spark, d):
     return tidy(sc.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", num.clip(F.col("l_extendedprice") / 50000.0 - 0.1).alias("score")))
 
 
-@query("c19_masked_mean_pooling", rounded("vec_id", "first second", """SELECT vec_id,
-  coalesce(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN embedding[4*k+1]::DOUBLE ELSE 0.0 END)), 0.0) / greatest(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0 END)), 1.0) AS first,
-  coalesce(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN embedding[4*k+2]::DOUBLE ELSE 0.0 END)), 0.0) / greatest(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0 END)), 1.0) AS second
-  FROM embeddings"""))
+_POOLED = "first second third fourth".split()
+
+
+@query("c19_masked_mean_pooling", rounded("vec_id", " ".join(_POOLED), "SELECT vec_id, " + ", ".join(f"""
+  coalesce(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN embedding[4*k+{i + 1}]::DOUBLE ELSE 0.0 END)), 0.0)
+    / greatest(list_sum(list_transform(range(0, 16), lambda k: CASE WHEN (vec_id + k) % 3 <> 0 THEN 1.0::DOUBLE ELSE 0.0 END)), 1.0) AS {name}"""
+  for i, name in enumerate(_POOLED)) + " FROM embeddings"))
 def c19(spark, d):
     """The 64 numbers are read as 16 token vectors of width 4."""
     tokens = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: F.slice("embedding", k * 4 + 1, 4))
     mask = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda k: ((F.col("vec_id") + k) % 3 != 0).cast("int"))
     rows = sc.table(spark, d, "embeddings").select("vec_id", num.masked_mean(tokens, mask).alias("pooled"))
-    return tidy(rows.select("vec_id", F.col("pooled")[0].alias("first"), F.col("pooled")[1].alias("second")))
+    return tidy(rows.select("vec_id", *[F.col("pooled")[i].alias(name) for i, name in enumerate(_POOLED)]))
 
 
 _HEAD = [round(((i * 37) % 64) / 64 - 0.5, 6) for i in range(64)]

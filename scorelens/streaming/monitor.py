@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import count_if, is_bad, sanitize
-from scorelens.operators.scoring import scorer
+from scorelens.operators.scoring import batch_scorer_udf, scorer
 from scorelens.storage import scratch_path
 
 
@@ -43,13 +43,14 @@ def score_stream(
 ) -> DataFrame:
     """Score arriving generations once per (prompt, model) and subtract them from a static baseline score.
 
-    Copies of a generation inside the watermark delay are dropped before scoring.
+    Copies of a generation inside the watermark delay are dropped before scoring. An arrival without a baseline
+    keeps its score and has a NULL delta. Batch scorers run in their Pandas UDF.
     """
     s = scorer(scorer_name)
     fresh = generations.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
-    score = F.coalesce(F.try_element_at(s.column(F.col(text)), F.lit(s.primary_label)), F.lit(0.0))
-    scored = fresh.withColumn("score", score)
-    return scored.join(baseline.select("prompt_id", "base_value"), "prompt_id").withColumn(
+    labels = s.column(F.col(text)) if s.column is not None else batch_scorer_udf(s)(F.col(text))["labels"]
+    scored = fresh.withColumn("score", F.coalesce(F.try_element_at(labels, F.lit(s.primary_label)), F.lit(0.0)))
+    return scored.join(baseline.select("prompt_id", "base_value"), "prompt_id", "left").withColumn(
         "delta", F.col("base_value") - F.col("score")
     )
 

@@ -29,7 +29,7 @@ def test_t_test_golden(spark):
     assert got["a"]["t"] == pytest.approx(6.9282, abs=1e-4) and got["a"]["df"] == 2
     assert got["a"]["p_value"] == pytest.approx(0.0202, abs=1e-4)
     assert got["a"]["significant_05"] and not got["a"]["significant_01"]
-    assert got["flat"]["t"] is None and got["flat"]["p_value"] is None and got["one"]["p_value"] is None
+    assert got["flat"]["t"] == float("inf") and got["flat"]["p_value"] == 0.0 and got["one"]["p_value"] is None
 
 
 def brute_wilcoxon(d, greater):
@@ -126,6 +126,7 @@ def test_corrections(spark):
 def test_unknown_test_is_signed_rank(spark):
     rows = [("g", i, 0.5 + 0.01 * i, 0.4) for i in range(12)]
     df = spark.createDataFrame(rows, "g string, prompt_id int, base_value double, score double")
-    got = {r["test"]: r for r in hy.significance_table(df, ["g"], tests=("other", "wilcoxon", "t_test", "mannwhitney")).collect()}
-    assert got["other"]["p_value"] == got["wilcoxon"]["p_value"] == pytest.approx(2.0**-12)
+    got = {r["test"]: r for r in hy.significance_table(df, ["g"], tests=("other", "t_test", "mann_whitney", "mannwhitney")).collect()}
+    assert set(got) == {"wilcoxon", "t_test", "mann_whitney"}
+    assert got["wilcoxon"]["p_value"] == pytest.approx(2.0**-12) and got["mann_whitney"]["statistic"] == 144
     assert all(r["significant"] for r in got.values())

@@ -58,7 +58,7 @@ def test_deltas_do_not_cross_join(scores):
 
 def test_split_is_a_projection(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id")
-    text = plan(pairing.split_by_hash(docs, "doc_id"))
+    text = plan(pairing.split_by_hash(docs, "doc_id", unique=True))
     assert "Exchange" not in text and "Window" not in text and "Join" not in text
 
 
