@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scorelens.llm.bm25_wand import drop_leaks
-from scorelens.llm.bpe import decode, encode
+from scorelens.llm.bpe import encode_and_decode
 from scorelens.llm.bpe_query import VOCABULARY
 from scorelens.llm.disclosure import sanitise
 from scorelens.llm.ngram_join import similar_components
@@ -52,8 +52,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and a digest of the bytes they decode to."""
-    decoded = decode(encode(docs, VOCABULARY), VOCABULARY, keep=["doc_id", "ids"])
-    return decoded.select(
+    return encode_and_decode(docs, VOCABULARY).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded"), 256).alias("decoded_sha256")
     )
 

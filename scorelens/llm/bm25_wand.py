@@ -27,7 +27,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.llm.textscan import gram_hashes, text_slices, trim_punctuation, word_hashes, words
@@ -264,17 +265,18 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of ``docs`` that hold no test item, with their columns."""
-    for index in index_parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        at = docs.columns.index(text)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, at=at) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                clean = np.ones(batch.num_rows, dtype=bool)
-                for row, data, offsets in text_slices(batch.column(at)):
-                    for hit in shared.value.hits(data, offsets):
-                        clean[row + hit.row] = False
-                yield batch.filter(pa.array(clean))
+    def clean_with(shared: Broadcast) -> Column:
+        @F.arrow_udf("boolean")
+        def holds_none(texts: pa.Array) -> pa.Array:
+            clean = np.ones(len(texts), dtype=bool)
+            for row, data, offsets in text_slices(texts):
+                for hit in shared.value.hits(data, offsets):
+                    clean[row + hit.row] = False
+            return pa.array(clean)
 
-        docs = docs.mapInArrow(run, docs.schema)
+        return holds_none(F.col(text).cast("string"))
+
+    for index in index_parts(benchmark):
+        docs = docs.filter(clean_with(docs.sparkSession.sparkContext.broadcast(index)))
     return docs

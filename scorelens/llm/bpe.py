@@ -31,7 +31,7 @@ BEGIN, IN_LETTERS, IN_NUMBERS, IN_OTHERS, AFTER_JOIN, IN_SPACES, ONE_LEFT, TWO_L
 #: The White_Space property of Unicode.
 WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Pieces whose merges a worker remembers.
-CACHE_PIECES = 1 << 18
+CACHE_PIECES = 1 << 17
 #: Longer pieces are merged one by one, with a heap.
 LONG_PIECE = 64
 _BLOCK = 256
@@ -291,12 +291,8 @@ def _merger(path: str) -> Merger:
     return _MERGERS[path]
 
 
-def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Token ids of every text: (key, ids array<int>, starts array<int>).
-
-    ``vocabulary`` is the path of a rank file that every worker has. ``starts`` holds the byte offset of each token
-    in the UTF-8 text, so any id can be traced to its place. Null texts: no ids.
-    """
+def _encoder(vocabulary: str, key: str):
+    """From batches (key, text) to batches (key, ids, starts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
@@ -322,20 +318,14 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids)),
                         pa.ListArray.from_arrays(pa.array(bounds), pa.array(places)),
                     ],
-                    names=["key", "ids", "starts"],
+                    names=[key, "ids", "starts"],
                 )
 
-    source = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
-    kind = source.schema["key"].dataType.simpleString()
-    coded = source.mapInArrow(run, f"key {kind}, ids array<int>, starts array<int>")
-    return coded.withColumnRenamed("key", key)
+    return run
 
 
-def decode(df: DataFrame, vocabulary: str, keep: list[str], ids: str = "ids") -> DataFrame:
-    """Bytes that the ids stand for: (columns of ``keep``, decoded binary). Null ids: null; no ids: no bytes.
-
-    An id outside the vocabulary is an error.
-    """
+def _decoder(vocabulary: str, keep: list[str], ids: str):
+    """From batches with a column of ids to batches (columns of ``keep``, decoded)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(vocabulary)
@@ -345,16 +335,47 @@ def decode(df: DataFrame, vocabulary: str, keep: list[str], ids: str = "ids") ->
             table[rank] = token
         token = table.__getitem__
         for batch in batches:
-            column = batch.column(batch.num_columns - 1)
+            names = batch.schema.names
+            column = batch.column(names.index(ids))
             for first in range(0, batch.num_rows, 256):
                 part = column.slice(first, 256)
                 values = list(map(token, part.flatten().to_pylist()))
                 ends = np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)).tolist()
                 there = part.is_valid().to_pylist()
                 out = [b"".join(values[a:b]) if valid else None for a, b, valid in zip([0, *ends], ends, there)]
-                kept = [c.slice(first, len(out)) for c in batch.columns[:-1]]
+                kept = [batch.column(names.index(c)).slice(first, len(out)) for c in keep]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.binary())], names=[*keep, "decoded"])
 
-    source = df.select(*keep, ids)
+    return run
+
+
+def _texts(df: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
+    source = df.select(F.col(key), F.col(text).cast("string").alias("_text"))
+    return source, source.schema[key].dataType.simpleString()
+
+
+def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Token ids of every text: (key, ids array<int>, starts array<int>).
+
+    ``vocabulary`` is the path of a rank file that every worker has. ``starts`` holds the byte offset of each token
+    in the UTF-8 text, so any id can be traced to its place. Null texts: no ids.
+    """
+    source, kind = _texts(df, key, text)
+    return source.mapInArrow(_encoder(vocabulary, key), f"`{key}` {kind}, ids array<int>, starts array<int>")
+
+
+def decode(df: DataFrame, vocabulary: str, keep: list[str], ids: str = "ids") -> DataFrame:
+    """Bytes that the ids stand for: (columns of ``keep``, decoded binary). Null ids: null; no ids: no bytes.
+
+    An id outside the vocabulary is an error.
+    """
+    source = df.select(*dict.fromkeys([*keep, ids]))
     fields = ", ".join(f"`{name}` {source.schema[name].dataType.simpleString()}" for name in keep)
-    return source.mapInArrow(run, f"{fields}, decoded binary")
+    return source.mapInArrow(_decoder(vocabulary, keep, ids), f"{fields}, decoded binary")
+
+
+def encode_and_decode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``encode`` and then ``decode`` in the same workers: (key, ids, decoded)."""
+    source, kind = _texts(df, key, text)
+    encoder, decoder = _encoder(vocabulary, key), _decoder(vocabulary, [key, "ids"], "ids")
+    return source.mapInArrow(lambda batches: decoder(encoder(batches)), f"`{key}` {kind}, ids array<int>, decoded binary")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorelens.llm.bpe import decode, encode
+from scorelens.llm.bpe import encode_and_decode
 from scorelens.llm.registry import query, table
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -14,9 +14,7 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 def digest(docs: DataFrame) -> DataFrame:
     """Token count and digests of the ids and of the decoded bytes of every document."""
-    coded = encode(docs, VOCABULARY)
-    decoded = decode(coded, VOCABULARY, keep=["doc_id", "ids"])
-    return decoded.select(
+    return encode_and_decode(docs, VOCABULARY).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),

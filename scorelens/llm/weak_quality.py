@@ -21,7 +21,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from scorelens.llm.rule_statistics import _later, _repeated, rule_statistics
 from scorelens.llm.textscan import gram_hashes, mix, text_slices, word_hashes, words
@@ -202,20 +201,18 @@ def fit_quality(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Qua
 
 def score_quality(docs: DataFrame, model: QualityModel, score: str = "quality_score", text: str = "text") -> DataFrame:
     """Add the probability of good to every row of ``docs``; a column named ``score`` is replaced."""
-    kept = docs.drop(score)
-    at = kept.columns.index(text)
     weights = model.weights
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for row, data, offsets in text_slices(batch.column(at)):
-                rows, buckets, size = word_features(data, offsets)
-                total = np.bincount(rows, weights[buckets], len(size)) / np.maximum(size, 1)
-                scores[row : row + len(size)] = np.where(size > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, score])
+    @F.arrow_udf("double")
+    def scored(texts: pa.Array) -> pa.Array:
+        scores = np.zeros(len(texts))
+        for row, data, offsets in text_slices(texts):
+            rows, buckets, size = word_features(data, offsets)
+            total = np.bincount(rows, weights[buckets], len(size)) / np.maximum(size, 1)
+            scores[row : row + len(size)] = np.where(size > 0, 1 / (1 + np.exp(-np.clip(total, -50, 50))), 0.0)
+        return pa.array(scores)
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields, StructField(score, DoubleType())]))
+    return docs.drop(score).withColumn(score, scored(F.col(text).cast("string")))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
