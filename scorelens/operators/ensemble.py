@@ -94,9 +94,12 @@ def score_table(
     rewards: DataFrame, texts: DataFrame, models: list[str], *, text: str = "text", limit: int = 1000,
     keys: list[str] = SAMPLE,
 ) -> DataFrame:
-    """One row per sample side with the shortened text, its attributes and one column per model."""
+    """One row per sample side with the shortened text, its attributes and one column per model.
+
+    Rewards without a text keep their row.
+    """
     wide = rewards.groupBy(*keys).pivot("model_id", models).agg(F.max("reward"))
-    return wide.join(texts.withColumn(text, shorten(F.col(text), limit)), "sample_id")
+    return wide.join(texts.withColumn(text, shorten(F.col(text), limit)), "sample_id", "left")
 
 
 def prediction_records(rewards: DataFrame, keys: list[str] = SAMPLE) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.losses import METHODS, mean_loss
@@ -28,8 +28,16 @@ def pairwise_loss(pairs: DataFrame, by: list[str], methods: list[str] = list(MET
 
 
 def zscore(df: DataFrame, by: list[str], value: str = "reward", name: str = "normalized") -> DataFrame:
-    """Standardize within each batch; only centre when there is no spread, keep a single row as it is."""
-    rows = attach_stats(df, by, F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_std"), F.count(value).alias("_n"))
+    """Standardize within each batch; only centre when there is no spread, keep a single row as it is.
+
+    Batches are small, so one shuffle by batch and a window do; without ``by`` the whole table is one batch, whose
+    statistics are joined instead.
+    """
+    stats = {"_mean": F.avg(value), "_std": F.stddev_samp(value), "_n": F.count(value)}
+    if by:
+        rows = df.withColumns({name_: f.over(Window.partitionBy(*by)) for name_, f in stats.items()})
+    else:
+        rows = attach_stats(df, by, *[f.alias(name_) for name_, f in stats.items()])
     centred = F.col(value) - F.col("_mean")
     scaled = (
         F.when(F.col("_n") <= 1, F.col(value))

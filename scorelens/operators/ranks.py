@@ -90,23 +90,8 @@ def value_ranks(df: DataFrame, by: list[str], value: str, counts: dict[str, Colu
     return totals.withColumn("avg_rank", F.col("n_through") - (F.col("n") - 1) / F.lit(2.0))
 
 
-def avg_rank(
-    df: DataFrame, by: list[str], value: str, name: str = "avg_rank", *, large_groups: bool = True
-) -> DataFrame:
-    """Add the fractional rank of ``value`` to every row; NULL values get NULL.
-
-    ``large_groups=False`` uses a window and is meant for groups that fit one task.
-    """
-    if not large_groups:
-        ordered = Window.partitionBy(*by).orderBy(value)
-        ties = Window.partitionBy(*by, value)
-        return df.withColumn(
-            name,
-            F.when(
-                F.col(value).isNotNull(),
-                F.rank().over(ordered.orderBy(F.col(value).asc_nulls_last())) + (F.count("*").over(ties) - 1) / F.lit(2.0),
-            ),
-        )
+def avg_rank(df: DataFrame, by: list[str], value: str, name: str = "avg_rank") -> DataFrame:
+    """Add the fractional rank of ``value`` to every row; NULL values get NULL."""
     ranks = materialize(
         value_ranks(df, by, value).select(*by, value, "n", F.col("avg_rank").alias(name)), "ranks"
     )
