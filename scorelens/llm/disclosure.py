@@ -7,8 +7,10 @@ Disclosure: for a term ``t`` and an entity ``e``, corpus counts give the pointwi
 
     PMI(t, e) = log(co(t, e) * N / (df(t) * df(e)))          IC(e) = log(N / df(e))
 
-with ``N`` documents, document counts ``df`` over the whole corpus and ``co(t, e)`` the number of different contexts of
-``e`` that hold ``t``. ``PMI / IC`` is the share of the entity's information that the term gives away. From
+with ``N`` documents, document counts ``df`` over the whole corpus and ``co(t, e)`` the number of documents in which a
+context of ``e`` holds ``t``. All four count rows, copies included. A second estimate takes the number of different
+contexts for ``co`` and of different texts for ``df(e)``, so that an entity's repeated meetings with a term inside one
+document count; the larger one holds. ``PMI / IC`` is the share of the entity's information that the term gives away. From
 ``GENERALISE_SHARE`` on, the term is replaced by its class wherever it stands in a context of the entity, from
 ``REMOVE_SHARE`` on it is removed. A single context, and copies of it, are no evidence: ``MIN_CONTEXTS`` different ones
 are needed.
@@ -153,12 +155,12 @@ def _entity(kind: str, value: Column) -> Column:
 
 
 def _mentions(hits: DataFrame) -> DataFrame:
-    """(_doc, entity, side, offset, context): the words on either side of every entity.
+    """(_doc, copies, entity, offset, context): the words on either side of every entity.
 
     ``offset`` is the place of the context in the text. Words cut at the rim of a context are left out.
     """
     spans = F.concat(*[_as_entities(kind.name) for kind in KINDS])
-    each = hits.select("_doc", "text", F.explode(spans).alias("s")).select("_doc", "text", "s.*")
+    each = hits.select("_doc", "copies", "text", F.explode(spans).alias("s")).select("_doc", "copies", "text", "s.*")
     begin = F.greatest(F.col("start") - CONTEXT_CHARS, F.lit(0))
     before = F.substring("text", begin + 1, F.col("start") - begin)
     after = F.substring("text", F.col("end") + 1, F.lit(CONTEXT_CHARS))
@@ -170,25 +172,30 @@ def _mentions(hits: DataFrame) -> DataFrame:
         F.struct(F.col("end").alias("offset"), F.col("_after").alias("context")),
     )
     each = each.withColumns({"_before": before, "_cut": cut, "_after": whole_after})
-    return each.select("_doc", "entity", F.explode(sides).alias("side")).select("_doc", "entity", "side.*")
+    return each.select("_doc", "copies", "entity", F.explode(sides).alias("side")).select("_doc", "copies", "entity", "side.*")
 
 
 def disclosing_terms(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     """(entity, term, share) of the terms that give away ``GENERALISE_SHARE`` of an entity's information or more."""
     total = docs.count()
     words = F.array_distinct(F.split(F.lower(F.col("text")), NOT_TERM))
-    pairs = mentions.select("entity", "context", F.explode(F.array_distinct(F.transform(
+    pairs = mentions.select("_doc", "copies", "entity", "context", F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
-    # copies of a context count once
-    pairs = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("co")).filter(F.col("co") >= MIN_CONTEXTS)
-    pairs = materialize(pairs, "pairs")
-    entities = mentions.groupBy("entity").agg(F.count_distinct("_doc").alias("df_entity"))
+    # copies of a context are no evidence, but rows as any other
+    proven = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
+    together = pairs.groupBy("entity", "term", "_doc").agg(F.max("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("co"))
+    pairs = materialize(together.join(proven, ["entity", "term"]), "pairs")
+    entities = mentions.groupBy("entity", "_doc").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts"))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     counted = pairs.join(terms, "term").join(entities, "entity")
-    pmi = F.log(F.col("co") * F.lit(float(total)) / (F.col("df_term") * F.col("df_entity")))
-    information = F.log(F.lit(float(total)) / F.col("df_entity"))
-    share = F.least(pmi / information, F.lit(1.0))
-    return counted.filter(F.col("df_entity") < total).select("entity", "term", share.alias("share")).filter(F.col("share") >= GENERALISE_SHARE)
+
+    def share(co: str, df_entity: str) -> Column:
+        pmi = F.log(F.col(co) * F.lit(float(total)) / (F.col("df_term") * F.col(df_entity)))
+        # an entity of all documents has no information
+        return F.when(F.col(df_entity) < total, F.least(pmi / F.log(F.lit(float(total)) / F.col(df_entity)), F.lit(1.0)))
+
+    larger = F.greatest(share("co", "df_entity"), share("contexts", "texts"))
+    return counted.select("entity", "term", larger.alias("share")).filter(F.col("share") >= GENERALISE_SHARE)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -205,7 +212,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
         some = some | (F.size(f"_{kind.name}") > 0)
     # same text, same spans: repeated rows share one key
     hits = materialize(searched.filter(some).withColumn("_doc", F.concat(F.xxhash64("text").cast("string"), F.lit(":"), F.hash("text").cast("string"))), "hits")
-    mentions = materialize(_mentions(hits.dropDuplicates(["_doc"])), "mentions")
+    once = hits.groupBy("_doc").agg(F.count("*").alias("copies"), F.first("text").alias("text"), *[F.first(f"_{k.name}").alias(f"_{k.name}") for k in KINDS])
+    mentions = materialize(_mentions(once), "mentions")
     shares = materialize(disclosing_terms(plain, mentions), "shares")
     located = mentions.select("_doc", "entity", "offset", F.explode(_located(F.col("context"), TERM)).alias("s"))
     located = located.select("_doc", "entity", (F.col("offset") + F.col("s.start")).alias("start"), (F.col("offset") + F.col("s.end")).alias("end"), F.col("s.value").alias("word"))

@@ -111,3 +111,10 @@ def test_masks_long_runs_nulls_repeats_and_no_rows(spark):
         if (r.doc_id or 0) >= 10:
             assert [(s.kind, s.start, s.end) for s in r.base] == [s[:3] for s in base(long[r.doc_id - 10])]
     assert sanitise(docs.limit(0)).collect() == []
+
+
+def test_copies_of_a_text_keep_its_disclosing_terms(spark):
+    told = "Wexford asks secret@host.example.com because Wexford waits"
+    texts = [told] * 60 + [f"nothing to see in page {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.sanitised for r in sanitise(docs).filter("doc_id < 60").collect()} == {" asks [EMAIL] because  waits"}
