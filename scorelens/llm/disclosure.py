@@ -7,16 +7,18 @@ Disclosure: for a term ``t`` and an entity ``e``, corpus counts give the pointwi
 
     PMI(t, e) = log(co(t, e) * N / (df(t) * df(e)))          IC(e) = log(N / df(e))
 
-with ``N`` documents, document counts ``df`` over the whole corpus and ``co(t, e)`` the number of documents in which a
-context of ``e`` holds ``t``. All four count rows, copies included. A second estimate takes the number of different
+with ``N`` documents, document counts ``df`` over the whole corpus and ``co(t, e)`` the number of documents that hold
+both, wherever they stand. All four count rows, copies included. A second estimate takes the number of different
 contexts for ``co`` and of different texts for ``df(e)``, so that an entity's repeated meetings with a term inside one
-document count; the larger one holds. ``PMI / IC`` is the share of the entity's information that the term gives away. From
-``GENERALISE_SHARE`` on, the term is replaced by its class wherever it stands in a context of the entity, from
+document count; inside the contexts the larger one holds, elsewhere in the documents the first. ``PMI / IC`` is the share of the entity's information that the term gives away. From
+``GENERALISE_SHARE`` on, the term is replaced by its class wherever it stands in a document of the entity, from
 ``REMOVE_SHARE`` on it is removed. A single context, and copies of it, are no evidence: ``MIN_CONTEXTS`` different ones
-are needed.
+are needed. These are either the words beside the entity, where they hold the term, or the surroundings of both in
+different documents: near copies that differ elsewhere are one context.
 
-Everything is DataFrame functions. Only contexts of entities, a few words each, are exploded with their entity; the
-corpus-wide term counts combine map-side, and all texts are read in place: only those with an entity move.
+Everything is DataFrame functions. Contexts of entities, a few words each, are exploded with their entity, whole
+documents only for entities of ``MIN_CONTEXTS`` or more different texts: others have no evidence beyond their contexts.
+The corpus-wide term counts combine map-side, and all texts are read in place: only those with an entity move.
 
 Null texts are empty and stay null in the sanitised column. Rows with a null id, repeated rows and extra columns are
 kept as they are; the added columns are listed in each docstring and replace columns of the same name.
@@ -33,6 +35,8 @@ from scorelens.storage import join_on, materialize
 
 #: Code points of context on each side of an entity.
 CONTEXT_CHARS = 60
+#: Words on each side of a term that are its surroundings.
+TERM_WORDS = 4
 #: Different contexts in which a term must meet an entity.
 MIN_CONTEXTS = 2
 GENERALISE_SHARE = 0.5
@@ -175,16 +179,62 @@ def _mentions(hits: DataFrame) -> DataFrame:
     return each.select("_doc", "copies", "entity", F.explode(sides).alias("side")).select("_doc", "copies", "entity", "side.*")
 
 
-def disclosing_terms(docs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """(entity, term, share) of the terms that give away ``GENERALISE_SHARE`` of an entity's information or more."""
+def _sum_of(name: str) -> Column:
+    """A hash of the values of a group, whatever their order; shifted, so that the sum fits."""
+    return F.sum(F.shiftright(F.xxhash64(name), 20))
+
+
+def _blanked(text: Column, ordered: Column) -> Column:
+    """The text with spaces in place of the spans, which are ordered by start."""
+    return F.aggregate(
+        ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
+        lambda done, s: F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["parts"], F.array(
+            F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(done["at"], s["start"])))).alias("parts")),
+        lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))),
+    )
+
+
+def _doc_terms(once: DataFrame) -> DataFrame:
+    """(_doc, term, around): the terms of whole texts, also those that touch a span, and a hash of their surroundings."""
+    words = F.split(F.lower(F.concat_ws(" ", "text", "_free")), NOT_TERM)
+
+    def placed(all_words: Column) -> Column:
+        return F.transform(all_words, lambda w, i: F.struct(
+            w.alias("term"), F.array_join(F.slice(all_words, F.greatest(i - TERM_WORDS + 1, F.lit(1)), F.lit(2 * TERM_WORDS + 1)), " ").alias("near")))
+
+    each = once.select("_doc", F.explode(F.filter(_let(words, placed), lambda w: F.length(w["term"]) >= 3)).alias("w")).select("_doc", "w.*")
+    return each.groupBy("_doc", "term").agg(_sum_of("near").alias("around"))
+
+
+def _pairs(once: DataFrame, mentions: DataFrame) -> DataFrame:
+    """(entity, term, _doc, copies, key): the terms of an entity's contexts, and of its documents if it has several.
+
+    ``key`` names the surroundings of both in the document; without one, the pair only counts by its contexts.
+    """
+    near = mentions.select("entity", F.explode(F.transform(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))).alias("term"), "_doc", "copies")
+    holders = materialize(mentions.groupBy("entity", "_doc").agg(F.max("copies").alias("copies"), _sum_of("context").alias("beside")), "holders")
+    several = holders.groupBy("entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_CONTEXTS).select("entity")
+    holders = materialize(holders.join(several, "entity"), "holders")
+    terms = _doc_terms(once.join(holders.select("_doc").distinct(), "_doc", "left_semi"))
+    whole = holders.join(terms, "_doc").select("entity", "term", "_doc", "copies", F.xxhash64("beside", "around").alias("key"))
+    both = near.withColumn("key", F.lit(None).cast("long")).unionByName(whole)
+    return both.groupBy("entity", "term", "_doc").agg(F.max("copies").alias("copies"), F.max("key").alias("key"))
+
+
+def disclosing_terms(docs: DataFrame, mentions: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(entity, term, share, beside) of the terms that give away ``GENERALISE_SHARE`` of an entity's information or more.
+
+    ``share`` holds in the documents of the entity, ``beside`` in its contexts; the smaller may be below or NULL.
+    """
     total = docs.count()
     words = F.array_distinct(F.split(F.lower(F.col("text")), NOT_TERM))
-    pairs = mentions.select("_doc", "copies", "entity", "context", F.explode(F.array_distinct(F.transform(
+    met = mentions.select("entity", "context", F.explode(F.array_distinct(F.transform(
         F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), lambda w: F.lower(w)))).alias("term"))
     # copies of a context are no evidence, but rows as any other
-    proven = pairs.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts")).filter(F.col("contexts") >= MIN_CONTEXTS)
-    together = pairs.groupBy("entity", "term", "_doc").agg(F.max("copies").alias("copies")).groupBy("entity", "term").agg(F.sum("copies").alias("co"))
-    pairs = materialize(together.join(proven, ["entity", "term"]), "pairs")
+    contexts = met.groupBy("entity", "term").agg(F.count_distinct("context").alias("contexts"))
+    together = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("co"), F.count_distinct("key").alias("keys"))
+    together = together.join(contexts, ["entity", "term"], "left").filter((F.col("keys") >= MIN_CONTEXTS) | (F.col("contexts") >= MIN_CONTEXTS))
+    pairs = materialize(together, "proven")
     entities = mentions.groupBy("entity", "_doc").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("df_entity"), F.count("*").alias("texts"))
     terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("df_term"))
     counted = pairs.join(terms, "term").join(entities, "entity")
@@ -194,8 +244,8 @@ def disclosing_terms(docs: DataFrame, mentions: DataFrame) -> DataFrame:
         # an entity of all documents has no information
         return F.when(F.col(df_entity) < total, F.least(pmi / F.log(F.lit(float(total)) / F.col(df_entity)), F.lit(1.0)))
 
-    larger = F.greatest(share("co", "df_entity"), share("contexts", "texts"))
-    return counted.select("entity", "term", larger.alias("share")).filter(F.col("share") >= GENERALISE_SHARE)
+    shares = counted.select("entity", "term", share("co", "df_entity").alias("share"), F.when(F.col("contexts") >= MIN_CONTEXTS, share("contexts", "texts")).alias("beside"))
+    return shares.withColumn("beside", F.greatest("share", "beside")).filter(F.col("beside") >= GENERALISE_SHARE)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -213,11 +263,19 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # same text, same spans: repeated rows share one key
     hits = materialize(searched.filter(some).withColumn("_doc", F.concat(F.xxhash64("text").cast("string"), F.lit(":"), F.hash("text").cast("string"))), "hits")
     once = hits.groupBy("_doc").agg(F.count("*").alias("copies"), F.first("text").alias("text"), *[F.first(f"_{k.name}").alias(f"_{k.name}") for k in KINDS])
+    spans = F.array_sort(F.concat(*[F.transform(f"_{kind.name}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]))
+    once = materialize(once.withColumn("_free", _blanked(F.col("text"), spans)), "once")
     mentions = materialize(_mentions(once), "mentions")
-    shares = materialize(disclosing_terms(plain, mentions), "shares")
+    pairs = materialize(_pairs(once, mentions), "pairs")
+    shares = materialize(disclosing_terms(plain, mentions, pairs), "shares")
     located = mentions.select("_doc", "entity", "offset", F.explode(_located(F.col("context"), TERM)).alias("s"))
     located = located.select("_doc", "entity", (F.col("offset") + F.col("s.start")).alias("start"), (F.col("offset") + F.col("s.end")).alias("end"), F.col("s.value").alias("word"))
-    flagged = located.withColumn("term", F.lower("word")).join(shares, ["entity", "term"]).groupBy("_doc", "start", "end", "word").agg(F.max("share").alias("share"))
+    near = located.withColumn("term", F.lower("word")).join(shares, ["entity", "term"]).select("_doc", "start", "end", "word", F.col("beside").alias("share"))
+    told = pairs.join(shares.filter(F.col("share") >= GENERALISE_SHARE), ["entity", "term"]).groupBy("_doc", "term").agg(F.max("share").alias("share"))
+    told = materialize(told.groupBy("_doc").agg(F.map_from_entries(F.collect_list(F.struct("term", "share"))).alias("_shares")), "told")
+    whole = once.join(told, "_doc").select("_doc", "_shares", F.explode(_located(F.col("_free"), TERM)).alias("s"))
+    whole = whole.select("_doc", "s.start", "s.end", F.col("s.value").alias("word"), F.element_at(F.col("_shares"), F.lower(F.col("s.value"))).alias("share")).filter("share is not null")
+    flagged = near.unionByName(whole).groupBy("_doc", "start", "end", "word").agg(F.max("share").alias("share"))
     words = flagged.groupBy("_doc").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word", "share"))).alias("_words"))
     marked = join_on(hits, materialize(words, "words"), ["_doc"], "left")
 

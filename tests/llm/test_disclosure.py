@@ -118,3 +118,20 @@ def test_copies_of_a_text_keep_its_disclosing_terms(spark):
     texts = [told] * 60 + [f"nothing to see in page {i}" for i in range(200)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.sanitised for r in sanitise(docs).filter("doc_id < 60").collect()} == {" asks [EMAIL] because  waits"}
+
+
+def test_terms_far_from_their_entity_are_found_and_masked(spark):
+    far = "and so on " * 12
+    texts = [f"{w} Wexford {w} {far} mail secret@host.example.com {w} now" for w in ("dear", "poor")]
+    # Banfield stands beside the entity once and far from it in the same text; the last text names Wexford alone
+    texts += [f"Banfield {far} ask Banfield at other@host.example.com as Banfield says", "poor Wexford alone", far]
+    # near copies that differ far from both are one context
+    texts += [f"Lone {far} {w} {far} third@host.example.com" for w in ("left", "right")]
+    texts += [f"the mail and so on now dear poor ask says page {i}" for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.sanitised for r in sanitise(docs).filter("doc_id < 7").collect()}
+    assert got[0] == texts[0].replace("Wexford", "").replace("secret@host.example.com", "[EMAIL]")
+    assert got[1] == texts[1].replace("Wexford", "").replace("secret@host.example.com", "[EMAIL]")
+    assert got[2] == texts[2].replace("Banfield", "").replace("other@host.example.com", "[EMAIL]")
+    assert got[3] == texts[3]
+    assert "Lone" in got[5] and "Lone" in got[6]
