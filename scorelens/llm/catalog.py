@@ -11,6 +11,7 @@ from scorelens.llm import (  # noqa: F401
     toxicity_gru_query,
     url_reputation_query,
     weak_quality_query,
+    word_bpe_query,
 )
 from scorelens.llm.registry import QUERIES, SQL
 
