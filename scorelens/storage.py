@@ -48,15 +48,15 @@ def _shuffle_files_removed(spark: SparkSession):
 _WRITTEN: list[str] = []
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "table", **options) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back; ``options`` are those of the Parquet writer.
 
     Later plans see fixed rows, exact file sizes (so Spark's own size check decides about broadcasting)
     and survive the loss of executors. Inside a ``Scratch`` the table belongs to it and goes with it.
     """
     path = scratch_path(df.sparkSession, name)
     with _shuffle_files_removed(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     (_OWNERS[-1].paths if _OWNERS else _WRITTEN).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -85,13 +85,13 @@ class Scratch:
         _OWNERS.remove(self)
         _delete(self.spark, self.paths)
 
-    def keep(self, df: DataFrame, name: str = "table") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "table", **options) -> DataFrame:
         """Write a table that outlives this block."""
         at = _OWNERS.index(self)
         inner = _OWNERS[at:]
         del _OWNERS[at:]
         try:
-            return materialize(df, name)
+            return materialize(df, name, **options)
         finally:
             _OWNERS.extend(inner)
 
