@@ -2,7 +2,7 @@
 
 Encoding: Spark splits every text into words. Documents are gathered in blocks of about ``BLOCK_BYTES`` bytes of text;
 a block is stored as the list of its distinct words and, for every place in its documents, the position of the word in
-that list. The lists of all blocks give one table of distinct words, and each distinct word is encoded once. Ids come
+that list, packed in pages. The lists of all blocks give one table of distinct words, and each distinct word is encoded once. Ids come
 back to (block, position) by a join on the word, and the documents pick them up by position.
 
 Decoding: the distinct ids of a block are joined with the table of ids and pieces, and the documents' ids pick their
@@ -10,7 +10,7 @@ pieces up.
 
 Only the words of a block's list are shuffled, not their occurrences. A word that stands in every block has one row a
 block; words of ``HOT_BLOCKS`` blocks or more are few and are joined as a table of their own. A block is one
-row, so what a task holds follows the block and the longest text.
+row, so what a task holds follows the block's distinct words, its packed positions and the longest text.
 
 Rules: null and empty texts have no ids and decode to an empty string. Repeated rows and rows with a null key are coded
 like others. Extra columns are dropped. A special token of the vocabulary file that stands in a text is its special id,
@@ -26,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +34,18 @@ from scorelens.operators.ranks import join_hot_values
 from scorelens.storage import Scratch, materialize
 
 #: Bytes of text a block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
+#: Bytes of text a page: what is unpacked at once.
+PAGE_BYTES = 2 << 20
 #: Words of so many blocks are joined apart.
 HOT_BLOCKS = 100_000
+#: Longer words are merged with a heap.
+LONG_WORD = 64
+_ID_BITS = 24
+_ID_MASK = (1 << _ID_BITS) - 1
+_NO_MERGE = 1 << 62
+#: The first code point of those that NEW_LETTERS and NEW_NUMBERS list.
+_FIRST_NEW = "870"
 
 # Letters and numbers that Unicode 14 to 16 added. The classes of the Java in use may be older.
 NEW_LETTERS = """
@@ -55,17 +65,19 @@ NEW_NUMBERS = """
 WHITE_SPACE = r"\x09-\x0D\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
-def _ranges(listed: str) -> str:
-    return "".join("-".join(rf"\x{{{end}}}" for end in item.split("-")) for item in listed.split())
+def _class(known: str, listed: str) -> str:
+    """A class and newer code points; these are only looked up from the first of them on."""
+    ranges = "".join("-".join(rf"\x{{{end}}}" for end in item.split("-")) for item in listed.split())
+    return rf"{known}[\x{{{_FIRST_NEW}}}-\x{{10FFFF}}&&[{ranges}]]"
 
 
-@lru_cache(maxsize=1)
-def word_pattern() -> str:
+@lru_cache(maxsize=2)
+def word_pattern(newer: bool) -> str:
     """The splitting rule of the vocabulary with its classes written out: short forms, letters, numbers, others, spaces."""
-    letters, numbers = r"\p{L}" + _ranges(NEW_LETTERS), r"\p{N}" + _ranges(NEW_NUMBERS)
-    short = "'s|'t|'re|'ve|'m|'ll|'d"
-    runs = f" ?[{letters}]+| ?[{numbers}]+| ?[^{WHITE_SPACE}{letters}{numbers}]+"
-    return f"{short}|{runs}|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]+"
+    letters, numbers = (_class(r"\p{L}", NEW_LETTERS), _class(r"\p{N}", NEW_NUMBERS)) if newer else (r"\p{L}", r"\p{N}")
+    short = "'(?:s|t|re|ve|m|ll|d)"
+    runs = f" ?+[{letters}]++| ?+[{numbers}]++| ?+[^{letters}{numbers}{WHITE_SPACE}]++"
+    return f"{short}|{runs}|[{WHITE_SPACE}]+(?![^{WHITE_SPACE}])|[{WHITE_SPACE}]++"
 
 
 def _quoted(token: str) -> str:
@@ -75,11 +87,13 @@ def _quoted(token: str) -> str:
 def split_words(text: Column, special: list[str]) -> Column:
     """Words of a text in order; special tokens are words of their own."""
 
-    def words(part: Column) -> Column:
-        return F.regexp_extract_all(part, F.lit(word_pattern()), F.lit(0))
+    def words(part: Column, newer: bool = True) -> Column:
+        return F.regexp_extract_all(part, F.lit(word_pattern(newer)), F.lit(0))
 
+    # texts without code points that could be new are split by the shorter classes
+    plain = F.when(text.rlike(rf"[\x{{{_FIRST_NEW}}}-\x{{10FFFF}}]"), words(text)).otherwise(words(text, False))
     if not special:
-        return words(text)
+        return plain
     either = "|".join(_quoted(s) for s in special)
     found = F.regexp_extract_all(text, F.lit(f"({either})"), F.lit(0))
     nothing = F.array().cast("array<string>")
@@ -90,7 +104,7 @@ def split_words(text: Column, special: list[str]) -> Column:
     holds = F.lit(False)
     for token in special:
         holds = holds | F.contains(text, F.lit(token))
-    return F.when(holds, apart).otherwise(words(text))
+    return F.when(holds, apart).otherwise(plain)
 
 
 class Vocabulary:
@@ -110,35 +124,50 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.pieces = {i: bytes(byte[c] for c in piece) for piece, i in ids.items()}
         self.pieces |= {i: token.encode() for token, i in self.special.items()}
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        #: by left and right id: rank and merged id
+        self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges[ids[left], ids[right]] = (rank, ids[left + right])
+            self.merges[ids[left] << _ID_BITS | ids[right]] = rank << _ID_BITS | ids[left + right]
 
     def word_ids(self, word: str) -> list[int]:
-        """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left; n log n in the length."""
+        """Merge the adjacent pair of lowest rank, the leftmost of equals, until none is left."""
         if word in self.special:
             return [self.special[word]]
         token = [self.byte_ids[b] for b in word.encode()]
-        n, merges = len(token), self.merges
-        heap = [(*m, i, token[i], token[i + 1]) for i in range(n - 1) if (m := merges.get((token[i], token[i + 1])))]
-        if not heap:
-            return token
+        if len(token) > LONG_WORD:
+            return self._merge_long(token)
+        look = self.merges.get
+        ranks = [look(a << _ID_BITS | b, _NO_MERGE) for a, b in zip(token, token[1:])]
+        while ranks and (best := min(ranks)) != _NO_MERGE:
+            i = ranks.index(best)
+            token[i] = best & _ID_MASK
+            del token[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = look(token[i] << _ID_BITS | token[i + 1], _NO_MERGE)
+            if i:
+                ranks[i - 1] = look(token[i - 1] << _ID_BITS | token[i], _NO_MERGE)
+        return token
+
+    def _merge_long(self, token: list[int]) -> list[int]:
+        """The same with a heap; n log n in the length."""
+        n, look = len(token), self.merges.get
+        heap = [(m, i, token[i], token[i + 1]) for i in range(n - 1) if (m := look(token[i] << _ID_BITS | token[i + 1])) is not None]
         heapq.heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         while heap:
-            _, merged, i, left, right = heapq.heappop(heap)
+            best, i, left, right = heapq.heappop(heap)
             j = after[i]
             if token[i] != left or j >= n or token[j] != right:
                 continue
-            token[i], token[j] = merged, -1
+            token[i], token[j] = best & _ID_MASK, -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if m := merges.get((merged, token[k])):
-                    heapq.heappush(heap, (*m, i, merged, token[k]))
-            if (p := before[i]) >= 0 and (m := merges.get((token[p], merged))):
-                heapq.heappush(heap, (*m, p, token[p], merged))
+                if (m := look(token[i] << _ID_BITS | token[k])) is not None:
+                    heapq.heappush(heap, (m, i, token[i], token[k]))
+            if (p := before[i]) >= 0 and (m := look(token[p] << _ID_BITS | token[i])) is not None:
+                heapq.heappush(heap, (m, p, token[p], token[i]))
         return [t for t in token if t >= 0]
 
 
@@ -160,64 +189,72 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
 
 
-def _block_of(parts: list[pa.RecordBatch], block: int, item_type: pa.DataType) -> pa.RecordBatch:
-    keys = pa.concat_arrays([p.column(0) for p in parts])
-    lists = pa.concat_arrays([p.column(1) for p in parts])
-    coded = lists.flatten().dictionary_encode()
-    places = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    # frequent items get small positions, which pack well
-    order = np.argsort(-np.bincount(places, minlength=len(coded.dictionary)), kind="stable")
-    position = np.empty(len(order), np.int64)
-    position[order] = np.arange(len(order))
-    items = coded.dictionary.take(pa.array(order)).cast(item_type)
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), -1).cast(pa.int32())
-
-    def single(values: pa.Array) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-
-    return pa.RecordBatch.from_arrays(
-        [pa.array([block], pa.int64()), single(keys), single(sizes), pa.array([_pack(position[places])], pa.binary()), single(items)],
-        names=["block", "keys", "sizes", "places", "items"],
-    )
+class _Block:
+    """Documents of a block as they come: distinct items in order of appearance, so that frequent ones have small positions."""
+
+    def __init__(self, number: int):
+        self.number, self.position, self.held = number, {}, 0
+        self.keys, self.sizes, self.rows, self.pages = [], [], [], []
+
+    def add(self, keys: pa.Array, lists: pa.Array) -> None:
+        """One page."""
+        coded = lists.flatten().dictionary_encode()
+        position = self.position
+        known = np.array([position.setdefault(item, len(position)) for item in coded.dictionary.to_pylist()], np.int32)
+        places = known[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else known
+        self.keys.append(keys)
+        self.sizes.append(pc.fill_null(pc.list_value_length(lists), -1).cast(pa.int32()))
+        self.rows.append(len(keys))
+        self.pages.append(_pack(places))
+
+    def row(self, item_type: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.concat_arrays(self.keys), pa.concat_arrays(self.sizes), pa.array(self.rows, pa.int32()),
+                   pa.array(self.pages, pa.binary()), pa.array(list(self.position), item_type)]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array([self.number], pa.int64()), *lists], names=["block", "keys", "sizes", "rows", "pages", "items"])
+
+
+def _weights(lists: pa.Array) -> np.ndarray:
+    """Bytes of the items of every row, summed up to the row."""
+    length = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    items = lists.flatten()
+    if pa.types.is_integer(items.type):
+        return np.cumsum(length * 4)
+    through = np.concatenate([[0], np.cumsum(pc.binary_length(items).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    return through[np.cumsum(length)]
 
 
 def _into_blocks(limit: int, item_type: pa.DataType):
     """From batches (key, list of items) to one row a block; an item weighs its bytes."""
+    page = min(limit, PAGE_BYTES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 32
-        parts, held = [], 0
+        block = _Block(TaskContext.get().partitionId() << 32)
         for batch in batches:
-            lists = batch.column(1)
-            length = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-            items = lists.flatten()
-            if pa.types.is_integer(items.type):
-                weight = length * 4
-            else:
-                size = np.concatenate([[0], np.cumsum(pa.compute.binary_length(items).to_numpy(zero_copy_only=False), dtype=np.int64)])
-                ends = np.cumsum(length)
-                weight = size[ends] - size[ends - length]
-            first = 0
-            for row, w in enumerate(weight.tolist()):
-                held += w
-                if held >= limit:
-                    yield _block_of([*parts, batch.slice(first, row + 1 - first)], block, item_type)
-                    block, first, parts, held = block + 1, row + 1, [], 0
-            if first < batch.num_rows:
-                parts.append(batch.slice(first))
-        if parts:
-            yield _block_of(parts, block, item_type)
+            through = _weights(batch.column(1))
+            first = before = 0
+            while first < batch.num_rows:
+                # whole rows up to a page, at least one
+                stop = max(first + 1, int(np.searchsorted(through, before + page, side="right")))
+                block.add(batch.column(0).slice(first, stop - first), batch.column(1).slice(first, stop - first))
+                block.held += int(through[stop - 1]) - before
+                first, before = stop, int(through[stop - 1])
+                if block.held >= limit:
+                    yield block.row(item_type)
+                    block = _Block(block.number + 1)
+        if block.rows:
+            yield block.row(item_type)
 
     return run
 
 
 def _blocks(source: DataFrame, key: str, items: str, item_type: str, limit: int) -> DataFrame:
     kind = source.schema[key].dataType.simpleString()
-    fields = f"block long, keys array<{kind}>, sizes array<int>, places binary, items array<{item_type}>"
+    fields = f"block long, keys array<{kind}>, sizes array<int>, rows array<int>, pages array<binary>, items array<{item_type}>"
     arrow = pa.string() if item_type == "string" else pa.int32()
-    return materialize(source.select(key, items).mapInArrow(_into_blocks(limit, arrow), fields), "blocks")
+    return materialize(source.select(key, items).mapInArrow(_into_blocks(limit, arrow), fields), "blocks", compression="zstd")
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -232,10 +269,14 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
 
 
-def _by_position(entries: DataFrame, value: str, name: str) -> DataFrame:
-    """(block, pos, value) to one row a block with the values by position."""
-    ordered = F.sort_array(F.collect_list(F.struct("pos", value)))
-    return entries.groupBy("block").agg(F.transform(ordered, lambda e: e[value]).alias(name))
+def _by_position(entries: DataFrame) -> DataFrame:
+    """(block, pos, ids) to one row a block: the ids of its words by position, end to end, and their numbers."""
+    ordered = entries.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("_words"))
+    return ordered.select(
+        "block",
+        F.flatten(F.transform("_words", lambda e: e["ids"])).alias("word_ids"),
+        F.transform("_words", lambda e: F.size(e["ids"])).alias("word_sizes"),
+    )
 
 
 def _pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
@@ -254,17 +295,25 @@ def _piece_lists(ids: DataFrame, vocabulary: str) -> DataFrame:
     )
 
 
-def _texts_of(ids: np.ndarray, ends: np.ndarray, used: pa.Array, pieces: pa.Array) -> list[str]:
-    """Decoded text of every document; ids without a piece stand for nothing, invalid UTF-8 becomes replacement signs."""
-    known = used.to_numpy(zero_copy_only=False)
-    at = np.searchsorted(known, ids)
-    there = np.zeros(len(ids), bool) if len(known) == 0 else known.take(at, mode="clip") == ids
-    size = np.zeros(len(ids) + 1, np.int64)
-    picked = pieces.take(pa.array(at[there]))
-    size[1:][there] = pa.compute.binary_length(picked).to_numpy(zero_copy_only=False)
-    stops = np.cumsum(size)[ends].tolist()
-    raw = b"".join(picked.to_pylist()) if len(picked) else b""
-    return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops)]
+class _Decoder:
+    """Texts of ids by the pieces of a block; ids without a piece stand for nothing, invalid UTF-8 becomes replacement signs."""
+
+    def __init__(self, used: pa.Array, pieces: pa.Array):
+        known = used.to_numpy(zero_copy_only=False)
+        self.limit = int(known[-1]) + 1 if len(known) else 0
+        self.slot = np.full(self.limit + 1, len(known), np.int64)
+        self.slot[known] = np.arange(len(known))
+        self.length = np.append(pc.binary_length(pieces).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        self.first = np.cumsum(self.length) - self.length
+        self.data = np.frombuffer(b"".join(pieces.to_pylist()), np.uint8)
+
+    def texts(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        at = self.slot[np.where((ids < 0) | (ids > self.limit), self.limit, ids)]
+        size = self.length[at]
+        through = np.concatenate([[0], np.cumsum(size)])
+        raw = self.data[np.repeat(self.first[at] - through[:-1], size) + np.arange(through[-1])].tobytes()
+        stops = through[ends].tolist()
+        return [raw[a:b].decode("utf-8", "replace") for a, b in zip([0, *stops], stops)]
 
 
 def _values(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
@@ -273,25 +322,34 @@ def _values(batch: pa.RecordBatch, name: str, row: int) -> pa.Array:
     return column.slice(row, 1).flatten()
 
 
+def _pages(batch: pa.RecordBatch, row: int) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray]]:
+    """Keys, sizes (-1: null) and places of the documents of each page of a block."""
+    keys, sizes = _values(batch, "keys", row), _values(batch, "sizes", row).to_numpy(zero_copy_only=False)
+    first = 0
+    for count, packed in zip(_values(batch, "rows", row).to_pylist(), _values(batch, "pages", row)):
+        yield keys.slice(first, count), sizes[first : first + count], _unpack(packed.as_py())
+        first += count
+
+
 def _pick_ids(key: str, decoded: bool):
     """From blocks with the ids of their words to documents (key, ids[, decoded])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                places = _unpack(batch.column(batch.schema.names.index("places"))[row].as_py())
-                sizes = _values(batch, "sizes", row).to_numpy(zero_copy_only=False)
-                lists = _values(batch, "word_ids", row)
-                ids = lists.take(pa.array(places)).flatten() if len(places) else pa.array([], pa.int32())
-                length = pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                through = np.concatenate([[0], np.cumsum(length[places])])
-                ends = through[np.cumsum(np.maximum(sizes, 0))]
-                bounds = pa.array(np.concatenate([[0], ends]), pa.int32())
-                columns = [_values(batch, "keys", row), pa.ListArray.from_arrays(bounds, ids)]
-                if decoded:
-                    texts = _texts_of(ids.to_numpy(zero_copy_only=False), ends, _values(batch, "used", row), _values(batch, "pieces", row))
-                    columns.append(pa.array(texts, pa.string()))
-                yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"][: len(columns)])
+                length = _values(batch, "word_sizes", row).to_numpy(zero_copy_only=False).astype(np.int64)
+                bounds = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
+                lists = pa.ListArray.from_arrays(bounds, _values(batch, "word_ids", row))
+                decoder = _Decoder(_values(batch, "used", row), _values(batch, "pieces", row)) if decoded else None
+                for keys, sizes, places in _pages(batch, row):
+                    ids = lists.take(pa.array(places)).flatten() if len(places) else pa.array([], pa.int32())
+                    through = np.concatenate([[0], np.cumsum(length[places])])
+                    ends = through[np.cumsum(sizes)]
+                    bounds = pa.array(np.concatenate([[0], ends]), pa.int32())
+                    columns = [keys, pa.ListArray.from_arrays(bounds, ids)]
+                    if decoder:
+                        columns.append(pa.array(decoder.texts(ids.to_numpy(zero_copy_only=False), ends), pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names=[key, "ids", "decoded"][: len(columns)])
 
     return run
 
@@ -304,8 +362,9 @@ def _encoded_blocks(df: DataFrame, vocabulary: str, key: str, text: str, limit:
     with Scratch(df.sparkSession) as scratch:
         entries = blocks.select("block", F.posexplode("items").alias("pos", "word"))
         distinct = materialize(encode_words(entries.groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
-        joined = join_hot_values(entries, distinct, ["word"], "ids", HOT_BLOCKS)
-        return blocks, scratch.keep(_by_position(joined.select("block", "pos", "ids"), "ids", "word_ids"), "word_ids")
+        # written, so that the shuffle files of the join go before the next shuffle
+        joined = materialize(join_hot_values(entries, distinct, ["word"], "ids", HOT_BLOCKS).select("block", "pos", "ids"), "joined", compression="zstd")
+        return blocks, scratch.keep(_by_position(joined), "word_ids", compression="zstd")
 
 
 def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -325,13 +384,12 @@ def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                places = _unpack(batch.column(batch.schema.names.index("places"))[row].as_py())
-                sizes = _values(batch, "sizes", row).to_numpy(zero_copy_only=False)
                 items = _values(batch, "items", row).to_numpy(zero_copy_only=False)
-                ends = np.cumsum(np.maximum(sizes, 0))
-                texts = _texts_of(items[places], ends, _values(batch, "used", row), _values(batch, "pieces", row))
-                texts = [None if n < 0 else t for n, t in zip(sizes.tolist(), texts)]
-                yield pa.RecordBatch.from_arrays([_values(batch, "keys", row), pa.array(texts, pa.string())], names=[key, "decoded"])
+                decoder = _Decoder(_values(batch, "used", row), _values(batch, "pieces", row))
+                for keys, sizes, places in _pages(batch, row):
+                    ends = np.cumsum(np.maximum(sizes, 0))
+                    texts = [None if n < 0 else t for n, t in zip(sizes.tolist(), decoder.texts(items[places], ends))]
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(texts, pa.string())], names=[key, "decoded"])
 
     return blocks.join(lists, "block", "left").mapInArrow(run, f"`{key}` {kind}, decoded string")
 
@@ -341,7 +399,7 @@ def encode_and_decode(
 ) -> DataFrame:
     """``encode``, then ``decode`` of the ids block by block: (key, ids, decoded)."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
-    used = word_ids.select("block", F.explode(F.array_distinct(F.flatten("word_ids"))).alias("id"))
+    used = word_ids.select("block", F.explode(F.array_distinct("word_ids")).alias("id"))
     lists = materialize(_piece_lists(used, vocabulary), "piece_lists")
     kind = df.schema[key].dataType.simpleString()
     joined = blocks.drop("items").join(word_ids, "block", "left").join(lists, "block", "left")
