@@ -8,6 +8,8 @@ from scorelens.llm import (  # noqa: F401
     hilbert_shards_query,
     isolation_rules_query,
     ngram_join_query,
+    prefix_trie_query,
+    structure_repair_query,
     toxicity_gru_query,
     url_reputation_query,
     weak_quality_query,
