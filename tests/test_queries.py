@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from scorelens.plans import catalog
 from verify import TABLES, canonical
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -39,9 +40,9 @@ def test_equal_to_sql(spark, con, name):
 
 def test_every_survey_operator_has_a_query():
     sizes = {"a": 14, "b": 14, "c": 20, "d": 7, "e": 10, "f": 11, "g": 20, "h": 19, "i": 9, "r": 1, "j": 12, "k": 7, "l": 8, "m": 8, "n": 7, "p": 11, "s": 2}
-    names = {q.split("_")[0] for q in entry.queries()}
+    names = {q.split("_")[0] for q in catalog.QUERIES}
     assert names == {f"{letter}{i}" for letter, size in sizes.items() for i in range(1, size + 1)}
-    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(catalog.SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_has_rows(spark):
