@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import count_if, rate, safe_corr
-from scorelens.operators.ranks import avg_rank, join_hot_values, ordered_index, running_totals, value_ranks
+from scorelens.operators.ranks import join_hot_values, ordered_index, running_totals, value_ranks
 from scorelens.storage import attach_stats, join_on, materialize
 
 
@@ -97,11 +97,13 @@ def pearson(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
-    """Pearson correlation of average ranks."""
-    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *by, F.col(x).alias("_x"), F.col(y).alias("_y")
+    """Pearson correlation of average ranks; both columns are ranked from one stored table."""
+    ranked = both = materialize(
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")), "points"
     )
-    ranked = avg_rank(avg_rank(both, by, "_x", "_rx"), by, "_y", "_ry")
+    for value, name in (("_x", "_rx"), ("_y", "_ry")):
+        places = value_ranks(both, by, value).select(*by, value, "n", F.col("avg_rank").alias(name))
+        ranked = join_hot_values(ranked, materialize(places, "ranks"), [*by, value], name)
     return ranked.groupBy(*by).agg(safe_corr("_rx", "_ry").alias("spearman"))
 
 

@@ -6,8 +6,15 @@ partition, and shifted by the sizes of the earlier partitions of the same group.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelens.storage import join_on, materialize
 
@@ -45,30 +52,102 @@ def ordered_index(df: DataFrame, by: list[str], order: list, name: str = "positi
     )
 
 
+def _changes(column: pa.Array) -> np.ndarray:
+    """Whether each value differs from the one before it; NULL equals NULL and NaN equals NaN."""
+    if pa.types.is_nested(column.type):
+        values = column.to_pylist()
+        return np.array([a != b for a, b in zip(values, values[1:])], dtype=bool)
+    left, right = column.slice(0, len(column) - 1), column.slice(1)
+    differ = pc.fill_null(pc.not_equal(left, right), True)
+    both = pc.and_(pc.is_null(left, nan_is_null=True), pc.is_null(right, nan_is_null=True))
+    return pc.and_(differ, pc.invert(both)).to_numpy(zero_copy_only=False)
+
+
+def _prefix_sums(by: list[str], sums: dict[str, str]):
+    """Running sums of each group within a sorted partition.
+
+    Added columns: the sums, ``_part``, ``_head`` (the row belongs to the partition's first group) and ``_edge`` (1 for the
+    first row of the partition, 2 for the last, 3 for both).
+    """
+
+    def summed(batch: pa.RecordBatch, begins: np.ndarray, carry: dict) -> dict[str, np.ndarray]:
+        start = np.flatnonzero(begins)
+        segment = np.cumsum(begins) - 1
+        out = {}
+        for name, source in sums.items():
+            column = pc.fill_null(batch.column(batch.schema.names.index(source)), 0)
+            kind = np.float64 if pa.types.is_floating(column.type) else np.int64
+            values = column.to_numpy(zero_copy_only=False).astype(kind)
+            total = np.cumsum(values)
+            # what was added up before the segment; the first one may go on from the last batch
+            before = np.concatenate([[-carry[name] if not begins[0] else kind(0)], total[start[start > 0] - 1]]).astype(kind)
+            out[name] = total - before[segment if begins[0] else segment + 1]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last, carry, head, held = None, {}, True, None
+        for batch in batches:
+            rows = batch.num_rows
+            if rows == 0:
+                continue
+            keys = [batch.column(batch.schema.names.index(c)) for c in by]
+            begins = np.zeros(rows, dtype=bool)
+            begins[0] = last is None
+            for k, column in enumerate(keys):
+                begins[1:] |= _changes(column)
+                if last is not None:
+                    begins[0] |= bool(_changes(pa.concat_arrays([last[k], column.slice(0, 1)]))[0])
+            totals = summed(batch, begins, carry)
+            fresh = begins.copy()
+            fresh[0] &= last is not None
+            heads = (np.cumsum(fresh) == 0) & head
+            edge = np.zeros(rows, dtype=np.int8)
+            edge[0] = last is None
+            if held is not None:
+                yield held
+            head = bool(heads[-1])
+            last = [column.slice(rows - 1) for column in keys]
+            carry = {name: values[-1] for name, values in totals.items()}
+            held = pa.RecordBatch.from_arrays(
+                [*batch.columns, *[pa.array(v) for v in totals.values()], pa.array(np.full(rows, part, np.int32)), pa.array(heads), pa.array(edge)],
+                names=[*batch.schema.names, *[f"_local_{name}" for name in totals], "_part", "_head", "_edge"],
+            )
+        if held is not None:
+            edge = held.column(held.num_columns - 1).to_numpy(zero_copy_only=False).copy()
+            edge[-1] += 2
+            yield pa.RecordBatch.from_arrays([*held.columns[:-1], pa.array(edge)], names=held.schema.names)
+
+    return run
+
+
 def running_totals(df: DataFrame, by: list[str], order: list, sums: dict[str, str]) -> DataFrame:
-    """Add inclusive running sums ``{output: input}`` in ``order`` within each group.
+    """Add inclusive running sums ``{output: input}`` in ``order`` within each group; NULL adds nothing.
 
-    ``order`` must be unique inside a group.
+    ``order`` must be unique inside a group. The rows are range partitioned and sorted once, summed up where they lie and
+    written. Only a group that goes on from one partition to the next needs what came before: at most one number for each
+    partition, which is joined by partition, so no row is shuffled again.
     """
-    placed = materialize(df.orderBy(*by, *_columns(order)).withColumn("_part", F.spark_partition_id()), "ordered")
-    groups = by or ["_all"]
-    if not by:
-        placed = placed.withColumn("_all", F.lit(0))
-    earlier = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = placed.groupBy(*groups, "_part").agg(*[F.sum(c).alias(f"_sum_{o}") for o, c in sums.items()])
-    starts = starts.select(
-        *groups, "_part", *[F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).alias(f"_before_{o}") for o in sums]
+    inputs = {c: df.schema[c].dataType for c in sums.values()}
+    kinds = {o: "double" if isinstance(inputs[c], (T.DoubleType, T.FloatType)) else "long" for o, c in sums.items()}
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema]
+    schema = T.StructType(fields + [T.StructField(f"_local_{o}", T.DoubleType() if k == "double" else T.LongType()) for o, k in kinds.items()]
+                          + [T.StructField("_part", T.IntegerType()), T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.ByteType())])
+    placed = materialize(df.orderBy(*by, *_columns(order)).mapInArrow(_prefix_sums(by, sums), schema), "summed")
+    edges = materialize(placed.where("_edge > 0").select(*by, "_part", "_edge", *[f"_local_{o}" for o in sums]), "edges")
+    # of each partition the group that ends it, with its sum, and the group that begins it
+    last = F.col("_edge") >= 2
+    marks = edges.groupBy(*by, "_part").agg(
+        F.max(F.col("_edge") % 2).alias("_begins"), *[F.max(F.when(last, F.col(f"_local_{o}"))).alias(f"_sum_{o}") for o in sums]
     )
-    starts = materialize(starts, "starts")
-    local = (
-        Window.partitionBy(*groups, "_part")
-        .orderBy(*_columns(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = marks.select(
+        "_part", "_begins", *[F.coalesce(F.sum(f"_sum_{o}").over(earlier), F.lit(0)).cast(kinds[o]).alias(f"_before_{o}") for o in sums]
     )
-    inside = placed.select("*", *[F.sum(c).over(local).alias(f"_local_{o}") for o, c in sums.items()])
-    joined = join_on(inside, starts, [*groups, "_part"])
+    starts = materialize(starts.where("_begins = 1").drop("_begins").withColumnRenamed("_part", "_from"), "starts")
+    joined = placed.join(starts, F.col("_head") & (F.col("_part") == F.col("_from")), "left")
     return joined.select(
-        *df.columns, *[(F.col(f"_local_{o}") + F.col(f"_before_{o}")).alias(o) for o in sums]
+        *df.columns, *[(F.col(f"_local_{o}") + F.coalesce(f"_before_{o}", F.lit(0))).alias(o) for o in sums]
     )
 
 

@@ -68,3 +68,42 @@ def test_missing_values_have_no_rank(spark):
     got = sorted((r["x"], r["avg_rank"]) for r in ranks.avg_rank(df, ["g"], "x").collect() if r["x"] is not None)
     assert [rank for _, rank in got] == [1.5, 1.5, 3.5, 3.5]
     assert [r["avg_rank"] for r in ranks.avg_rank(df, ["g"], "x").where("x is null").collect()] == [None]
+
+
+def test_totals_go_on_over_partitions_and_batches(spark):
+    rng = np.random.default_rng(8)
+    n = 5000
+    pdf = pd.DataFrame({"key": np.arange(n), "w": rng.integers(-5, 9, n), "x": rng.normal(size=n)})
+    # one group spans most partitions, others end inside them; NULL and NaN are groups of their own
+    pdf["g"] = np.where(pdf.key < 3500, 1.5, np.where(pdf.key % 3 == 0, np.nan, pdf.key.astype(float)))
+    df = spark.createDataFrame(pdf).withColumn("g", F.when(F.col("key") % 7 != 5, F.col("g"))).withColumn("h", F.when(F.col("key") % 2 == 0, "a"))
+    frame = df.toPandas()
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, 64)
+    try:
+        got = ranks.running_totals(df.repartition(7), ["g", "h"], ["key"], {"tw": "w", "tx": "x"}).toPandas().sort_values("key")
+    finally:
+        spark.conf.set(conf, before)
+    null = df.select("key", F.col("g").isNull().alias("null")).toPandas().set_index("key")["null"]
+    name = [("null" if null[k] else "nan" if g != g else g, h) for k, g, h in zip(frame.key, frame.g, frame.h)]
+    want = frame.assign(name=list(map(str, name))).sort_values("key")
+    assert list(got.tw) == list(want.groupby("name").w.cumsum())
+    assert np.allclose(got.tx, want.groupby("name").x.cumsum())
+
+
+def test_ranks_shuffle_for_the_aggregate_and_the_order_only(spark, monkeypatch):
+    plans = []
+    write = ranks.materialize
+
+    def noted(df, *a, **k):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, *a, **k)
+
+    monkeypatch.setattr(ranks, "materialize", noted)
+    df = spark.range(20_000).select(F.lit("g").alias("g"), F.rand(3).alias("x"))
+    result = ranks.value_ranks(df, ["g"], "x")
+    assert plans[0].count("Exchange hashpartitioning") == 1 and plans[0].count("Exchange rangepartitioning") == 1
+    after = result._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in after and "Exchange rangepartitioning" not in after
+    assert result.agg(F.max("avg_rank")).first()[0] == 20_000
