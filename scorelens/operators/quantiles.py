@@ -1,10 +1,11 @@
 """Exact percentiles of huge groups without a full shuffle or a task that holds a group.
 
 A coarse quantile sketch encloses each percentile of a group in a bracket of values. The brackets cut the value
-line into ordered segments; counting rows per segment shows where the wanted order statistics lie. While a
-bracket still holds many rows, a counting pass over a grid inside the brackets narrows it; then only the distinct
-values inside the brackets are kept, which is at most ``keep_rows`` values per percentile, and the order
-statistics are read off there. Every pass is an aggregate that combines map-side.
+line into ordered segments; counting rows per segment shows where the wanted order statistics lie. While a bracket may
+hold more than ``keep_rows`` values between its ends, a pass counts its rows exactly, sketches the values between its ends
+and narrows it to a few of ``grid`` parts of equal depth. So every pass leaves the same share of the rows, whatever
+the values, and repeated values end up as ends of brackets. Then only the distinct values inside the brackets are kept
+and placed within their segment. Every pass is an aggregate that combines map-side.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from scorelens.storage import join_on, materialize
 
 ACCURACY = 1_000
-GRID = 1_024
+GRID = 256
 KEEP_ROWS = 1_000_000
 
 
@@ -45,38 +46,39 @@ def _at(position: Column, value: str, condition: Column | None = None) -> Column
     return F.max(F.when(hit if condition is None else hit & condition, F.col(value)))
 
 
-def _counted_before(counted: DataFrame, groups: list[str], order: list[str]) -> DataFrame:
-    earlier = Window.partitionBy(*groups).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return counted.withColumn("_before", F.coalesce(F.sum("_c").over(earlier), F.lit(0)))
-
-
-def _narrow(rows: DataFrame, brackets: DataFrame, groups: list[str], fractions: list[float], grid: int) -> DataFrame:
-    """Brackets around the same order statistics, narrower by up to the grid size, with their number of rows."""
-    count = len(fractions)
+def _narrow(rows: DataFrame, brackets: DataFrame, groups: list[str], fractions: list[float], grid: int, accuracy: int) -> DataFrame:
+    """Brackets around the same order statistics, narrower by ``_share``, with the rows between the old ends."""
     joined = join_on(rows, brackets, groups)
-    segment, inside = _segment(count)
-    cell = F.lit(0)
-    for i in reversed(range(count)):
+    v = F.col("_v")
+    depths = [i / grid for i in range(grid + 1)]
+    measures = []
+    for i in range(len(fractions)):
         low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        share = F.when(high > low, (F.col("_v") - low) / (high - low)).otherwise(0.0)
-        here = F.greatest(F.lit(0), F.least(F.lit(grid - 1), F.floor(share * grid).cast("int")))
-        cell = F.when(high >= F.col("_v"), here).otherwise(cell)
-    # the least and greatest value of a cell are values of the data, so no edge is lost to rounding
-    counted = (
-        joined.select(*groups, "_n", "_v", segment.alias("_segment"), F.when(inside, cell).otherwise(0).alias("_cell"))
-        .groupBy(*groups, "_segment", "_cell")
-        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"), F.min("_v").alias("_a"), F.max("_v").alias("_z"))
-    )
-    placed = _counted_before(counted, groups, ["_segment", "_cell"])
-    placed = placed.withColumn("_through", F.col("_before") + F.col("_c"))
-    picks = []
+        between = (low < v) & (v < high)
+        measures += [
+            F.max(low).alias(f"_lo{i}"), F.max(high).alias(f"_hi{i}"), F.count_if(v <= low).alias(f"_through{i}"),
+            F.count_if(between).alias(f"_rows{i}"), F.percentile_approx(F.when(between, v), depths, accuracy).alias(f"_cut{i}"),
+        ]
+    measured = joined.groupBy(*groups).agg(F.max("_n").alias("_n"), *measures)
+    ends = []
+    error = 2.0 / accuracy  # of the sketch, with some room
     for i, (k, after) in enumerate(_targets(fractions)):
-        picks += [
-            _at(k, "_a").alias(f"_lo{i}"),
-            _at(after, "_z").alias(f"_hi{i}"),
-            (_at(after, "_through") - _at(k, "_before")).alias(f"_rows{i}"),
+        low, high, inside, cut = F.col(f"_lo{i}"), F.col(f"_hi{i}"), F.col(f"_rows{i}"), F.col(f"_cut{i}")
+        first, last = k - F.col(f"_through{i}"), after - F.col(f"_through{i}")  # places between the ends
+        below = F.floor((first / inside - error) * grid).cast("int")
+        above = F.ceil(((last + 1) / inside + error) * grid).cast("int")
+        ends += [
+            F.when((inside == 0) | (first < 0) | (below < 0), F.when((first >= inside) & (first >= 0), high).otherwise(low))
+            .when(first >= inside, high).otherwise(F.get(cut, below)).alias(f"_lo{i}"),
+            F.when((inside == 0) | (last >= inside) | (above > grid), F.when(last < 0, low).otherwise(high))
+            .when(last < 0, low).otherwise(F.get(cut, above)).alias(f"_hi{i}"),
         ]
-    return placed.groupBy(*groups).agg(F.max("_n").alias("_n"), *picks)
+    return measured.select(*groups, "_n", *[f"_rows{i}" for i in range(len(fractions))], *ends)
+
+
+def _share(grid: int, accuracy: int) -> float:
+    """Most of the rows between a bracket's ends that a pass leaves between the new ones."""
+    return 6.0 / accuracy + 3.0 / grid
 
 
 def profile(
@@ -92,8 +94,8 @@ def profile(
 ) -> DataFrame:
     """Per-group ``aggregates`` plus exact linear-interpolated ``percentiles`` ``{name: fraction}`` of ``value``.
 
-    NULL and NaN values do not count. The table is read twice; groups of more than about
-    ``keep_rows * accuracy / 8`` rows take one more pass per factor ``grid``.
+    NULL and NaN values do not count. The table is read twice; groups of more than about ``keep_rows * accuracy / 8``
+    rows take one more pass for each factor of ``1 / _share``. At least ``4 * grid`` and ``accuracy`` values are kept.
     """
     if not percentiles:
         return df.groupBy(*by).agg(*aggregates)
@@ -129,15 +131,14 @@ def profile(
     rows = df.select(*groups, clean.alias("_v")).where(F.col("_v").isNotNull())
 
     largest = sketch.agg(F.max("_n")).first()[0] or 0
+    keep_rows = max(keep_rows, 4 * grid, accuracy)
     held = largest if largest <= accuracy else largest * 2 * margin
-    previous, measured = float("inf"), False
-    # brackets that stop shrinking hold repeated values, which are few however many rows they have
-    while held > keep_rows and held < previous:
-        narrowed = materialize(_narrow(rows, brackets, groups, fractions, grid), "brackets")
-        now = narrowed.agg(*[F.max(f"_rows{i}") for i in range(count)]).first()
+    while held > keep_rows:
+        narrowed = materialize(_narrow(rows, brackets, groups, fractions, grid, accuracy), "brackets")
+        between = max(narrowed.agg(*[F.max(f"_rows{i}") for i in range(count)]).first())
         brackets = narrowed.drop(*[f"_rows{i}" for i in range(count)])
-        previous = held if measured else float("inf")
-        held, measured = max(now), True
+        # a share of what was counted, and one more for rounding
+        held = between * _share(grid, accuracy) + 1
 
     joined = join_on(rows, brackets, groups)
     segment, inside = _segment(count)
@@ -146,7 +147,14 @@ def profile(
         .groupBy(*groups, "_segment", "_rep")
         .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
     )
-    placed = _counted_before(counted, groups, ["_segment", "_rep"])
+    # what lies in earlier segments, and before a value inside its own
+    whole = counted.groupBy(*groups).agg(
+        *[F.coalesce(F.sum(F.when(F.col("_segment") < s, F.col("_c"))), F.lit(0)).alias(f"_base{s}") for s in range(2 * count + 1)]
+    )
+    earlier = Window.partitionBy(*groups, "_segment").orderBy("_rep").rowsBetween(Window.unboundedPreceding, -1)
+    placed = join_on(counted.withColumn("_within", F.coalesce(F.sum("_c").over(earlier), F.lit(0))), whole, groups)
+    base = F.element_at(F.array(*[f"_base{s}" for s in range(2 * count + 1)]), F.col("_segment") + 1)
+    placed = placed.withColumn("_before", base + F.col("_within"))
     picks = []
     for i, (k, after) in enumerate(_targets(fractions)):
         picks += [_at(k, "_rep").alias(f"_a{i}"), _at(after, "_rep").alias(f"_b{i}")]

@@ -58,3 +58,25 @@ def test_null_group_key(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("b", 1.0)], "g string, x double")
     got = {r["g"]: r["median"] for r in exact_percentiles(df, ["g"], "x", {"median": 0.5}).collect()}
     assert got == {None: 2.0, "b": 1.0}
+
+
+def test_few_passes_over_values_of_any_spread(spark, monkeypatch):
+    from scorelens.operators import quantiles
+
+    rng = np.random.default_rng(1)
+    values = 10.0 ** rng.uniform(-125, 125, size=20_000)
+    values[:5000] = 1e-100  # a value with a quarter of the rows
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").repartition(4)
+    passes = []
+    narrow = quantiles._narrow
+    monkeypatch.setattr(quantiles, "_narrow", lambda *a: passes.append(1) or narrow(*a))
+    row = exact_percentiles(df, [], "x", WANTED, accuracy=100, keep_rows=200, grid=50).first()
+    for name, f in WANTED.items():
+        assert row[name] == pytest.approx(np.percentile(values, 100 * f), rel=1e-12)
+    assert 1 <= len(passes) <= 3  # with the sketch at most four
+
+
+def test_no_window_over_a_whole_group(data):
+    text = exact_percentiles(data, ["g"], "x", WANTED)._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in text.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("_segment" in line.split("windowspecdefinition(")[1].split("_rep")[0] for line in windows)
