@@ -13,11 +13,40 @@ SAMPLE = ["sample_id", "side"]
 METHODS = ["mean", "median", "max", "min"]
 
 
+def members_of(rewards: DataFrame, keys: list[str] = SAMPLE, value: str = "reward") -> DataFrame:
+    """(keys, members): one row a sample with its (model_id, reward) pairs in order; ensembles are expressions over them."""
+    member = F.when(F.col(value).isNotNull(), F.struct("model_id", F.col(value).cast("double").alias("reward")))
+    return rewards.groupBy(*keys).agg(F.sort_array(F.collect_list(member)).alias("members"))
+
+
+def _sum(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda total, v: total + v)
+
+
+def _simple(members: Column) -> list[Column]:
+    """Mean, median, maximum and minimum of the members' rewards; NULL without any."""
+    given = F.transform(members, lambda m: m["reward"])  # added up in the order of the models
+    values = F.sort_array(given)
+    n = F.size(members)
+    middle = (F.get(values, F.floor((n - 1) / 2).cast("int")) + F.get(values, F.floor(n / 2).cast("int"))) / 2
+    return [
+        F.when(n > 0, c).alias(name)
+        for name, c in zip(METHODS, [_sum(given) / n, middle, F.array_max(values), F.array_min(values)])
+    ]
+
+
+def _weighted(members: Column, weights: dict[str, float]) -> Column:
+    """Mean of the rewards of the models that have a weight; NULL if there is none."""
+    table = F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])
+    known = F.filter(members, lambda m: m["model_id"].isin(*weights))
+    weight = _sum(F.transform(known, lambda m: F.element_at(table, m["model_id"])))
+    total = _sum(F.transform(known, lambda m: F.element_at(table, m["model_id"]) * m["reward"]))
+    return F.try_divide(total, F.nullif(weight, F.lit(0.0)))
+
+
 def combine(rewards: DataFrame, keys: list[str] = SAMPLE, value: str = "reward") -> DataFrame:
     """Mean, median, maximum and minimum over the models of each sample."""
-    return rewards.groupBy(*keys).agg(
-        F.avg(value).alias("mean"), F.median(value).alias("median"), F.max(value).alias("max"), F.min(value).alias("min")
-    )
+    return members_of(rewards, keys, value).select(*keys, *_simple(F.col("members")))
 
 
 def as_rows(combined: DataFrame, keys: list[str] = SAMPLE, methods: list[str] = METHODS) -> DataFrame:
@@ -63,13 +92,18 @@ def user_weighted(
 
 
 def with_ensembles(rewards: DataFrame) -> DataFrame:
-    """Member rewards plus one pseudo model per ensemble method."""
-    members = rewards.select(*SAMPLE, "model_id", "reward")
-    simple = as_rows(combine(rewards))
-    by_auc = weighted(rewards, auc_weights(rewards)).select(
-        *SAMPLE, F.lit("ensemble_weighted").alias("model_id"), F.col("weighted").alias("reward")
-    )
-    return members.unionByName(simple).unionByName(by_auc)
+    """Member rewards plus one pseudo model per ensemble method.
+
+    The rewards are stored once; one aggregate by sample serves all methods. There is one weight a model.
+    """
+    stored = materialize(rewards.select(*SAMPLE, "model_id", "reward"), "rewards")
+    weights = {r["model_id"]: r["weight"] for r in auc_weights(stored).collect() if r["weight"] is not None}
+    found = _simple(F.col("members"))
+    if weights:
+        found.append(_weighted(F.col("members"), weights).alias("weighted"))
+    combined = members_of(stored).select(*SAMPLE, *found)
+    rows = as_rows(combined, SAMPLE, [*METHODS, *["weighted"] * bool(weights)])
+    return stored.select(*SAMPLE, "model_id", "reward").unionByName(rows)
 
 
 def leaderboard(rewards: DataFrame) -> DataFrame:

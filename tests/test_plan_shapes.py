@@ -85,3 +85,13 @@ def test_written_tables_can_be_dropped(spark, tmp_path):
     files = spark._jvm.org.apache.hadoop.fs.Path(path)
     assert not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files)
     storage._WRITTEN.extend(kept)
+
+
+def test_ensembles_need_one_exchange_by_sample(spark, monkeypatch):
+    from scorelens.operators import ensemble
+
+    df = storage.materialize(spark.range(600).select(
+        (F.col("id") % 100).alias("sample_id"), F.when(F.col("id") % 200 < 100, "original").otherwise("detoxified").alias("side"),
+        F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model_id"), F.rand(1).alias("reward")))
+    text = plan(ensemble.with_ensembles(df))
+    assert text.count("Exchange") == 1 and "Join" not in text
