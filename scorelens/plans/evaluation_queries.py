@@ -543,7 +543,30 @@ def vector_pairs(spark, d):
     return left.join(right, "sample_id")
 
 
-@query("l7_reward_head")
+def _newton_sql(steps: int = 6, size: int = 64, ridge: float = 1e-6) -> str:
+    """Newton steps for the max-entropy loss, each with its own gradient, Hessian and elimination; losses before and after."""
+    dims = f"range(1, {size + 1})"
+    parts = [f"""x AS MATERIALIZED (SELECT list_transform({dims}, lambda i: (d.embedding[i]::DOUBLE - o.embedding[i]::DOUBLE) / 0.1) AS x
+      FROM embeddings o JOIN embeddings d ON o.vec_id % 2 = 0 AND d.vec_id = o.vec_id + 1)""",
+             f"w0 AS MATERIALIZED (SELECT list_transform({dims}, lambda i: 0.0::DOUBLE) AS w)"]
+    for k in range(steps):
+        parts += [
+            f"p{k} AS MATERIALIZED (SELECT x, 1 / (1 + exp(list_dot_product(x, w))) AS p FROM x, w{k})",
+            f"""g{k} AS MATERIALIZED (SELECT i, -avg(p * x[i]) + {ridge} * any_value(w[i]) AS g FROM p{k}, w{k}, {dims} AS a(i) GROUP BY i)""",
+            f"""h{k} AS MATERIALIZED (SELECT i, j, avg(p * (1 - p) * x[i] * x[j]) + CASE WHEN i = j THEN {ridge} ELSE 0 END AS h
+              FROM p{k}, {dims} AS a(i), {dims} AS b(j) GROUP BY i, j)""",
+            f"""m{k} AS MATERIALIZED (SELECT list(row ORDER BY i) AS m FROM (
+              SELECT i, list_append(list(h ORDER BY j), any_value(g)) AS row FROM h{k} JOIN g{k} USING (i) GROUP BY i))""",
+            f"""e{k} AS MATERIALIZED (SELECT list_reduce({dims}, lambda m, k: list_transform(m, lambda row, i: CASE WHEN i = k
+              THEN list_transform(row, lambda v: v / row[k])
+              ELSE list_transform(row, lambda v, j: v - row[k] / m[k][k] * m[k][j]) END), m) AS m FROM m{k})""",
+            f"w{k + 1} AS MATERIALIZED (SELECT list_transform({dims}, lambda i: w[i] - m[i][{size + 1}]) AS w FROM w{k}, e{k})",
+        ]
+    loss = "SELECT '{}' AS head, avg(greatest(-z, 0.0) + ln(1 + exp(-abs(z)))) AS max_entropy FROM (SELECT list_dot_product(x, w) AS z FROM x, {})"
+    return f"WITH {', '.join(parts)} {loss.format('fitted', f'w{steps}')} UNION ALL {loss.format('zero', 'w0')}"
+
+
+@query("l7_reward_head", rounded("head", "max_entropy", _newton_sql()))
 def l7(spark, d):
     """Loss before and after the fit, scored over all pairs."""
     from scorelens.functions.numeric import value_head
@@ -554,7 +577,7 @@ def l7(spark, d):
     scored = pairs.select("sample_id", value_head(F.col("original"), weights).alias("original"), value_head(F.col("detoxified"), weights).alias("detoxified"))
     fitted = losses.pairwise_loss(scored, [], ["max_entropy"]).withColumn("head", F.lit("fitted"))
     zero = losses.pairwise_loss(scored.withColumns({"original": F.lit(0.0), "detoxified": F.lit(0.0)}), [], ["max_entropy"]).withColumn("head", F.lit("zero"))
-    return fitted.unionByName(zero)
+    return tidy(fitted.unionByName(zero))
 
 
 @query("l8_metric_history", with_tables("rewards", rounded("model_id epoch tp fp tn fn positives negatives", f"accuracy f1 roc_auc pr_auc {_MEAN_NAMES} loss", f"""
