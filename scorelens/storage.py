@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,7 +58,8 @@ def materialize(df: DataFrame, name: str = "table", **options) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     with _shuffle_files_removed(df.sparkSession):
         df.write.options(**options).parquet(path)
-    (_OWNERS[-1].paths if _OWNERS else _WRITTEN).append(path)
+    owners = _OWNERS.get()
+    (owners[-1].paths if owners else _WRITTEN).append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,25 +80,25 @@ class Scratch:
         self.paths: list[str] = []
 
     def __enter__(self) -> Scratch:
-        _OWNERS.append(self)
+        _OWNERS.set((*_OWNERS.get(), self))
         return self
 
     def __exit__(self, *_) -> None:
-        _OWNERS.remove(self)
+        _OWNERS.set(tuple(owner for owner in _OWNERS.get() if owner is not self))
         _delete(self.spark, self.paths)
 
     def keep(self, df: DataFrame, name: str = "table", **options) -> DataFrame:
         """Write a table that outlives this block."""
-        at = _OWNERS.index(self)
-        inner = _OWNERS[at:]
-        del _OWNERS[at:]
+        owners = _OWNERS.get()
+        outer = _OWNERS.set(owners[: owners.index(self)])
         try:
             return materialize(df, name, **options)
         finally:
-            _OWNERS.extend(inner)
+            _OWNERS.reset(outer)
 
 
-_OWNERS: list[Scratch] = []
+#: The open blocks of this thread, from the outermost on.
+_OWNERS: ContextVar[tuple[Scratch, ...]] = ContextVar("owners", default=())
 
 
 def drop_materialized(spark: SparkSession) -> None:

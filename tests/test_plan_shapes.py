@@ -95,3 +95,27 @@ def test_ensembles_need_one_exchange_by_sample(spark, monkeypatch):
         F.concat(F.lit("m"), (F.col("id") % 3).cast("string")).alias("model_id"), F.rand(1).alias("reward")))
     text = plan(ensemble.with_ensembles(df))
     assert text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_threads_own_their_tables(spark):
+    import threading
+
+    opened, closed, found = threading.Event(), threading.Event(), []
+
+    def other():
+        opened.wait(60)
+        table = storage.materialize(spark.range(5), "other")
+        found.append(table)
+        closed.set()
+
+    thread = threading.Thread(target=other)
+    thread.start()
+    with storage.Scratch(spark) as scratch:
+        opened.set()
+        closed.wait(60)
+        mine = storage.materialize(spark.range(7), "mine")
+        with storage.Scratch(spark):
+            kept = scratch.keep(mine, "kept")
+        assert mine.count() == 7
+    thread.join()
+    assert found[0].count() == 5 and kept.count() == 7
