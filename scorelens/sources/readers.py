@@ -2,24 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import json
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.text import strip
-from scorelens.storage import scratch_path
+from scorelens.storage import materialize, scratch_path
 
 TEXT_RECORD = "text string, output string"
+#: Characters of a first line by which a layout is told.
+LOOK_CHARS = 1 << 16
 
 
 def read_json_texts(
     spark: SparkSession, path: str, *, layout: str = "lines", whole_file: bool = True
 ) -> DataFrame:
     """Texts of JSON files: ``lines`` of records or strings, an ``array`` of records or strings, or an ``object``
-    with a ``texts`` list. The text is ``text`` or else ``output``; lines that do not parse are skipped.
+    with a ``texts`` list; ``auto`` tells by the beginning of the first file. The text is ``text`` or else ``output``;
+    lines that do not parse are skipped.
 
     Arrays and objects are one document per file, which one task reads, or with ``whole_file=False`` one document
     per line; large corpora should use lines.
     """
+    if layout == "auto":
+        layout = json_layout(spark, path)
     if layout == "lines":
         raw = spark.read.text(path).where(F.trim("value") != "")
         record = F.from_json("value", TEXT_RECORD)
@@ -39,18 +49,97 @@ def read_json_texts(
     return exploded.select(text.alias("text")).where("text is not null")
 
 
+def json_layout(spark: SparkSession, path: str) -> str:
+    """Layout of JSON text files by the first line of the first file that isn't blank; of a long line by its beginning."""
+    line = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.ltrim("value"), 1, LOOK_CHARS)).first()
+    begin = line[0] if line else ""
+    if begin.startswith("["):
+        return "array"
+    if not begin.startswith("{"):
+        return "lines"
+    try:
+        return "object" if "texts" in json.loads(begin) else "lines"
+    except json.JSONDecodeError:
+        # a record that is longer than what was looked at, or an object over several lines
+        long = len(begin) >= LOOK_CHARS and not re.match(r'\{\s*"texts"\s*:', begin)
+        return "lines" if long else "object"
+
+
 def read_text_lines(spark: SparkSession, path: str) -> DataFrame:
     """One stripped text per non-blank line."""
     return spark.read.text(path).select(strip(F.col("value")).alias("text")).where(F.length("text") > 0)
 
 
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, record): the records of CSV files whose quoted fields may hold line breaks, read in ranges.
+
+    The number of quotes in a range tells whether it turns "inside a field" into "outside" or leaves it, so the state at
+    the start of every range follows from one count a range. Then each range cuts its lines into records on its own, and
+    only a record that goes over the end of a range is put together from its parts. ``first`` marks the first record of a
+    file. Quotes stand around fields only, and double inside them.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value"
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    ranges = lines.groupBy("file", "start").agg((F.sum(quotes) % 2).alias("odd"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    # one row a range
+    states = materialize(ranges.select(
+        "file", "start", (F.coalesce(F.sum("odd").over(earlier), F.lit(0)) % 2 == 1).alias("inside"),
+        F.count("*").over(earlier).alias("_earlier"),
+    ).withColumn("leads", F.col("_earlier") == 0).drop("_earlier"), "ranges")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place = [], None
+
+        def rows(done: list) -> pa.RecordBatch:
+            columns = list(zip(*done))
+            kinds = [pa.string(), pa.int64(), pa.bool_(), pa.int32(), pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["file", "start", "first", "part", "record"])
+
+        # part 0: a whole record; 1: the beginning of one; 2: more of one that began before the range
+        continues, opening, inside = False, False, False
+        for batch in batches:
+            done = []
+            for file, start, line, within, leads in zip(*[c.to_pylist() for c in batch.columns]):
+                if place != (file, start):
+                    if held:
+                        done.append((*place, opening, 2 if continues else 1, "\n".join(held)))
+                    held, place, inside, continues, opening = [], (file, start), within, within, leads
+                held.append(line)
+                inside ^= line.count('"') % 2 == 1
+                if not inside:
+                    done.append((file, start, opening, 2 if continues else 0, "\n".join(held)))
+                    held, continues, opening = [], False, False
+            if done:
+                yield rows(done)
+        if held:
+            yield rows([(*place, opening, 2 if continues else 1, "\n".join(held))])
+
+    stated = lines.join(F.broadcast(states), ["file", "start"]).select("file", "start", "value", "inside", "leads")
+    parts = stated.mapInArrow(cut, "file string, start long, first boolean, part int, record string")
+    parts = materialize(parts, "records")
+    # at most two parts a range
+    begun = Window.partitionBy("file").orderBy("start", F.desc("part")).rowsBetween(Window.unboundedPreceding, 0)
+    split = parts.where("part > 0").withColumn("_number", F.sum((F.col("part") == 1).cast("int")).over(begun))
+    ordered = F.sort_array(F.collect_list(F.struct("start", "record")))
+    joined = split.groupBy("file", "_number").agg(F.max("first").alias("first"), F.array_join(F.transform(ordered, lambda e: e["record"]), "\n").alias("record"))
+    whole = parts.where("part = 0").select("file", "first", "record").unionByName(joined.select("file", "first", "record"))
+    return whole.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
+
+
 def read_results_csv(
     spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True
 ) -> DataFrame:
-    """Results frame from CSV with quoted text; without a schema an extra pass infers it.
+    """Results frame from CSV with a header and quoted text.
 
-    Text with line breaks needs ``multi_line``, where one task reads a file; without it large files are split.
+    With a schema, text with line breaks is read in ranges by many tasks (``quoted_records``). Without one an extra pass
+    infers it, and with ``multi_line`` one task reads a file. ``multi_line=False`` is for files without such breaks.
     """
+    if schema and multi_line:
+        records = quoted_records(spark, path).where("not first")
+        return records.select(F.from_csv("record", schema, {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
