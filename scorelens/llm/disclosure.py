@@ -31,12 +31,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scorelens.operators.ranks import join_hot_values
 from scorelens.storage import join_on, materialize
 
 #: Code points of context on each side of an entity.
 CONTEXT_CHARS = 60
 #: Words on each side of a term that are its surroundings.
 TERM_WORDS = 4
+#: Code points a block of a text from which pieces are cut.
+BLOCK_CHARS = 1024
 #: Different contexts in which a term must meet an entity.
 MIN_CONTEXTS = 2
 GENERALISE_SHARE = 0.5
@@ -101,6 +104,41 @@ def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
 
 
+def _blocks(text: Column) -> Column:
+    """The text in blocks of ``BLOCK_CHARS`` code points."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK_CHARS}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in blocks; the work follows the piece, not its place."""
+    first = F.floor(start / BLOCK_CHARS).cast("int")
+    near = F.array_join(F.slice(blocks, first + 1, F.floor(end / BLOCK_CHARS).cast("int") - first + 1), "")
+    return F.when(end > start, F.substring(near, start - first * BLOCK_CHARS + 1, end - start)).otherwise("")
+
+
+def _reached(ends: Column) -> Column:
+    """For every place of an array: the greatest of the numbers before it, 0 before the first; and once more behind the last.
+
+    Taken over blocks and within a block, as the places of ``_located``.
+    """
+    block = 256
+
+    def reached(numbers: Column, blocks: Column) -> Column:
+        def before(i: Column) -> Column:
+            full = F.floor(i / block).cast("int")
+            return F.greatest(
+                F.lit(0), F.array_max(F.slice(blocks, 1, full)), F.array_max(F.slice(numbers, full * block + 1, i - full * block))
+            )
+
+        return F.transform(F.sequence(F.lit(0), F.size(numbers)), before)
+
+    def summed(numbers: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(numbers) / block).cast("int")), lambda b: F.array_max(F.slice(numbers, b * block + 1, F.lit(block))))
+        return _let(blocks, lambda greatest: reached(numbers, greatest))
+
+    return _let(ends, summed)
+
+
 def _located(text: Column, pattern: str) -> Column:
     """Array of (start, end, value) of all matches.
 
@@ -164,18 +202,29 @@ def _mentions(hits: DataFrame) -> DataFrame:
     ``offset`` is the place of the context in the text. Words cut at the rim of a context are left out.
     """
     spans = F.concat(*[_as_entities(kind.name) for kind in KINDS])
-    each = hits.select("_doc", "copies", "text", F.explode(spans).alias("s")).select("_doc", "copies", "text", "s.*")
-    begin = F.greatest(F.col("start") - CONTEXT_CHARS, F.lit(0))
-    before = F.substring("text", begin + 1, F.col("start") - begin)
-    after = F.substring("text", F.col("end") + 1, F.lit(CONTEXT_CHARS))
+
+    def beside(blocks: Column, size: Column) -> Column:
+        def sides(s: Column) -> Column:
+            begin = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
+            stop = F.least(s["end"] + CONTEXT_CHARS, size)
+            return F.struct(
+                s["entity"].alias("entity"), begin.alias("begin"), s["end"].alias("end"),
+                _piece(blocks, begin, s["start"]).alias("before"), _piece(blocks, s["end"], stop).alias("after"),
+            )
+
+        return F.transform(spans, sides)
+
+    # cut out before the entities are exploded, so that rows don't carry the text
+    cut_out = _let(_blocks(F.col("text")), lambda blocks: _let(F.length("text"), lambda size: beside(blocks, size)))
+    each = hits.select("_doc", "copies", F.explode(cut_out).alias("s")).select("_doc", "copies", "s.*")
     # a word that goes on beyond the rim
-    cut = F.when(begin > 0, F.length(F.regexp_extract(before, r"^[\p{L}\p{N}]*", 0))).otherwise(0)
-    whole_after = F.when(F.length(after) < CONTEXT_CHARS, after).otherwise(F.regexp_replace(after, r"[\p{L}\p{N}]*$", ""))
+    cut = F.when(F.col("begin") > 0, F.length(F.regexp_extract("before", r"^[\p{L}\p{N}]*", 0))).otherwise(0)
+    whole_after = F.when(F.length("after") < CONTEXT_CHARS, F.col("after")).otherwise(F.regexp_replace("after", r"[\p{L}\p{N}]*$", ""))
     sides = F.array(
-        F.struct((begin + cut).alias("offset"), F.expr("substring(_before, _cut + 1)").alias("context")),
+        F.struct((F.col("begin") + F.col("_cut")).alias("offset"), F.expr("substring(before, _cut + 1)").alias("context")),
         F.struct(F.col("end").alias("offset"), F.col("_after").alias("context")),
     )
-    each = each.withColumns({"_before": before, "_cut": cut, "_after": whole_after})
+    each = each.withColumns({"_cut": cut, "_after": whole_after})
     return each.select("_doc", "copies", "entity", F.explode(sides).alias("side")).select("_doc", "copies", "entity", "side.*")
 
 
@@ -184,14 +233,24 @@ def _sum_of(name: str) -> Column:
     return F.sum(F.shiftright(F.xxhash64(name), 20))
 
 
+def _replaced(text: Column, ordered: Column, mask) -> Column:
+    """The text with ``mask(span, done)`` in place of spans ordered by start; ``done`` is where earlier spans have ended."""
+
+    def cut(blocks: Column, reached: Column) -> Column:
+        parts = F.zip_with(ordered, F.slice(reached, 1, F.size(ordered)), lambda s, done: F.concat(_piece(blocks, done, s["start"]), mask(s, done)))
+        return F.concat(F.array_join(parts, ""), _piece(blocks, F.element_at(reached, -1), F.length(text)))
+
+    ends = F.transform(ordered, lambda s: s["end"])
+    return _let(_blocks(text), lambda blocks: _let(_reached(ends), lambda reached: cut(blocks, reached)))
+
+
 def _blanked(text: Column, ordered: Column) -> Column:
     """The text with spaces in place of the spans, which are ordered by start."""
-    return F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda done, s: F.struct(F.greatest(done["at"], s["end"]).alias("at"), F.concat(done["parts"], F.array(
-            F.substring(text, done["at"] + 1, s["start"] - done["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(done["at"], s["start"])))).alias("parts")),
-        lambda done: F.concat(F.array_join(done["parts"], ""), F.substring(text, done["at"] + 1, F.length(text))),
-    )
+    return _replaced(text, ordered, lambda s, done: F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(done, s["start"]), F.lit(0))))
+
+
+def _all_spans() -> Column:
+    return F.array_sort(F.concat(*[F.transform(f"_{kind.name}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]))
 
 
 def _doc_terms(once: DataFrame) -> DataFrame:
@@ -213,8 +272,10 @@ def _pairs(once: DataFrame, mentions: DataFrame) -> DataFrame:
     """
     near = mentions.select("entity", F.explode(F.transform(F.regexp_extract_all("context", F.lit(TERM), F.lit(0)), lambda w: F.lower(w))).alias("term"), "_doc", "copies")
     holders = materialize(mentions.groupBy("entity", "_doc").agg(F.max("copies").alias("copies"), _sum_of("context").alias("beside")), "holders")
-    several = holders.groupBy("entity").agg(F.count("*").alias("texts")).filter(F.col("texts") >= MIN_CONTEXTS).select("entity")
-    holders = materialize(holders.join(several, "entity"), "holders")
+    # one row an entity; those with very many texts are joined without a shuffle
+    several = holders.groupBy("entity").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_CONTEXTS).withColumn("_several", F.lit(True))
+    marked = join_hot_values(holders, materialize(several, "several"), ["entity"], "_several")
+    holders = materialize(marked.filter("_several").drop("_several"), "holders")
     terms = _doc_terms(once.join(holders.select("_doc").distinct(), "_doc", "left_semi"))
     whole = holders.join(terms, "_doc").select("entity", "term", "_doc", "copies", F.xxhash64("beside", "around").alias("key"))
     both = near.withColumn("key", F.lit(None).cast("long")).unionByName(whole)
@@ -263,8 +324,7 @@ def sanitise(docs: DataFrame) -> DataFrame:
     # same text, same spans: repeated rows share one key
     hits = materialize(searched.filter(some).withColumn("_doc", F.concat(F.xxhash64("text").cast("string"), F.lit(":"), F.hash("text").cast("string"))), "hits")
     once = hits.groupBy("_doc").agg(F.count("*").alias("copies"), F.first("text").alias("text"), *[F.first(f"_{k.name}").alias(f"_{k.name}") for k in KINDS])
-    spans = F.array_sort(F.concat(*[F.transform(f"_{kind.name}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for kind in KINDS]))
-    once = materialize(once.withColumn("_free", _blanked(F.col("text"), spans)), "once")
+    once = materialize(once.withColumn("_free", _blanked(F.col("text"), _all_spans())), "once")
     mentions = materialize(_mentions(once), "mentions")
     pairs = materialize(_pairs(once, mentions), "pairs")
     shares = materialize(disclosing_terms(plain, mentions, pairs), "shares")
@@ -285,18 +345,16 @@ def sanitise(docs: DataFrame) -> DataFrame:
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,mask:string>>")
     marked = marked.withColumn("_base", F.concat(*[_as_masked(kind) for kind in KINDS]))
-    # terms inside a span found by pattern are masked with it
-    free = F.filter(F.coalesce("_words", F.array().cast("array<struct<start:int,end:int,word:string,share:double>>")),
-                    lambda w: ~F.exists("_base", lambda b: (b["start"] < w["end"]) & (w["start"] < b["end"])))
+    # terms inside a span found by pattern are masked with it: they are blank in the text without spans
+    some_words = F.coalesce("_words", F.array().cast("array<struct<start:int,end:int,word:string,share:double>>"))
+    free = F.when(F.size(some_words) == 0, some_words).otherwise(_let(
+        _blocks(_blanked(F.col("text"), _all_spans())),
+        lambda blocks: F.filter(some_words, lambda w: _piece(blocks, w["start"], w["end"]) == w["word"]),
+    ))
     terms = F.transform(free, lambda w: F.struct(F.lit("term").alias("kind"), w["start"].alias("start"), w["end"].alias("end"), mask(w["word"], w["share"]).alias("mask")))
     marked = marked.withColumn("_all", F.concat("_base", terms))
     ordered = F.array_sort("_all", lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(b["end"] - a["end"]))
-    masked = F.aggregate(
-        ordered, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")),
-        lambda done, s: F.when(s["start"] < done["at"], F.struct(F.greatest(done["at"], s["end"]).alias("at"), done["parts"].alias("parts"))).otherwise(F.struct(
-            s["end"].alias("at"), F.concat(done["parts"], F.array(F.substring("text", done["at"] + 1, s["start"] - done["at"]), s["mask"])).alias("parts"))),
-        lambda done: F.concat(F.array_join(done["parts"], ""), F.substring("text", done["at"] + 1, F.length("text"))),
-    )
+    masked = _replaced(F.col("text"), ordered, lambda s, done: F.when(s["start"] >= done, s["mask"]).otherwise(""))
     marked = marked.withColumn("sanitised", masked)
 
     def narrow(spans: str) -> Column:
