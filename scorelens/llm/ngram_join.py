@@ -4,14 +4,16 @@ The global order is the order of 64-bit n-gram hashes. It is cut into fragments;
 segments, one per fragment.
 
 * Candidates. Two sets with similarity ``t`` and at most ``h`` n-grams each differ in at most ``d = 2h(1-t)/(1+t)``
-  n-grams, so of the first ``d + 1`` non-empty segments of either one at least one is the same in both. Documents meet
-  on (size class, fragment, segment hash). A segment holds several n-grams, so a passage shared by many otherwise
-  different documents rarely fills one. Small sets meet on the n-grams of their prefix in the global order.
+  n-grams, which touch at most ``d`` of the fragments, and fewer in large sets, where several fall into one. So of any
+  ``touched + 1`` non-empty segments of either set at least one is the same in both. Every set takes its rarest ones, by
+  the number of different sets that have a segment, and documents meet on (size class, fragment, segment hash) of these.
+  Segments that a widespread passage fills are the most frequent ones and are left to the documents that have hardly any
+  other. Small sets meet on their rarest n-grams.
 * Bounds. Every set has a profile, its counts in ``PROFILE_CELLS`` equal ranges of the order. The sum of the smaller
   counts bounds a pair's overlap from above; pairs whose bound is too low are no links.
 * Overlaps. For the pairs left the common n-grams are counted in every fragment separately and summed per pair.
 * Large groups. In a segment shared by many documents every document is first compared with one pivot only, one of those
-  that share most segments with others, as the originals of near copies do; some rounds vary the pivot. Only
+  that share most segments with others, as the originals of near copies do; rounds vary the pivot while they help. Only
   pairs that are in different components afterwards are compared one by one, so the members of a large group of near
   copies are not paired with each other, and no link between components is lost.
 
@@ -24,12 +26,14 @@ Extra columns are dropped.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.llm.components import connected_components
@@ -46,8 +50,15 @@ OVERLAP_FRAGMENTS = 8
 PROFILE_CELLS = 256
 #: Wider ranges of a second, small profile, which the pairing of large groups checks as it goes.
 COARSE_CELLS = 64
-#: Rounds in which nodes meet one pivot of another component, before all pairs that are still apart are compared.
-PIVOT_ROUNDS = 3
+#: Rounds in which nodes meet one pivot of another component: at least so many, and until one leaves more than this share
+#: of what was apart.
+PIVOT_ROUNDS, LEFT_APART = 3, 0.95
+#: Fragments for each n-gram in which similar sets may differ.
+FRAGMENTS = 1.5
+#: Chance, for a similar pair, of more touched fragments than assumed.
+MISSED = 1e-12
+#: The lowest bits of a meeting key hold its size class.
+LEVEL_BITS = 7
 #: Set hashes that a task remembers to send the keys of equal sets once.
 SEEN_SETS = 1 << 18
 
@@ -81,36 +92,46 @@ def _class_edges(limit: int) -> list[int]:
     return edges
 
 
-def meeting_keys(grams: np.ndarray, similarity: Fraction) -> np.ndarray:
-    """Keys of a sorted set; two sets of at least this similarity share one."""
+def _touched(differ: int, fragments: int) -> int:
+    """Fragments that ``differ`` random n-grams touch, but for a chance of ``MISSED``."""
+    expected = fragments * (1 - math.exp(-differ / fragments))
+    return min(differ, math.ceil(expected + math.sqrt(differ * -math.log(MISSED) / 2)))
+
+
+def meeting_keys(grams: np.ndarray, similarity: Fraction) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Keys of a sorted set, and by size class how many of them it may leave out.
+
+    Of two sets of at least this similarity with any such choice of keys in their common class, in one global order
+    of keys, at least one key is chosen by both.
+    """
     n = len(grams)
     if n == 0:
-        return grams
+        return grams, []
     # partners have n * similarity to n / similarity n-grams
     largest = n * similarity.denominator // similarity.numerator
-    keys = []
-    if -(-n * similarity.numerator // similarity.denominator) <= SMALL_SET:
-        prefix = n - (-(-n * similarity.numerator // similarity.denominator)) + 1
-        keys.append(mix(grams[:prefix]))
+    least = -(-n * similarity.numerator // similarity.denominator)
+    mask = np.uint64((1 << LEVEL_BITS) - 1)
+    keys, spares = [], []
+    if least <= SMALL_SET:
+        keys.append(np.unique(mix(grams) & ~mask))
+        spares.append((0, len(keys[-1]) - (n - least + 1)))
     edges = _class_edges(largest)
     mixed = None
-    for level in range(len(edges) - 1):
-        low, high = edges[level], edges[level + 1] - 1
+    for level in range(1, len(edges)):
+        low, high = edges[level - 1], edges[level] - 1
         # pairs meet in the class of their larger set
         if largest < low or n > high:
             continue
         differ = int(2 * high * (1 - similarity) / (1 + similarity))
-        # some fragments stay empty
-        fragments = int(1.15 * (differ + 1)) + 8
+        fragments = int(FRAGMENTS * (differ + 1)) + 8
         place = ((grams >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
         if mixed is None:
             mixed = mix(grams ^ np.uint64(0x5851F42D4C957F2D))
         begins = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1])))
-        kept = begins[: differ + 1]
-        stop = begins[differ + 1] if len(begins) > differ + 1 else n
-        sums = np.add.reduceat(mixed[:stop], kept)
-        keys.append(mix(sums + mix(place[kept] + np.uint64((level + 1) << 32))))
-    return np.unique(np.concatenate(keys))
+        sums = np.add.reduceat(mixed, begins)
+        keys.append(np.unique((mix(sums + mix(place[begins] + np.uint64(level << 32))) & ~mask) | np.uint64(level)))
+        spares.append((level, len(keys[-1]) - (_touched(differ, fragments) + 1)))
+    return np.concatenate(keys), [(level, spare) for level, spare in spares if spare > 0]
 
 
 def _signed(values: np.ndarray) -> np.ndarray:
@@ -134,7 +155,8 @@ def coarse_of(counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, profile): set size, set hash (null: empty set), meeting keys, counts by range.
+    """(doc_id, n_shingles, node, keys, spares, profile, coarse): set size, set hash (null: empty set), meeting keys, by
+    size class the number of them that may be left out (shifted by the class), counts by range.
 
     A task sends the keys and profile of equal sets once.
     """
@@ -144,10 +166,11 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
         seen: set[int] = set()
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(1)):
-                sizes, nodes, keys, profiles, coarse = [], [], [], [], []
+                sizes, nodes, keys, spares, profiles, coarse = [], [], [], [], [], []
                 for grams in _sets(data, offsets, n):
                     sizes.append(len(grams))
                     keys.append(None)
+                    spares.append(None)
                     profiles.append(None)
                     coarse.append(None)
                     if len(grams) == 0:
@@ -160,7 +183,8 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                     if len(seen) >= SEEN_SETS:
                         seen.clear()
                     seen.add(node)
-                    keys[-1] = _signed(meeting_keys(grams, share))
+                    met, spare = meeting_keys(grams, share)
+                    keys[-1], spares[-1] = _signed(met), [(s << LEVEL_BITS) + level for level, s in spare]
                     counts = profile_of(grams)
                     profiles[-1], coarse[-1] = counts.tobytes(), coarse_of(counts, len(grams))
                 yield pa.RecordBatch.from_arrays(
@@ -169,18 +193,19 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64()),
                         pa.array(keys, pa.list_(pa.int64())),
+                        pa.array(spares, pa.list_(pa.int64())),
                         pa.array(profiles, pa.binary()),
                         pa.array(coarse, pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys", "profile", "coarse"],
+                    names=["doc_id", "n_shingles", "node", "keys", "spares", "profile", "coarse"],
                 )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, profile binary, coarse array<int>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, spares array<long>, profile binary, coarse array<int>")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (key, node): rows of keys with two nodes or more, once each, with the first node as pivot."""
+    """From rows sorted by (key, node): rows of keys with two nodes or more, once each."""
     held_key = held_node = None  # first row of the open run
     sent = False
     last_node = None
@@ -208,9 +233,23 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_key, held_node, last_node = key[last], node[first[last]], node[last]
         sent = bool(first[last] != last)
         if out.any():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[out]), pa.array(node[out]), pa.array(node[first[out]])], names=["key", "node", "pivot"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(key[out]), pa.array(node[out])], names=["key", "node"])
+
+
+def rarest_postings(shared: DataFrame, spares: DataFrame) -> DataFrame:
+    """Of postings (key, node) without keys of one node: those of the rarest keys that each node must keep.
+
+    ``spares`` (node, spares) says by size class how many keys a node may leave out; it leaves out its most frequent ones.
+    """
+    level_mask = (1 << LEVEL_BITS) - 1
+    counted = shared.groupBy("key").agg(F.count("*").alias("n"))
+    each = spares.select("node", F.explode("spares").alias("s")).select(
+        "node", F.col("s").bitwiseAND(level_mask).alias("level"), F.shiftright("s", LEVEL_BITS).alias("spare")
+    )
+    placed = shared.join(counted, "key").withColumn("level", F.col("key").bitwiseAND(level_mask))
+    frequent = Window.partitionBy("node", "level").orderBy(F.desc("n"), F.desc("key"))
+    ranked = placed.withColumn("rank", F.row_number().over(frequent))
+    return ranked.join(each, ["node", "level"], "left").where("spare is null or rank > spare").select("key", "node")
 
 
 def fragments_of(docs: DataFrame, n: int) -> DataFrame:
@@ -338,10 +377,11 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
         keyed = materialize(set_keys(docs, n, similarity, key, text), "keys")
         rows = keyed.filter("keys is not null").select(F.explode("keys").alias("key"), "node")
         postings = wide.keep(
-            rows.repartition(tasks, "key").sortWithinPartitions("key", "node")
-            .mapInArrow(_shared_keys, "key long, node long, pivot long"), "postings",
+            rows.repartition(tasks, "key").sortWithinPartitions("key", "node").mapInArrow(_shared_keys, "key long, node long"), "postings",
         )
-        sets = wide.keep(keyed.drop("keys", "profile", "coarse"), "sets")
+        spares = keyed.filter("keys is not null").select("node", "spares").dropDuplicates(["node"])
+        postings = wide.keep(rarest_postings(postings, spares), "postings")
+        sets = wide.keep(keyed.select("doc_id", "n_shingles", "node"), "sets")
         met = postings.select("node").distinct()
         profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile", "coarse")
         profiles = wide.keep(profiles.join(met, "node").dropDuplicates(["node"]), "profiles")
@@ -362,14 +402,17 @@ def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, profiles: Dat
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     segments = materialize(fragments_of(source.join(wanted, "doc_id").select("node", "size", "text"), n), "segments")
     mixed = postings.withColumn("label", F.col("node"))
-    links = None
-    for k in range(PIVOT_ROUNDS):
+    links, apart = None, mixed.count()
+    for k in itertools.count():
         more = materialize(similar_pairs(_star(mixed, k), profiles, segments, similarity), "links")
         links = more if links is None else links.union(more)
         labels = connected_components(links)
         mixed = _labelled(mixed, labels)
-        if mixed.isEmpty():
+        before, apart = apart, mixed.count()
+        if apart == 0:
             return labels
+        if k + 1 >= PIVOT_ROUNDS and apart > LEFT_APART * before:
+            break
     rest = materialize(_between_components(mixed, profiles, similarity), "rest")
     last = materialize(similar_pairs(rest, profiles, segments, similarity), "links")
     return labels if last.isEmpty() else connected_components(links.union(last))

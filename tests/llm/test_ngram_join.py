@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from scorelens.llm.ngram_join import similar_components
+from scorelens.llm.ngram_join import meeting_keys, similar_components
 
 
 def brute(rows, n=4, num=85, den=100):
@@ -77,3 +77,67 @@ def test_repeats_nulls_clashing_columns_and_no_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in similar_components(docs).collect()), key=str)
     assert got == sorted([(1, 3, 1), (1, 3, 1), (None, 3, 1), (None, 0, None), (5, 3, 5)], key=str)
     assert similar_components(docs.limit(0)).collect() == []
+
+
+def test_unrelated_documents_with_one_long_passage_are_not_paired(spark, monkeypatch):
+    from scorelens.llm import ngram_join
+
+    rng = random.Random(9)
+    passage = " ".join(f"p{k}" for k in range(120))
+    texts = [f"{passage} " + " ".join(f"d{i}x{rng.randrange(10**6)}" for _ in range(90)) for i in range(3000)]
+    linked = [(i, texts[i].rsplit(" ", 3)[0]) for i in range(0, 3000, 50)]
+    rows = list(enumerate(texts)) + [(10_000 + i, t) for i, t in linked]
+    met = []
+    postings = ngram_join.rarest_postings
+    monkeypatch.setattr(ngram_join, "rarest_postings", lambda *a: met.append(postings(*a)) or met[-1])
+    got = {r.doc_id: r.component_id for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == {**{i: i for i in range(3000)}, **{10_000 + i: i for i, _ in linked}}
+
+
+@pytest.mark.parametrize("size", [200, 2000, 20_000])
+def test_similar_pairs_meet_and_a_widespread_passage_makes_no_large_groups(size):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    share = ngram_join_share()
+
+    def chosen(sets):
+        """Keys that each set keeps, by the number of sets that have a key."""
+        made = [meeting_keys(np.sort(s), share) for s in sets]
+        count = {}
+        for keys, _ in made:
+            for k in keys.tolist():
+                count[k] = count.get(k, 0) + 1
+        kept = []
+        for keys, spares in made:
+            spare = dict(spares)
+            mine = set()
+            for level in {k & 127 for k in keys.tolist()}:
+                ordered = sorted((k for k in keys.tolist() if k & 127 == level), key=lambda k: (count[k], k))
+                mine.update(ordered[: len(ordered) - spare.get(level, 0)])
+            kept.append(mine)
+        return kept
+
+    def grams(n):
+        return rng.integers(0, 2**64 - 1, n, dtype=np.uint64)
+
+    common = grams(size * 6 // 10)
+    originals = [np.concatenate([common, grams(size - len(common))]) for _ in range(12)]
+    # just similar enough: 85 of 100 in the union
+    copies = [np.concatenate([o[: -(-len(o) * 925 // 1000)], grams(len(o) * 8 // 100)]) for o in originals]
+    kept = chosen(originals + copies)
+    for i, (o, c) in enumerate(zip(originals, copies)):
+        both = len(np.intersect1d(o, c))
+        assert 100 * both >= 85 * len(np.union1d(o, c))
+        assert kept[i] & kept[12 + i]
+    # the segments that the passage fills in all sets are left out
+    frequent = {}
+    for k in (k for mine in kept for k in mine):
+        frequent[k] = frequent.get(k, 0) + 1
+    assert max(frequent.values()) <= 6
+
+
+def ngram_join_share():
+    from fractions import Fraction
+
+    return Fraction(85, 100)
