@@ -124,6 +124,8 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.pieces = {i: bytes(byte[c] for c in piece) for piece, i in ids.items()}
         self.pieces |= {i: token.encode() for token, i in self.special.items()}
+        #: how an id is packed
+        self.packed = np.dtype("<u2") if max(self.pieces, default=0) < 1 << 16 else np.dtype("<u4")
         #: by left and right id: rank and merged id
         self.merges: dict[int, int] = {}
         for rank, pair in enumerate(model["merges"]):
@@ -258,27 +260,40 @@ def _blocks(source: DataFrame, key: str, items: str, item_type: str, limit: int)
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
-    """(word, n) with the ids of every word: (word, n, ids array<int>)."""
+    """(word, n) with the packed ids of every word: (word, n, ids binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = vocabulary_of(vocabulary).word_ids
+        known = vocabulary_of(vocabulary)
         for batch in batches:
-            ids = pa.array([ids_of(w) for w in batch.column(0).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), ids], names=["word", "n", "ids"])
+            ids = [np.array(known.word_ids(w), known.packed).tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary())], names=["word", "n", "ids"])
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids array<int>")
+    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
 def _by_position(entries: DataFrame) -> DataFrame:
-    """(block, pos, ids) to one row a block: the ids of its words by position, end to end, and their numbers."""
+    """(block, pos, ids) to one row a block: the packed ids of its words by position, end to end, and their bytes."""
     ordered = entries.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("_words"))
     return ordered.select(
         "block",
-        F.flatten(F.transform("_words", lambda e: e["ids"])).alias("word_ids"),
-        F.transform("_words", lambda e: F.size(e["ids"])).alias("word_sizes"),
+        F.array_join(F.transform("_words", lambda e: e["ids"].cast("string")), "").cast("binary").alias("word_ids"),
+        F.transform("_words", lambda e: F.octet_length(e["ids"])).alias("word_sizes"),
     )
 
 
+def _used(word_ids: DataFrame, vocabulary: str) -> DataFrame:
+    """(block, id): the distinct ids of every block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = vocabulary_of(vocabulary).packed
+        for batch in batches:
+            for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                ids = np.unique(np.frombuffer(packed.as_py(), kind)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], names=["block", "id"])
+
+    return word_ids.select("block", "word_ids").mapInArrow(run, "block long, id int")
+
+
 def _pieces(spark: SparkSession, vocabulary: str) -> DataFrame:
     """(id, piece); as large as the vocabulary."""
     rows = pa.table({"id": pa.array(list(vocabulary_of(vocabulary).pieces), pa.int32()),
@@ -331,15 +346,17 @@ def _pages(batch: pa.RecordBatch, row: int) -> Iterator[tuple[pa.Array, np.ndarr
         first += count
 
 
-def _pick_ids(key: str, decoded: bool):
+def _pick_ids(vocabulary: str, key: str, decoded: bool):
     """From blocks with the ids of their words to documents (key, ids[, decoded])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = vocabulary_of(vocabulary).packed
         for batch in batches:
             for row in range(batch.num_rows):
-                length = _values(batch, "word_sizes", row).to_numpy(zero_copy_only=False).astype(np.int64)
+                length = _values(batch, "word_sizes", row).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
                 bounds = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
-                lists = pa.ListArray.from_arrays(bounds, _values(batch, "word_ids", row))
+                packed = batch.column(batch.schema.names.index("word_ids"))[row].as_py() or b""
+                lists = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(packed, kind).astype(np.int32)))
                 decoder = _Decoder(_values(batch, "used", row), _values(batch, "pieces", row)) if decoded else None
                 for keys, sizes, places in _pages(batch, row):
                     ids = lists.take(pa.array(places)).flatten() if len(places) else pa.array([], pa.int32())
@@ -371,7 +388,7 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     """Token ids of every text: (key, ids array<int>). ``vocabulary`` is the path of a file that every worker has."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
     kind = df.schema[key].dataType.simpleString()
-    return blocks.drop("items").join(word_ids, "block", "left").mapInArrow(_pick_ids(key, False), f"`{key}` {kind}, ids array<int>")
+    return blocks.drop("items").join(word_ids, "block", "left").mapInArrow(_pick_ids(vocabulary, key, False), f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -399,8 +416,7 @@ def encode_and_decode(
 ) -> DataFrame:
     """``encode``, then ``decode`` of the ids block by block: (key, ids, decoded)."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
-    used = word_ids.select("block", F.explode(F.array_distinct("word_ids")).alias("id"))
-    lists = materialize(_piece_lists(used, vocabulary), "piece_lists")
+    lists = materialize(_piece_lists(_used(word_ids, vocabulary), vocabulary), "piece_lists")
     kind = df.schema[key].dataType.simpleString()
     joined = blocks.drop("items").join(word_ids, "block", "left").join(lists, "block", "left")
-    return joined.mapInArrow(_pick_ids(key, True), f"`{key}` {kind}, ids array<int>, decoded string")
+    return joined.mapInArrow(_pick_ids(vocabulary, key, True), f"`{key}` {kind}, ids array<int>, decoded string")
