@@ -372,23 +372,26 @@ def _pick_ids(vocabulary: str, key: str, decoded: bool):
 
 
 def _encoded_blocks(df: DataFrame, vocabulary: str, key: str, text: str, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Blocks of words, and the ids of their words by position."""
+    """Blocks without their words, and the ids of these by position."""
     special = list(vocabulary_of(vocabulary).special)
     words = split_words(F.coalesce(F.col(text).cast("string"), F.lit("")), special)
-    blocks = _blocks(df.select(key, words.alias("_words")), key, "_words", "string", limit)
     with Scratch(df.sparkSession) as scratch:
+        blocks = _blocks(df.select(key, words.alias("_words")), key, "_words", "string", limit)
         entries = blocks.select("block", F.posexplode("items").alias("pos", "word"))
-        distinct = materialize(encode_words(entries.groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
-        # written, so that the shuffle files of the join go before the next shuffle
-        joined = materialize(join_hot_values(entries, distinct, ["word"], "ids", HOT_BLOCKS).select("block", "pos", "ids"), "joined", compression="zstd")
-        return blocks, scratch.keep(_by_position(joined), "word_ids", compression="zstd")
+        # every table goes as soon as the next one is written, and so do the shuffle files of each join
+        with Scratch(df.sparkSession) as inner:
+            distinct = materialize(encode_words(entries.groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
+            joined = join_hot_values(entries, distinct, ["word"], "ids", HOT_BLOCKS).select("block", "pos", "ids")
+            joined = inner.keep(joined, "joined", compression="zstd")
+        word_ids = scratch.keep(_by_position(joined), "word_ids", compression="zstd")
+        return scratch.keep(blocks.drop("items"), "pages", compression="zstd"), word_ids
 
 
 def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Token ids of every text: (key, ids array<int>). ``vocabulary`` is the path of a file that every worker has."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
     kind = df.schema[key].dataType.simpleString()
-    return blocks.drop("items").join(word_ids, "block", "left").mapInArrow(_pick_ids(vocabulary, key, False), f"`{key}` {kind}, ids array<int>")
+    return blocks.join(word_ids, "block", "left").mapInArrow(_pick_ids(vocabulary, key, False), f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -418,5 +421,5 @@ def encode_and_decode(
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
     lists = materialize(_piece_lists(_used(word_ids, vocabulary), vocabulary), "piece_lists")
     kind = df.schema[key].dataType.simpleString()
-    joined = blocks.drop("items").join(word_ids, "block", "left").join(lists, "block", "left")
+    joined = blocks.join(word_ids, "block", "left").join(lists, "block", "left")
     return joined.mapInArrow(_pick_ids(vocabulary, key, True), f"`{key}` {kind}, ids array<int>, decoded string")
