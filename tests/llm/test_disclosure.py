@@ -181,7 +181,7 @@ def test_terms_far_from_their_entity_are_found_and_masked(spark):
 def test_a_text_of_very_many_entities_takes_work_in_proportion(spark):
     import time
 
-    docs = spark.createDataFrame([(k, " ".join(f"user{i}@host{i % 7}.example.com wrote {i}" for i in range(n))) for k, n in enumerate((16_000, 300))], "doc_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"user{k}x{i}@host{i % 7}.example.com wrote {i}" for i in range(n))) for k, n in enumerate((16_000, 300))], "doc_id long, text string")
     sanitise(docs.where("doc_id = 1")).collect()
     began = time.time()
     rows = {r.doc_id: r for r in sanitise(docs).collect()}
