@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelens.functions.labels import primary_score
@@ -99,12 +99,14 @@ def label_map_summary(
     """Mean, spread and extremes per label; an empty map is left out and a missing label counts as 0.
 
     The zeros are added algebraically to the statistics of the present values, so no (row x label) product is
-    built.
+    built. Each row brings one entry without a label, which counts it: labels and counts come from one pass.
     """
     filled = classified.where(F.col(labels).isNotNull() & (F.size(labels) > 0))
-    rows = filled.groupBy(*by).agg(F.count("*").alias("n"))
+    kind = classified.schema[labels].dataType
+    row = F.struct(F.lit(None).cast(kind.keyType).alias("label"), F.lit(0).cast(kind.valueType).alias("score"))
+    entries = F.transform(F.map_entries(labels), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("score")))
     present = (
-        filled.select(*by, F.explode(labels).alias("label", "score"))
+        filled.select(*by, F.inline(F.concat(F.array(row), entries)))
         .groupBy(*by, "label")
         .agg(
             F.count("score").alias("k"),
@@ -114,7 +116,9 @@ def label_map_summary(
             F.max("score").alias("hi"),
         )
     )
-    joined = join_on(present, rows, by)
+    # one row per label by now
+    rows = F.max(F.when(F.col("label").isNull(), F.col("k"))).over(Window.partitionBy(*by))
+    joined = present.withColumn("n", rows).where(F.col("label").isNotNull())
     n, k, m, v = F.col("n"), F.col("k"), F.col("m"), F.col("v")
     squares = k * v + (k * (n - k) / n) * m * m
     return joined.select(

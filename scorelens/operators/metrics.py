@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import count_if, rate, safe_corr
+from scorelens.operators import matrices
 from scorelens.operators.ranks import join_hot_values, ordered_index, running_totals, value_ranks
 from scorelens.storage import attach_stats, join_on, materialize
 
@@ -215,20 +216,9 @@ def flat_metrics(rows: DataFrame, key: list[str], splits: list[str], metrics: li
     return rows.groupBy(*key).agg(*columns)
 
 
-def _matrix(wide: DataFrame, names: list[str], measure, value: str) -> DataFrame:
-    """Symmetric (i, j, value) rows from one aggregate over wide columns; no pairs of rows are formed."""
-    upper = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    row = wide.agg(*[measure(F.col(f"`{a}`"), F.col(f"`{b}`")).alias(f"_{k}") for k, (a, b) in enumerate(upper)])
-    entries = []
-    for k, (a, b) in enumerate(upper):
-        for i, j in {(a, b), (b, a)}:
-            entries.append(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.col(f"_{k}").alias(value)))
-    return row.select(F.inline(F.array(*entries)))
-
-
 def correlation_matrix(wide: DataFrame, names: list[str]) -> DataFrame:
     """Pearson correlation of every two columns over the rows where both are present."""
-    return _matrix(wide, names, safe_corr, "correlation")
+    return matrices.pairwise(wide, names, matrices.pearson(), "correlation", centred=True)
 
 
 def cosine_matrix(weights: DataFrame, names: list[str], *, dim: str = "dim", name: str = "name",
@@ -237,11 +227,7 @@ def cosine_matrix(weights: DataFrame, names: list[str], *, dim: str = "dim", nam
     if len(names) < 2:
         raise ValueError("cosine_matrix needs at least two vectors")
     wide = weights.groupBy(dim).pivot(name, names).agg(F.sum(value)).fillna(0.0)
-
-    def cosine(a: Column, b: Column) -> Column:
-        return F.try_divide(F.sum(a * b), F.nullif(F.sqrt(F.sum(a * a)) * F.sqrt(F.sum(b * b)), F.lit(0.0)))
-
-    return _matrix(wide, [str(n) for n in names], cosine, "cosine")
+    return matrices.pairwise(wide, [str(n) for n in names], matrices.cosine(), "cosine")
 
 
 def centroid_weights(vectors: DataFrame, label: str = "label", vector: str = "embedding") -> DataFrame:

@@ -26,6 +26,13 @@ def union_epochs(frames: dict[int, DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 
 
+def number_epochs(rows: DataFrame, epoch: str = "epoch") -> DataFrame:
+    """Add each epoch's index in training order. The list of epochs, one per checkpoint, is all the driver sees."""
+    order = sorted(r[0] for r in rows.where(F.col(epoch).isNotNull()).select(epoch).distinct().collect())
+    known = F.array(*[F.lit(e) for e in order]) if order else F.array().cast(f"array<{rows.schema[epoch].dataType.simpleString()}>")
+    return rows.withColumn("epoch_index", (F.array_position(known, F.col(epoch)) - 1).cast("int"))
+
+
 def discover(columns: list[str], classifiers: list[str]) -> list[dict]:
     """Parse wide score column names into (column, text_type, model, classifier, label).
 

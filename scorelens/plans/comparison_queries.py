@@ -346,6 +346,16 @@ def s1_finished(spark, d):
     return tidy(rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
 
 
+@query("s1_open_windows", with_tables("reward_events", rounded("window_start window_end model bad_count n", "mean std", """
+  SELECT w AS window_start, w + INTERVAL 1 HOUR AS window_end, model, avg(clean) AS mean, stddev_samp(clean) AS std, count(*) FILTER (bad) AS bad_count, count(*) AS n
+  FROM (SELECT *, time_bucket(INTERVAL 1 HOUR, ts) AS w FROM reward_events) GROUP BY w, model""")))
+def s1_open(spark, d):
+    """Update mode: the stream shows every window, those still open as they stand."""
+    stream = monitor.reward_monitor(sc.reward_events(spark, d, stream=True))
+    rows = monitor.run_updates(stream, "monitor", ["window_start", "window_end", "model"])
+    return tidy(rows.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}))
+
+
 @query("s2_incremental_scoring", rounded("prompt_id model", "score base_value delta", f"""
   SELECT doc_id AS prompt_id, m.model, {lexical_sql('text')} AS score, CASE WHEN doc_id % 4 <> 3 THEN 0.5 END AS base_value,
     CASE WHEN doc_id % 4 <> 3 THEN 0.5 - {lexical_sql('text')} END AS delta
@@ -361,3 +371,30 @@ def s2(spark, d):
     baseline = docs.where("doc_id % 4 <> 3").select(F.col("doc_id").alias("prompt_id"), F.lit(0.5).alias("base_value"))
     rows = monitor.run_available(monitor.score_stream(arrivals, baseline), "scored")
     return tidy(rows.select("prompt_id", "model", "score", "base_value", "delta"))
+
+
+@query("s2_late_baseline", rounded("prompt_id model", "score base_value delta", f"""
+  SELECT doc_id AS prompt_id, m.model, {lexical_sql('text')} AS score, CASE WHEN doc_id % 4 <> 3 THEN 0.5 END AS base_value,
+    CASE WHEN doc_id % 4 <> 3 THEN 0.5 - {lexical_sql('text')} END AS delta
+  FROM documents CROSS JOIN (VALUES ('base'), ('tuned')) m(model)"""))
+def s2_late(spark, d):
+    """Baselines arrive as a stream, half before and half after their generation. Every fourth prompt has none.
+
+    Both streams end with a mark without a prompt, far in the future: it lets the watermark pass all that waits.
+    """
+    docs = sc.table(spark, d, "documents")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet").parquet(d)
+    moment = F.lit(1_700_000_000) + F.col("doc_id") % 60
+    end = F.timestamp_seconds(F.lit(1_800_000_000))
+
+    def row(model):
+        return F.struct(F.col("doc_id").alias("prompt_id"), F.lit(model).alias("model"), F.col("text").alias("output"), F.timestamp_seconds(moment).alias("ts"))
+
+    mark = F.struct(F.lit(None).cast("long").alias("prompt_id"), F.lit("end").alias("model"), F.lit("").alias("output"), end.alias("ts"))
+    arrivals = stream.select(F.inline(F.array(row("base"), row("tuned"), row("base"), mark)))
+    shift = F.when(F.col("doc_id") % 2 == 0, F.lit(-1800)).otherwise(F.lit(1800))
+    base = F.struct(F.when(F.col("doc_id") % 4 != 3, F.col("doc_id")).alias("prompt_id"), F.lit(0.5).alias("base_value"), F.timestamp_seconds(moment + shift).alias("base_ts"))
+    mark = F.struct(F.lit(None).cast("long").alias("prompt_id"), F.lit(0.5).alias("base_value"), end.alias("base_ts"))
+    baselines = stream.select(F.inline(F.array(base, mark)))
+    rows = monitor.run_available(monitor.score_stream_with_late_baseline(arrivals, baselines), "scored")
+    return tidy(rows.where("prompt_id is not null").select("prompt_id", "model", "score", "base_value", "delta"))

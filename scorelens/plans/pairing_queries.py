@@ -15,6 +15,8 @@ from scorelens.plans.statistics_queries import (
     _LEX, _VARIANT_NUMBERS, _VARIANTS, deltas, lexical_sql, paired, primary, wide_scores,
 )
 
+from scorelens.sources import readers, writers
+from scorelens.storage import materialize, scratch_path
 
 def word_list(label: str) -> str:
     return "(" + ", ".join(f"'{w}'" for w in scoring.LEXICON[label]) + ")"
@@ -128,12 +130,34 @@ def d7(spark, d):
   SELECT prompt_id, model, classifier, score, CASE WHEN model = 'base' THEN NULL ELSE 'tuned' END AS extra FROM primary_scores
   WHERE text_type = 'output'""")))
 def e1(spark, d):
+    """Frames of one folder per model, the base without the column ``extra``, read in one scan."""
+    scores = materialize(primary(spark, d).select("prompt_id", "classifier", "score", "model"), "scores")
+    path = scratch_path(spark, "models")
+    writers.write_frames(scores.where("model = 'base'"), path, ["model"])
+    writers.write_frames(scores.where("model <> 'base'").withColumn("extra", F.lit("tuned")), path, ["model"])
+    return tidy(readers.read_frames(spark, path, {"model": "string"}))
+
+
+@query("e1_union_of_loose_frames", with_tables("primary_scores", rounded("prompt_id model classifier extra", "score", """
+  SELECT prompt_id, model, classifier, score, CASE WHEN model = 'base' THEN NULL ELSE 'tuned' END AS extra FROM primary_scores
+  WHERE text_type = 'output'""")))
+def e1_loose(spark, d):
+    """Frames that come from different places."""
     scores = primary(spark, d).select("prompt_id", "classifier", "score", F.col("model").alias("m"))
     frames = {m[0]: scores.where(F.col("m") == m[0]).drop("m") for m in sc.MODELS}
     frames = {m: df if m == "base" else df.withColumn("extra", F.lit("tuned")) for m, df in frames.items()}
     return tidy(reshape.union_models(frames))
 
 
+@query("e1_models_by_folder", with_tables("primary_scores", rounded("prompt_id classifier model", "score", """
+  SELECT prompt_id, classifier, model, score FROM primary_scores WHERE text_type = 'output' AND model IN ('base', 'detox_epoch_40')""")))
+def e1_folders(spark, d):
+    """Two of the models; the folders of the others are not read."""
+    path = scratch_path(spark, "models")
+    writers.write_frames(primary(spark, d).select("prompt_id", "classifier", "score", "model"), path, ["model"])
+    return tidy(readers.read_frames(spark, path, {"model": "string"}).where(F.col("model").isin("base", "detox_epoch_40")))
+
+
 @query("e2_schema_discovery", with_tables("primary_scores", """SELECT CASE text_type WHEN 'prompt' THEN 'prompt_' || classifier || '_score'
   WHEN 'output' THEN 'output_' || model || '_' || classifier || '_score' ELSE 'full_' || model || '_' || classifier || '_score' END AS "column",
   text_type, CASE text_type WHEN 'prompt' THEN 'prompt' ELSE model END AS model, classifier, '' AS label, count(score) AS cells FROM primary_scores
@@ -168,9 +192,11 @@ def e5(spark, d):
 @query("e6_epoch_union", with_tables("primary_scores", rounded("sample_index epoch epoch_index classifier", "score", """
   SELECT prompt_id AS sample_index, epoch, (epoch // 20)::INTEGER AS epoch_index, classifier, score FROM primary_scores WHERE text_type = 'output'""")))
 def e6(spark, d):
-    scores = primary(spark, d).select(F.col("prompt_id").alias("sample_index"), "epoch", "classifier", "score")
-    frames = {e: scores.where(F.col("epoch") == e).drop("epoch") for e in (60, 20, 100, 0, 40, 80)}
-    return tidy(reshape.union_epochs(frames).orderBy("epoch", "sample_index"))
+    """One folder per epoch, one scan for all of them."""
+    path = scratch_path(spark, "epochs")
+    writers.write_frames(primary(spark, d).select(F.col("prompt_id").alias("sample_index"), "epoch", "classifier", "score"), path, ["epoch"])
+    rows = reshape.number_epochs(readers.read_frames(spark, path, {"epoch": "int"}))
+    return tidy(rows.orderBy("epoch", "sample_index"))
 
 
 @query("e7_heatmap_pivot", with_tables("primary_paired", rounded("model", " ".join(sc.CLASSIFIERS), "SELECT model, " + ", ".join(

@@ -188,3 +188,15 @@ def cached(spark: SparkSession, folder: str, name: str, build, *, force: bool =
 
 def new_folder(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
+
+
+def read_frames(spark: SparkSession, path: str, by: dict[str, str]) -> DataFrame:
+    """All frames of ``writers.write_frames`` in one scan, with the folder columns ``by`` (name -> type).
+
+    A column that some frames lack is NULL in their rows. Filters on the folder columns leave whole folders unread.
+    Types are given because a model named ``1e5`` is no number.
+    """
+    found = spark.read.option("mergeSchema", True).parquet(path).schema
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in found.fields if f.name not in by]
+    kinds = [f"`{name}` {kind}" for name, kind in by.items()]
+    return spark.read.schema(", ".join(fields + kinds)).parquet(path)

@@ -57,3 +57,11 @@ def write_experiment_results(path: str, tables: dict[str, DataFrame]) -> None:
     for name, df in tables.items():
         keys = [c for c in ("experiment", "split") if c in df.columns]
         write_records(df, f"{path.rstrip('/')}/{name}", partition_by=keys or None)
+
+
+def write_frames(df: DataFrame, path: str, by: list[str]) -> None:
+    """Add rows to a table with one folder per value of ``by``, e.g. per model or epoch.
+
+    Frames may be added one after another and need not have the same columns; ``readers.read_frames`` reads them all.
+    """
+    df.write.mode("append").partitionBy(*by).parquet(path)
