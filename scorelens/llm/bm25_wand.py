@@ -10,8 +10,9 @@ the bounds of the lists before it reach the threshold; the greatest impacts with
 scored or its block skipped. All items above the threshold are retrieved. A hit counts if the passage and half a window
 around it hold ``OVERLAP`` of the word n-grams of both the question and the answer.
 
-Items are indexed in parts of about ``INDEX_BYTES`` of text; only one part's index is sent to the executors at a time,
-and each part makes one pass over the documents. Term statistics are those of the part.
+Items are indexed in parts of about ``INDEX_BYTES`` of text. Document frequencies, mean length and window are those of all
+items, so scores don't depend on the number of parts. Each part makes one pass over the documents, whose hits are written
+before its index is withdrawn from the executors and the next one is sent: a worker holds one part at a time.
 
 Words are split at ASCII white space, lower-cased from A to Z, and lose outer punctuation. Null or empty texts match
 nothing, items without words are never matched. Repeated rows match alike; rows with a null id are searched too. If an
@@ -22,8 +23,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelens.llm.textscan import gram_hashes, text_slices, trim_punctuation, word_hashes, words
+from scorelens.storage import materialize
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -83,25 +87,46 @@ class Hit:
     answer: float
 
 
+@dataclass
+class Corpus:
+    """Statistics of all items: their number, words, longest one, and in how many of them each term stands."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    frequency: np.ndarray
+
+
 class Index:
-    """Postings of items, by term and in item order, with the greatest impact of each list and of its blocks."""
+    """Postings of items, by term and in item order, with the greatest impact of each list and of its blocks.
 
-    def __init__(self, items: list[tuple[int, str, str]]):
+    ``corpus`` has the statistics of all items, and at least the terms of these; without it these items are all.
+    """
+
+    def __init__(self, items: list[tuple[int, str, str]], corpus: Corpus | None = None):
         self.ids = [i for i, _, _ in items]
         item_words = [_text_tokens(q + "\n" + a) for _, q, a in items]
         self.questions = [_grams(_text_tokens(q)) for _, q, _ in items]
         self.answers = [_grams(_text_tokens(a)) for _, _, a in items]
-        length = np.array([len(w) for w in item_words], dtype=float)
-        self.window = max(LEAST_WINDOW, int(2 * length.max(initial=0)))
+        length = np.array([len(w) for w in item_words], dtype=np.int64)
+        total, n_words, longest = len(items), int(length.sum()), int(length.max(initial=0))
+        if corpus:
+            total, n_words, longest = corpus.items, corpus.words, corpus.longest
+        mean = max(n_words / max(total, 1), 1e-9)
+        self.window = max(LEAST_WINDOW, 2 * longest)
         self.terms = np.unique(np.concatenate([np.zeros(0, np.uint64), *item_words]))
         lists: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for item, found in enumerate(item_words):
             term, count = np.unique(found, return_counts=True)
-            weight = count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / max(length.mean(), 1e-9)))
+            weight = count * (K1 + 1) / (count + K1 * (1 - B + B * length[item] / mean))
             for t, w in zip(np.searchsorted(self.terms, term).tolist(), weight.tolist()):
                 lists[t].append((item, w))
-        total, own = len(items), np.zeros(len(items))
-        idf = [np.log(1 + (total - len(p) + 0.5) / (len(p) + 0.5)) for p in lists]
+        own = np.zeros(len(items))
+        frequency = np.array([len(p) for p in lists], dtype=np.int64)
+        if corpus:
+            frequency = corpus.frequency[np.searchsorted(corpus.terms, self.terms)]
+        idf = np.log(1 + (total - frequency + 0.5) / (frequency + 0.5))
         for t, postings in enumerate(lists):
             for item, w in postings:
                 own[item] += idf[t] * w
@@ -224,6 +249,19 @@ class Index:
         return float(np.isin(wanted, np.concatenate(there)).mean())
 
 
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(part, item, term, words) for every distinct term of the texts of (part, text), and one without a term for the item."""
+    for batch in batches:
+        for row, data, offsets in text_slices(batch.column(1)):
+            hashes, rows = tokens(data, offsets)
+            n_words = np.bincount(rows, minlength=len(offsets) - 1)
+            pairs = np.unique(np.stack([rows.astype(np.uint64), hashes]), axis=1) if len(hashes) else np.zeros((2, 0), np.uint64)
+            part = batch.column(0).slice(row, len(offsets) - 1)
+            yield pa.RecordBatch.from_arrays([
+                part.take(pa.array(pairs[0].astype(np.int64))), pa.array(pairs[1].view(np.int64)), pa.nulls(pairs.shape[1], pa.int64())], names=["part", "term", "words"])
+            yield pa.RecordBatch.from_arrays([part, pa.nulls(len(part), pa.int64()), pa.array(n_words, pa.int64())], names=["part", "term", "words"])
+
+
 def index_parts(benchmark: DataFrame) -> Iterator[Index]:
     """Indexes of benchmark (item_id, text or question and answer), of about ``INDEX_BYTES`` of text each."""
     if {"question", "answer"} <= set(benchmark.columns):
@@ -232,51 +270,98 @@ def index_parts(benchmark: DataFrame) -> Iterator[Index]:
         items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("q"), F.lit(None).cast("string").alias("a"))
     size = items.agg(F.sum(F.length("q") + F.coalesce(F.length("a"), F.lit(0))).alias("n")).first()["n"] or 0
     parts = -(-size // INDEX_BYTES)
+    items = items.distinct().withColumn("part", F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(max(parts, 1))).cast("int"))
+    total = spread = None
+    if parts > 1:
+        items = materialize(items, "items")
+        found = items.select("part", F.concat_ws("\n", "q", "a").alias("text")).mapInArrow(_item_terms, "part int, term long, words long")
+        found = materialize(found, "terms")
+        total = found.filter("term is null").agg(F.count("*").alias("n"), F.sum("words").alias("words"), F.max("words").alias("longest")).first()
+        counts = found.filter("term is not null").groupBy("term").agg(F.count("*").alias("n"))
+        own = found.filter("term is not null").select("part", "term").distinct()
+        spread = materialize(own.join(counts, "term"), "frequencies")
     for part in range(parts):
-        mine = items.filter(F.pmod(F.xxhash64("item_id", "q", "a"), F.lit(parts)) == part).distinct().orderBy("item_id", "q", "a").collect()
-        if mine:
-            yield Index([(r["item_id"], *(question_and_answer(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in mine])
+        mine = items.filter(F.col("part") == part).orderBy("item_id", "q", "a").select("item_id", "q", "a").collect()
+        if not mine:
+            continue
+        corpus = None
+        if spread is not None:
+            known = spread.filter(F.col("part") == part).select("term", "n").toArrow()
+            terms = known["term"].to_numpy().view(np.uint64)
+            order = np.argsort(terms)
+            corpus = Corpus(total["n"], total["words"], total["longest"], terms[order], known["n"].to_numpy()[order])
+        yield Index([(r["item_id"], *(question_and_answer(r["q"]) if r["a"] is None else (r["q"], r["a"]))) for r in mine], corpus)
+
+
+def _hits(source: DataFrame, shared: Broadcast, carried: list[str], item_kind: tuple[str, pa.DataType]) -> DataFrame:
+    """The columns ``carried`` of ``source`` and the item, for each row of ``source`` and item of one part that its text holds."""
+    kinds = [f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carried]
+    names = [*carried, "item_id", "score", "question_overlap", "answer_overlap"]
+    schema = ", ".join([*kinds, f"item_id {item_kind[0]}", "score double", "question_overlap double", "answer_overlap double"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = shared.value
+        for batch in batches:
+            for row, data, offsets in text_slices(batch.column(0)):
+                hits = index.hits(data, offsets)
+                if hits:
+                    rows = pa.array([row + h.row for h in hits])
+                    yield pa.RecordBatch.from_arrays([
+                        *[batch.column(k + 1).take(rows) for k in range(len(carried))], pa.array([index.ids[h.item] for h in hits], item_kind[1]),
+                        pa.array([h.score for h in hits]), pa.array([h.question for h in hits]), pa.array([h.answer for h in hits]),
+                    ], names=names)
+
+    return source.select("text", *carried).mapInArrow(run, schema)
+
+
+def _hits_by_part(source: DataFrame, benchmark: DataFrame, carried: list[str], parts: Iterable[Index]) -> DataFrame | None:
+    """The hits of all parts; those of each are written before the next index goes out. None without items."""
+    kind = benchmark.schema["item_id"].dataType.simpleString(), benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
+    written = []
+    for index in parts:
+        shared = source.sparkSession.sparkContext.broadcast(index)
+        written.append(materialize(_hits(source, shared, carried, kind), "leaks"))
+        shared.destroy()
+    return reduce(DataFrame.union, written) if written else None
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap): one row for each document row and item it holds."""
-    kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
-    source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    found = docs.sparkSession.createDataFrame([], schema)
-    for index in index_parts(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-        ids = benchmark.select("item_id").limit(0).toArrow().schema.field("item_id").type
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, ids=ids) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                for row, data, offsets in text_slices(batch.column(1)):
-                    hits = index.hits(data, offsets)
-                    if hits:
-                        yield pa.RecordBatch.from_arrays([
-                            batch.column(0).take(pa.array([row + h.row for h in hits])), pa.array([index.ids[h.item] for h in hits], ids),
-                            pa.array([h.score for h in hits]), pa.array([h.question for h in hits]), pa.array([h.answer for h in hits]),
-                        ], names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
-
-        found = found.union(source.mapInArrow(run, schema))
+    found = _hits_by_part(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark, ["doc_id"], index_parts(benchmark))
+    if found is None:
+        kinds = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+        schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, score double, question_overlap double, answer_overlap double"
+        found = docs.sparkSession.createDataFrame([], schema)
     return found
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no test item, with their columns."""
-
-    def clean_with(shared: Broadcast) -> Column:
-        @F.arrow_udf("boolean")
-        def holds_none(texts: pa.Array) -> pa.Array:
-            clean = np.ones(len(texts), dtype=bool)
-            for row, data, offsets in text_slices(texts):
-                for hit in shared.value.hits(data, offsets):
-                    clean[row + hit.row] = False
-            return pa.array(clean)
-
-        return holds_none(F.col(text).cast("string"))
-
-    for index in index_parts(benchmark):
-        docs = docs.filter(clean_with(docs.sparkSession.sparkContext.broadcast(index)))
-    return docs
+    """The rows of ``docs`` that hold no test item, with their columns.
+
+    One part of the index is a filter on the texts. With more, the digests of texts with hits are written part by part,
+    and the rows of these texts go by a join; equal texts hold equal items.
+    """
+    parts = index_parts(benchmark)
+    first = next(parts, None)
+    if first is None:
+        return docs
+    second = next(parts, None)
+    if second is None:
+        return docs.filter(_holds_none(docs.sparkSession.sparkContext.broadcast(first), F.col(text).cast("string")))
+    digest = F.sha2(F.col(text).cast("string"), 256)
+    source = docs.select(F.col(text).cast("string").alias("text"), digest.alias("_digest"))
+    found = _hits_by_part(source, benchmark, ["_digest"], chain([first, second], parts))
+    leaked = materialize(found.select(F.col("_digest").alias("_leaked")).distinct(), "leaked")
+    return docs.join(leaked, digest == F.col("_leaked"), "left_anti")
+
+
+def _holds_none(shared: Broadcast, text: Column) -> Column:
+    @F.arrow_udf("boolean")
+    def holds_none(texts: pa.Array) -> pa.Array:
+        clean = np.ones(len(texts), dtype=bool)
+        for row, data, offsets in text_slices(texts):
+            for hit in shared.value.hits(data, offsets):
+                clean[row + hit.row] = False
+        return pa.array(clean)
+
+    return holds_none(text)

@@ -3,7 +3,9 @@
 import random
 
 import numpy as np
+import pytest
 
+from scorelens.llm import bm25_wand
 from scorelens.llm.bm25_wand import THRESHOLD, Index, drop_leaks, find_leaks, question_and_answer
 
 
@@ -82,3 +84,33 @@ def test_planted_items_are_found_and_clean_rows_stay(spark):
     assert drop_leaks(docs, benchmark.filter("text is null")).count() == len(rows)
     two = benchmark.select("item_id", "text").filter("item_id = 5").selectExpr("item_id", "text as question", "cast(null as string) as answer")
     assert {r.doc_id for r in find_leaks(docs, two).collect()} == {1005, 1035}
+
+
+def test_scores_do_not_depend_on_the_number_of_parts(spark, monkeypatch):
+    rng = random.Random(3)
+    vocab = vocabulary(rng, 400)
+
+    def prose(n):
+        return " ".join(rng.choice(vocab) for _ in range(n))
+
+    items = [(i, f"{prose(rng.randint(16, 30))}. {prose(rng.randint(8, 14))}.") for i in range(40)] + [(40, None), (41, "..."), (3, "again and again")]
+    rows = [(i, prose(200)) for i in range(60)]
+    for i in range(40):
+        kept = items[i][1].split()
+        for _ in range(i % 4):  # scores around the threshold
+            kept[rng.randrange(len(kept))] = rng.choice(vocab)
+        rows.append((100 + i, f"{prose(40)} {' '.join(kept)} {prose(90)}"))
+    rows += [(100, rows[60][1]), (None, rows[61][1]), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    size, results, left = sum(len(t or "") for _, t in items), [], []
+    for parts in (1, 2, 20):
+        monkeypatch.setattr(bm25_wand, "INDEX_BYTES", -(-size // parts))
+        indexes = list(bm25_wand.index_parts(benchmark))
+        assert len(indexes) > parts // 2 and len({index.window for index in indexes}) == 1
+        found = find_leaks(docs, benchmark).collect()
+        results.append(sorted(((r.doc_id, r.item_id, round(r.score, 9), r.question_overlap, r.answer_overlap) for r in found), key=str))
+        left.append(sorted((tuple(r) for r in drop_leaks(docs, benchmark).collect()), key=str))
+    assert len(results[0]) > 20 and results[0] == results[1] == results[2]
+    assert left[0] == left[1] == left[2] and len(left[0]) < len(rows) - 15
+    assert all(0.6 <= score <= 1 + 1e-9 or score == pytest.approx(0.6, abs=1e-4) for _, _, score, _, _ in results[0])
