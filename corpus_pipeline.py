@@ -29,12 +29,22 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document of smallest id stays.
 
-    Rows of one id are one document, of which one row stays. Documents without words or without an id all stay.
+    A document is an id with a text: rows of one id with different texts are different documents, and of equal rows
+    one stays, by a fixed order of their other columns. Documents without words or without an id all stay.
     """
-    groups = similar_components(docs, n=SHINGLE_WORDS, similarity=SIMILARITY)
-    first = materialize(groups.filter("doc_id = component_id").select("doc_id").distinct(), "first")
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    row = F.xxhash64("doc_id", F.col("text").cast("string"))
+    known = docs.filter("doc_id is not null").withColumn("_row", row)
+    groups = similar_components(known, n=SHINGLE_WORDS, similarity=SIMILARITY, key="_row")
+    named = known.select("doc_id", "_row").join(groups.select(F.col("doc_id").alias("_row"), "component_id").distinct(), "_row")
+    # rows without words have no group but their own
+    smallest = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_row")).alias("kept"))
+    first = materialize(smallest.select("kept.doc_id", "kept._row"), "first")
+    others = [c for c in docs.columns if c != "text"]
+    order = F.to_json(F.struct(*others))
+    kept = known.join(first, ["doc_id", "_row"], "left_semi").groupBy("doc_id", "_row").agg(
+        F.min_by(F.struct(*docs.columns), order).alias("document")
+    )
+    return kept.select("document.*").unionByName(docs.filter("doc_id is null"))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
