@@ -2,7 +2,7 @@
 
 import random
 
-from corpus_pipeline import ORACLE_SQL, STAGES, run
+from corpus_pipeline import ORACLE_SQL, STAGES, ngram_jaccard_join, run
 from scorelens.llm.bpe import load_ranks
 from scorelens.llm.bpe_query import VOCABULARY
 
@@ -54,3 +54,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert run(spark, str(tmp_path)).collect() == []
+
+
+def test_one_id_with_different_texts(spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 70) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (1, b, "w"), (2, b + " more", "x"), (3, c, "x"), (0, c, "x"), (0, a, "x"), (0, a, "x"),
+            (None, a, "x"), (None, a, "x"), (4, "", "x"), (4, None, "x"), (5, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    want = {(0, a, "x"), (0, c, "x"), (1, b, "w"), (4, "", "x"), (4, None, "x"), (5, "", "x")}
+    for _ in range(2):
+        got = [tuple(r) for r in ngram_jaccard_join(spark, docs, "").collect()]
+        assert sorted(got, key=str) == sorted([*want, (None, a, "x"), (None, a, "x")], key=str)
+        docs = docs.repartition(2)
