@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelens.functions.text import strip
 from scorelens.storage import materialize, scratch_path
@@ -129,17 +130,31 @@ def quoted_records(spark: SparkSession, path: str) -> DataFrame:
     return whole.withColumn("record", F.regexp_replace("record", "\r$", "")).where("record <> ''")
 
 
+def _folder_value(name: str) -> Column:
+    """The value of a folder column ``name=value`` of a record's file; the path is encoded once more than the folder."""
+    value = F.regexp_extract("file", f"^.*/{re.escape(name)}=([^/]*)/", 1)
+    for _ in range(2):
+        value = F.url_decode(F.replace(value, F.lit("+"), F.lit("%2B")))
+    return F.when(value != "__HIVE_DEFAULT_PARTITION__", value)
+
+
 def read_results_csv(
     spark: SparkSession, path: str, schema: str | None = None, *, multi_line: bool = True
 ) -> DataFrame:
     """Results frame from CSV with a header and quoted text.
 
     With a schema, text with line breaks is read in ranges by many tasks (``quoted_records``). Without one an extra pass
-    infers it, and with ``multi_line`` one task reads a file. ``multi_line=False`` is for files without such breaks.
+    infers it, and with ``multi_line`` one task reads a file. Folder columns named in the schema are filled in. ``multi_line=False`` is for files without such breaks.
     """
     if schema and multi_line:
         records = quoted_records(spark, path).where("not first")
-        return records.select(F.from_csv("record", schema, {"quote": '"', "escape": '"'}).alias("row")).select("row.*")
+        fields = T.DataType.fromDDL(schema).fields
+        by_folder = set(spark.read.text(path).columns[1:])
+        inside = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name not in by_folder)
+        row = F.from_csv("record", inside, {"quote": '"', "escape": '"'})
+        return records.select("file", row.alias("row")).select(
+            *[_folder_value(f.name).cast(f.dataType).alias(f.name) if f.name in by_folder else F.col("row")[f.name].alias(f.name) for f in fields]
+        )
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("quote", '"').option("escape", '"')
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
