@@ -6,6 +6,7 @@ forms do the same arithmetic in the same order and cut scores to three decimals,
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,12 +49,21 @@ def structs(rows: list[tuple], names: list[str]) -> Column:
     return F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row, names)]) for row in rows])
 
 
+#: Ids in one task, each of which fans out to up to 180 rows there.
+IDS_PER_TASK = 10_000
+
+
 def ids(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Document ids under a new name, spread evenly over the shuffle partitions.
+    """Document ids under a new name, spread evenly over as many tasks as their number asks for.
 
-    Only 8 bytes per row move, ahead of a fan-out of up to 180 hashed rows each.
+    Only 8 bytes per row move, ahead of a fan-out of up to 180 hashed rows each. The number of partitions is given, as
+    adaptive execution would otherwise merge them by the size of the ids; it goes down for few ids only.
     """
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias(name)).repartition(name)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias(name))
+    rows = docs.count()  # from the Parquet footers
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(math.ceil(rows / IDS_PER_TASK), min(width, math.ceil(10 * rows / IDS_PER_TASK)), 1)
+    return docs.repartition(parts, name)
 
 
 def cut3(x: Column) -> Column:
