@@ -24,11 +24,12 @@ def with_baseline(
 
     One equi-join on the sample keys serves all models; NULL keys match each other. The baseline side is written first
     with one row per sample, the mean of repeats, so repeated samples cannot multiply and the join's sides are plain
-    tables, of which AQE can split a hot key. Rows without a baseline value are dropped; ``unmatched`` counts them.
+    tables, of which AQE can split a hot key. It grows with the samples and its file is far smaller than its rows, so it
+    asks for a merge join and is never broadcast. Rows without a baseline value are dropped; ``unmatched`` counts them.
     """
     is_base = F.col(model_col) == baseline
     base = scores.where(is_base & F.col(value).isNotNull()).groupBy(*keys).agg(F.avg(value).alias("base_value"))
-    return join_on(scores.where(~is_base & F.col(value).isNotNull()), materialize(base, "baseline"), keys)
+    return join_on(scores.where(~is_base & F.col(value).isNotNull()), materialize(base, "baseline").hint("merge"), keys)
 
 
 def unmatched(
@@ -38,7 +39,7 @@ def unmatched(
     is_base = F.col(model_col) == baseline
     known = scores.where(is_base & F.col(value).isNotNull()).select(*keys).distinct().withColumn("_known", F.lit(1))
     rows = scores.where(~is_base & F.col(value).isNotNull()).groupBy(model_col, *keys).agg(F.count("*").alias("_n"))
-    joined = join_on(rows, known, keys, "left")
+    joined = join_on(rows, known.hint("merge"), keys, "left")
     return joined.groupBy(model_col).agg(
         F.sum("_n").alias("rows"), F.sum(F.when(F.col("_known").isNull(), F.col("_n")).otherwise(0)).alias("unmatched")
     )

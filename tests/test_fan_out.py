@@ -30,3 +30,16 @@ def test_no_ids_and_few_ids(spark, tmp_path):
     for rows in (0, 3):
         spark.range(rows).select(F.col("id").alias("doc_id")).write.parquet(f"{tmp_path}/{rows}/documents.parquet")
         assert sc.ids(spark, f"{tmp_path}/{rows}", "prompt_id").count() == rows
+
+
+def test_baseline_is_not_broadcast(scores):
+    joined = delta.with_baseline(scores)
+    text = final_plan(joined)
+    assert "SortMergeJoin" in text and "BroadcastHashJoin" not in text
+    assert joined.count() == 8 and joined.where("score = base_value").count() == 8
+
+
+def test_known_baselines_are_not_broadcast(scores):
+    gone = delta.unmatched(scores.where("not (model = 'base' and prompt_id < 2)"))
+    assert "BroadcastHashJoin" not in final_plan(gone)
+    assert [tuple(r) for r in gone.collect()] == [("tuned", 8, 2)]
