@@ -157,8 +157,8 @@ def identical_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def with_experiment(results: DataFrame, experiments: DataFrame, key: str = "experiment") -> DataFrame:
-    """Add experiment settings; the dimension is broadcast when its measured size allows."""
-    return join_on(results, experiments, [key])
+    """Add experiment settings; the dimension is written first and broadcast when its measured size allows."""
+    return join_on(results, materialize(experiments, "experiments"), [key])
 
 
 def complete_pairs(paired: DataFrame, *columns: str) -> DataFrame:

@@ -43,3 +43,12 @@ def test_known_baselines_are_not_broadcast(scores):
     gone = delta.unmatched(scores.where("not (model = 'base' and prompt_id < 2)"))
     assert "BroadcastHashJoin" not in final_plan(gone)
     assert [tuple(r) for r in gone.collect()] == [("tuned", 8, 2)]
+
+
+def test_experiments_are_the_broadcast_side(spark):
+    results = spark.range(1000).select(F.concat(F.lit("e"), F.col("id") % 3).alias("experiment"), "id")
+    experiments = spark.createDataFrame([("e0", 1), ("e1", 2)], "experiment string, size int")
+    joined = pairing.with_experiment(results, experiments)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "BuildRight" in plan  # before anything has run
+    assert joined.count() == 667
