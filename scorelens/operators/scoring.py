@@ -71,13 +71,19 @@ LEXICON = {
 
 def lexical_scores(text: Column) -> Column:
     """Share of listed words among the words of the whole text, per label; computed by built-in functions."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))
+    found = F.regexp_extract_all(F.lower(text), F.lit(r"[a-z]+"), F.lit(0))
 
-    def share(listed: list[str]) -> Column:
-        hits = F.size(F.filter(words, lambda w: w.isin(*listed)))
-        return F.coalesce(F.try_divide(hits.cast("double"), F.size(words)), F.lit(0.0))
+    every = sorted({w for listed in LEXICON.values() for w in listed})
 
-    return F.create_map(*[x for label, listed in LEXICON.items() for x in (F.lit(label), share(listed))])
+    def share(counted: Column, listed: list[str]) -> Column:
+        hits = F.size(F.filter(counted["hits"], lambda w: w.isin(*listed)))
+        return F.coalesce(F.try_divide(hits.cast("double"), counted["words"]), F.lit(0.0))
+
+    # arrays of one, so that the text is cut into words once, and its words are looked up once for all labels
+    counted = F.transform(F.array(found), lambda words: F.struct(
+        F.size(words).alias("words"), F.filter(words, lambda w: w.isin(*every)).alias("hits")))
+    return F.transform(counted, lambda c: F.create_map(
+        *[x for label, listed in LEXICON.items() for x in (F.lit(label), share(c, listed))]))[0]
 
 
 register_scorer("lexical", lexical_scores, list(LEXICON), "toxic", native=True)

@@ -52,3 +52,11 @@ def test_experiments_are_the_broadcast_side(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "BuildRight" in plan  # before anything has run
     assert joined.count() == 667
+
+
+def test_words_are_cut_once(spark):
+    texts = spark.createDataFrame([("Stupid idiot, kill the trash",), ("",), (None,), ("fine words",)], "text string")
+    scored = texts.select(scoring.lexical_scores(F.col("text")).alias("labels"))
+    assert scored._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    zero = {"toxic": 0.0, "insult": 0.0, "threat": 0.0}
+    assert [r[0] for r in scored.collect()] == [{"toxic": 0.6, "insult": 0.4, "threat": 0.2}, zero, zero, zero]
