@@ -339,7 +339,8 @@ def h9(spark, d):
   WITH g AS (SELECT 'model' AS family, model AS name, {_FAMILY} GROUP BY model UNION ALL SELECT 'label', label, {_FAMILY} GROUP BY label)
   SELECT family, arg_min(name, (-mean, name)) AS best, arg_min(name, (std, name)) AS most_consistent FROM g GROUP BY family"""))
 def h9_best(spark, d):
-    grouped = delta.grouped_improvement(deltas(spark, d, False), {"model": ["model"], "label": ["label"]})
+    """The groups are written once, since both families read them."""
+    grouped = materialize(delta.grouped_improvement(deltas(spark, d, False), {"model": ["model"], "label": ["label"]}), "grouped")
     return delta.best_of(grouped, "model").unionByName(delta.best_of(grouped, "label"))
 
 
