@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scorelens.functions.numeric import count_if, rate, safe_corr
 from scorelens.operators import matrices
-from scorelens.operators.ranks import join_hot_values, ordered_index, running_totals, value_ranks
+from scorelens.operators.ranks import join_hot_values, ordered_crossings, ordered_index, value_ranks
 from scorelens.storage import attach_stats, join_on, materialize
 
 
@@ -111,9 +111,8 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
 def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     """Kendall tau-b without building pairs.
 
-    Points are pre-aggregated with their counts. For each bit of the dense rank of y, a point with bit 0 is
-    discordant with the earlier points (by x, then y) that share the higher bits and have bit 1; running totals
-    over (bit, higher bits) count them in log2(distinct y) levels.
+    Points are pre-aggregated with their counts. A point is discordant with the earlier points (by x, then y) of greater
+    y, which ``ordered_crossings`` counts by the digits of the dense rank of y.
     """
     points = materialize(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
@@ -131,24 +130,12 @@ def kendall(df: DataFrame, by: list[str], x: str, y: str) -> DataFrame:
     y_ranks = materialize(y_ranks, "y_ranks")
     top = y_ranks.agg(F.max("_r")).first()[0] or 1
     ranked = join_hot_values(points, y_ranks, [*by, "_y"], "_r")
-    levels = F.explode(F.sequence(F.lit(0), F.lit(max(int(top).bit_length() - 1, 0)))).alias("_level")
-    bits = ranked.select(*by, "_x", "_r", "_w", levels).select(
-        *by,
-        "_x",
-        "_r",
-        "_w",
-        "_level",
-        F.expr("shiftright(_r, _level + 1)").alias("_high"),
-        F.expr("shiftright(_r, _level) & 1").alias("_bit"),
-    )
-    bits = bits.withColumn("_ones", F.col("_w") * F.col("_bit"))
-    totals = running_totals(bits, [*by, "_level", "_high"], ["_x", "_r"], {"_ones_before": "_ones"})
-    crossing = F.when(F.col("_bit") == 0, F.col("_w").cast("double") * F.col("_ones_before"))
-    discordant = totals.groupBy(*by).agg(F.coalesce(F.sum(crossing), F.lit(0.0)).alias("discordant"))
+    discordant = ordered_crossings(ranked, by, ["_x", "_r"], "_r", "_w", int(top)).withColumnRenamed("crossings", "discordant")
     size = F.sum("_w").cast("double")
     parts = points.groupBy(*by).agg(F.sum("_w").alias("n"), (size * (size - 1) / 2).alias("pairs"))
-    for part in (ties(["_x"], "ties_x"), ties(["_y"], "ties_y"), ties(["_x", "_y"], "ties_xy"), discordant):
+    for part in (ties(["_x"], "ties_x"), ties(["_y"], "ties_y"), ties(["_x", "_y"], "ties_xy")):
         parts = join_on(parts, part, by)
+    parts = join_on(parts, discordant, by, "left").fillna(0.0, subset=["discordant"])
     concordant = (
         F.col("pairs") - F.col("ties_x") - F.col("ties_y") + F.col("ties_xy") - F.col("discordant")
     )
@@ -200,8 +187,11 @@ def evaluation_row(
 ) -> DataFrame:
     """One row of all metrics per group, e.g. per (model, split) or (model, split, epoch).
 
-    With ``truth`` the correlations and the agreement are against that column.
+    With ``truth`` the correlations and the agreement are against that column. The rewards are written once, since every
+    metric reads them.
     """
+    used = dict.fromkeys([*by, "side", "reward", *([truth] if truth else [])])
+    rewards = materialize(rewards.select(*used), "rewards")
     tables = [classification_report(rewards, by, positive=positive), reward_means(rewards, by)]
     if truth:
         tables += [correlations(rewards, by, "reward", truth), agreement(rewards, by, truth=truth)]

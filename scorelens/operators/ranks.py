@@ -151,6 +151,122 @@ def running_totals(df: DataFrame, by: list[str], order: list, sums: dict[str, st
     )
 
 
+#: Bits of a digit of ``ordered_crossings``: a row of k bits is sorted k / DIGIT_BITS times and meets 2^DIGIT_BITS sums.
+DIGIT_BITS = 6
+#: Rows that are counted at once, and rows of segments that are counted all together.
+CROSSING_ROWS, SHORT_SEGMENT = 512, 16
+
+
+class _Segment:
+    """Rows of one (group, level, higher digits) as they come: weights by digit, and what crossed among them."""
+
+    def __init__(self):
+        self.sums, self.crossed = np.zeros(1 << DIGIT_BITS), 0.0
+
+    def add(self, digit: np.ndarray, weight: np.ndarray) -> _Segment:
+        for first in range(0, len(digit), CROSSING_ROWS):
+            d, w = digit[first : first + CROSSING_ROWS], weight[first : first + CROSSING_ROWS]
+            placed = np.zeros((len(d) + 1, len(self.sums)))
+            placed[0] = self.sums
+            placed[np.arange(1, len(d) + 1), d] = w
+            through = np.cumsum(placed, axis=0)
+            # of what came before, the weight above each digit
+            above = through[:-1].sum(axis=1) - np.cumsum(through[:-1], axis=1)[np.arange(len(d)), d]
+            self.crossed += float((w * above).sum())
+            self.sums = through[-1]
+        return self
+
+
+def _crossings(groups: int):
+    """From sorted rows (groups..., digit, weight) to (groups..., _part, _crossed, _sums): what crossed within a partition
+    and, for its first and last segment, the weights by digit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, key, leads = None, [], True
+
+        def rows(keys: list, crossed: np.ndarray, sums: list) -> pa.RecordBatch:
+            columns = [*keys, pa.array(np.full(len(crossed), part, np.int32)), pa.array(crossed), pa.array(sums, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(columns, names=[*names, "_part", "_crossed", "_sums"])
+
+        names: list[str] = []
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            names = batch.schema.names[:groups]
+            keys = batch.columns[:groups]
+            digit, weight = (batch.column(groups + i).to_numpy(zero_copy_only=False) for i in range(2))
+            weight = weight.astype(np.float64)
+            begins = np.zeros(batch.num_rows, dtype=bool)
+            begins[0] = held is None or any(_changes(pa.concat_arrays([k, c.slice(0, 1)]))[0] for k, c in zip(key, keys))
+            for column in keys:
+                begins[1:] |= _changes(column)
+            starts = np.flatnonzero(begins)
+            stops = np.append(starts[1:], batch.num_rows)
+            goes_on = starts[0] if len(starts) else batch.num_rows
+            if goes_on:
+                held.add(digit[:goes_on], weight[:goes_on])
+            if len(starts) == 0:
+                continue
+            if held is not None:
+                yield rows(key, np.array([held.crossed]), [held.sums.tolist() if leads else None])
+                leads = False
+            # segments that lie in the batch, but for one that leads the partition; the last one may go on
+            whole = np.arange(int(leads and len(starts) > 1), len(starts) - 1)
+            if leads and len(starts) > 1:
+                first = _Segment().add(digit[: stops[0]], weight[: stops[0]])
+                yield rows([c.slice(0, 1) for c in keys], np.array([first.crossed]), [first.sums.tolist()])
+                leads = False
+            if len(whole):
+                crossed = np.zeros(batch.num_rows)
+                segment = np.cumsum(begins)
+                length = (stops - starts)[whole]
+                for lag in range(1, min(SHORT_SEGMENT, int(length.max()))):
+                    later = np.flatnonzero((segment[lag:] == segment[:-lag]) & (digit[:-lag] > digit[lag:])) + lag
+                    crossed[later] += weight[later] * weight[later - lag]
+                total = np.add.reduceat(crossed, starts)[whole]
+                for i in np.flatnonzero(length > SHORT_SEGMENT):
+                    a, b = starts[whole[i]], stops[whole[i]]
+                    total[i] = _Segment().add(digit[a:b], weight[a:b]).crossed
+                found = np.flatnonzero(total)
+                at = pa.array(starts[whole[found]])
+                yield rows([c.take(at) for c in keys], total[found], [None] * len(found))
+            held = _Segment().add(digit[starts[-1] :], weight[starts[-1] :])
+            key = [c.slice(int(starts[-1]), 1) for c in keys]
+        if held is not None:
+            yield rows(key, np.array([held.crossed]), [held.sums.tolist()])
+
+    return run
+
+
+def ordered_crossings(df: DataFrame, by: list[str], order: list, rank: str, weight: str, top: int) -> DataFrame:
+    """(by, crossings): per group the sum of the weights' products over pairs whose earlier row in ``order`` has the greater
+    ``rank``, a whole number from 0 to ``top``. A group may be missing if it has none.
+
+    Two ranks differ first in one digit, below equal higher ones. So each row is sorted once for every digit, by (group,
+    digit's level, higher digits, order), and meets the weights of greater digits before it. These are added up
+    where the rows lie; a segment that goes on from one partition to the next needs its earlier weights by digit only.
+    ``order`` must be unique inside a group.
+    """
+    levels = max(-(-int(top).bit_length() // DIGIT_BITS), 1)
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("_level"))
+    high = F.expr(f"shiftright(cast(`{rank}` as bigint), (_level + 1) * {DIGIT_BITS})")
+    digit = F.expr(f"cast(shiftright(cast(`{rank}` as bigint), _level * {DIGIT_BITS}) & {(1 << DIGIT_BITS) - 1} as int)")
+    rows = rows.withColumn("_high", high).withColumn("_digit", digit)
+    groups = [*by, "_level", "_high"]
+    placed = rows.orderBy(*groups, *_columns(order)).select(*groups, "_digit", weight)
+    schema = T.StructType([*[placed.schema[c] for c in groups], T.StructField("_part", T.IntegerType()),
+                           T.StructField("_crossed", T.DoubleType()), T.StructField("_sums", T.ArrayType(T.DoubleType()))])
+    found = materialize(placed.mapInArrow(_crossings(len(groups)), schema), "crossings")
+    # at most two segments a partition go on to another one
+    sums = found.where("_sums is not null").select(*groups, "_part", F.posexplode("_sums").alias("_digit", "_sum"))
+    earlier = Window.partitionBy(*groups, "_digit").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    smaller = Window.partitionBy(*groups, "_part").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.withColumn("_before", F.sum("_sum").over(earlier)).withColumn("_below", F.sum("_sum").over(smaller))
+    both = found.select(*by, "_crossed").unionByName(carried.select(*by, (F.col("_before") * F.col("_below")).alias("_crossed")))
+    return both.groupBy(*by).agg(F.coalesce(F.sum("_crossed"), F.lit(0.0)).alias("crossings"))
+
+
 def value_ranks(df: DataFrame, by: list[str], value: str, counts: dict[str, Column] | None = None) -> DataFrame:
     """One row per (group, distinct value): ``n``, extra ``counts`` and the average rank ``avg_rank``.
 

@@ -1,9 +1,12 @@
 """Work that is done once: no second scan, no lambda per row, few sorted rows."""
 
+import itertools
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scorelens.operators import metrics, ranks
 from scorelens.plans import catalog
 
 
@@ -22,3 +25,32 @@ def test_best_members_read_the_deltas_once(spark, folder):
     best = catalog.QUERIES["h9_best_members"](spark, folder)
     assert "md5" not in plan(best) and "SortMergeJoin" not in plan(best)
     assert {r.family for r in best.collect()} == {"model", "label"}
+
+
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_crossings_equal_all_pairs(spark, batch):
+    """Groups of one row, short and long segments, hot ranks, over many partitions and batches."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    rng = np.random.default_rng(11)
+    rows = [("long", i, int(r), int(w)) for i, (r, w) in enumerate(zip(rng.integers(0, 9000, 1500), rng.integers(1, 4, 1500)))]
+    rows += [("hot", i, int(r), 1) for i, r in enumerate(rng.choice([3, 64, 65, 4096], 900, p=[0.8, 0.1, 0.05, 0.05]))]
+    rows += [(f"s{i % 90}", i, int(r), 2) for i, r in enumerate(rng.integers(0, 200, 500))]
+    rows += [(None, 0, 5, 1), (None, 1, 4, 3), ("up", 0, 1, 1), ("up", 1, 2, 1)]
+    df = spark.createDataFrame(rows, "g string, x long, r long, w long")
+    spark.conf.set(name, batch)
+    try:
+        found = {r.g: r.crossings for r in ranks.ordered_crossings(df, ["g"], ["x"], "r", "w", 9000).collect()}
+    finally:
+        spark.conf.set(name, before)
+    for g, part in itertools.groupby(sorted(rows, key=lambda r: (r[0] or "", r[1])), key=lambda r: r[0]):
+        part = list(part)
+        r, w = np.array([p[2] for p in part]), np.array([p[3] for p in part])
+        expected = float((np.triu(r[:, None] > r[None, :], 1) * w[:, None] * w[None, :]).sum())
+        assert found.get(g, 0.0) == expected, g
+
+
+def test_kendall_of_groups_without_crossings(spark):
+    rows = [("up", 1.0, 1.0), ("up", 2.0, 2.0), ("one", 1.0, 1.0), (None, 1.0, 2.0), (None, 2.0, 1.0)]
+    got = {r.g: r.kendall for r in metrics.kendall(spark.createDataFrame(rows, "g string, x double, y double"), ["g"], "x", "y").collect()}
+    assert got == {"up": 1.0, "one": None, None: -1.0}
