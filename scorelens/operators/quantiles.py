@@ -13,11 +13,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelens.storage import join_on, materialize
+from scorelens.storage import hashed_groups, join_on, materialize
 
 ACCURACY = 1_000
 GRID = 256
 KEEP_ROWS = 1_000_000
+#: Groups whose sketches a task holds side by side, each of up to 50,000 values (about 1 MB).
+SKETCHES = 256
 
 
 def _segment(count: int) -> tuple[Column, Column]:
@@ -107,16 +109,15 @@ def profile(
     margin = 4.0 / accuracy
     ends = [max(f - margin, 0.0) for f in fractions] + [min(f + margin, 1.0) for f in fractions]
     clean = F.when(~F.isnan(value), F.col(value).cast("double"))
-    sketch = materialize(
-        df.groupBy(*groups).agg(
-            *aggregates,
-            F.count(clean).alias("_n"),
-            F.min(clean).alias("_min"),
-            F.max(clean).alias("_max"),
-            F.percentile_approx(clean, ends, accuracy).alias("_cut"),
-        ),
-        "sketch",
+    sketched = df.groupBy(*groups).agg(
+        *aggregates,
+        F.count(clean).alias("_n"),
+        F.min(clean).alias("_min"),
+        F.max(clean).alias("_max"),
+        F.percentile_approx(clean, ends, accuracy).alias("_cut"),
     )
+    with hashed_groups(df.sparkSession, SKETCHES):
+        sketch = materialize(sketched, "sketch")
     # a small group keeps all its values
     small = F.col("_n") <= accuracy
     lows = [
@@ -142,10 +143,12 @@ def profile(
 
     joined = join_on(rows, brackets, groups)
     segment, inside = _segment(count)
-    counted = (
+    # written, as what lies before is counted from it as well
+    counted = materialize(
         joined.select(*groups, "_n", segment.alias("_segment"), F.when(inside, F.col("_v")).alias("_rep"))
         .groupBy(*groups, "_segment", "_rep")
-        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n"))
+        .agg(F.count("*").alias("_c"), F.max("_n").alias("_n")),
+        "counted",
     )
     # what lies in earlier segments, and before a value inside its own
     whole = counted.groupBy(*groups).agg(

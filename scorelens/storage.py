@@ -35,17 +35,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 @contextmanager
-def _shuffle_files_removed(spark: SparkSession):
-    """Within, Spark removes the shuffle files of a query when it has ended: what is written needs them no longer."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, "false")
-    spark.conf.set(name, "true")
+def _setting(spark: SparkSession, name: str, value: str, default: str):
+    """Within, a setting of the session has another value."""
+    before = spark.conf.get(name, default)
+    spark.conf.set(name, value)
     try:
         yield
     finally:
         spark.conf.set(name, before)
 
 
+def _shuffle_files_removed(spark: SparkSession):
+    """Within, Spark removes the shuffle files of a query when it has ended: what is written needs them no longer."""
+    return _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true", "false")
+
+
+def hashed_groups(spark: SparkSession, groups: int):
+    """Within, a task keeps the buffers of up to ``groups`` groups of an aggregate of objects; with more it sorts its rows."""
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, "128")
+    return _setting(spark, name, str(max(groups, int(before))), before)
+
+
 _WRITTEN: list[str] = []
 
 

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scorelens.operators import metrics, ranks
+from scorelens import storage
+from scorelens.operators import metrics, quantiles, ranks
 from scorelens.plans import catalog
 
 
@@ -27,6 +28,31 @@ def test_best_members_read_the_deltas_once(spark, folder):
     assert {r.family for r in best.collect()} == {"model", "label"}
 
 
+@pytest.mark.parametrize("options", [{}, {"accuracy": 20, "keep_rows": 2, "grid": 8}])
+def test_percentiles_leave_no_scan_to_their_result(spark, tmp_path, options):
+    rng = np.random.default_rng(3)
+    rows = [(f"g{i % 150}", float(x)) for i, x in enumerate(rng.normal(size=6000))]
+    path = f"{tmp_path}/values_of_the_test"
+    spark.createDataFrame(rows, "g string, x double").write.parquet(path)
+    found = quantiles.profile(spark.read.parquet(path), ["g"], "x", [F.count("x").alias("n")], {"p50": 0.5, "p90": 0.9}, **options)
+    assert "values_of_the_test" not in plan(found)
+    got = {r.g: r for r in found.collect()}
+    assert len(got) == 150
+    for g in ("g0", "g77", "g149"):
+        xs = [x for k, x in rows if k == g]
+        assert got[g].n == len(xs) and [got[g].p50, got[g].p90] == pytest.approx(list(np.quantile(xs, [0.5, 0.9])))
+
+
+def test_hashed_groups_hold_for_a_while_and_lower_nothing(spark):
+    name = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(name, "128")
+    with storage.hashed_groups(spark, 256):
+        assert spark.conf.get(name) == "256"
+        with storage.hashed_groups(spark, 3):
+            assert spark.conf.get(name) == "256"
+    assert spark.conf.get(name) == before
+
+
 @pytest.mark.parametrize("batch", ["7", "10000"])
 def test_crossings_equal_all_pairs(spark, batch):
     """Groups of one row, short and long segments, hot ranks, over many partitions and batches."""
