@@ -99,14 +99,11 @@ def label_map_summary(
     """Mean, spread and extremes per label; an empty map is left out and a missing label counts as 0.
 
     The zeros are added algebraically to the statistics of the present values, so no (row x label) product is
-    built. Each row brings one entry without a label, which counts it: labels and counts come from one pass.
+    built. Every map has one first entry, which counts its row: labels and counts come from one pass.
     """
     filled = classified.where(F.col(labels).isNotNull() & (F.size(labels) > 0))
-    kind = classified.schema[labels].dataType
-    row = F.struct(F.lit(None).cast(kind.keyType).alias("label"), F.lit(0).cast(kind.valueType).alias("score"))
-    entries = F.transform(F.map_entries(labels), lambda e: F.struct(e["key"].alias("label"), e["value"].alias("score")))
     present = (
-        filled.select(*by, F.inline(F.concat(F.array(row), entries)))
+        filled.select(*by, F.posexplode(labels).alias("_place", "label", "score"))
         .groupBy(*by, "label")
         .agg(
             F.count("score").alias("k"),
@@ -114,11 +111,11 @@ def label_map_summary(
             F.var_pop("score").alias("v"),
             F.min("score").alias("lo"),
             F.max("score").alias("hi"),
+            count_if(F.col("_place") == 0).alias("_rows"),
         )
     )
     # one row per label by now
-    rows = F.max(F.when(F.col("label").isNull(), F.col("k"))).over(Window.partitionBy(*by))
-    joined = present.withColumn("n", rows).where(F.col("label").isNotNull())
+    joined = present.withColumn("n", F.sum("_rows").over(Window.partitionBy(*by)))
     n, k, m, v = F.col("n"), F.col("k"), F.col("m"), F.col("v")
     squares = k * v + (k * (n - k) / n) * m * m
     return joined.select(

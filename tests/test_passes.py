@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scorelens import storage
-from scorelens.operators import metrics, quantiles, ranks
+from scorelens.operators import describe, metrics, quantiles, ranks
 from scorelens.plans import catalog
 
 
@@ -53,6 +53,15 @@ def test_hashed_groups_hold_for_a_while_and_lower_nothing(spark):
     assert spark.conf.get(name) == before
 
 
+def test_label_maps_are_counted_without_lambdas(spark):
+    rows = [("m", {"a": 0.5, "b": None}), ("m", {"a": 1.0}), ("m", {}), ("m", None), (None, {"b": 0.25}), (None, {"b": 0.75, "a": None})]
+    summary = describe.label_map_summary(spark.createDataFrame(rows, "model string, labels map<string,double>"), ["model"])
+    assert "lambda" not in plan(summary)
+    got = {(r.model, r.label): (r.n, r.mean, r.min, r.max) for r in summary.collect()}
+    assert got[("m", "a")] == (2, 0.75, 0.5, 1.0) and got[(None, "b")] == (2, 0.5, 0.25, 0.75)
+    assert got[("m", "b")][0] == 2 and got[(None, "a")][0] == 2
+
+
 @pytest.mark.parametrize("batch", ["7", "10000"])
 def test_crossings_equal_all_pairs(spark, batch):
     """Groups of one row, short and long segments, hot ranks, over many partitions and batches."""
