@@ -109,52 +109,54 @@ def scores(
     return rows.select("prompt_id", "model", "epoch", "classifier", "label", F.inline(typed))
 
 
-def classifications(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label maps of ``scores``: every 11th prompt has an empty map, every 5th lacks the label 'threat'."""
+def classifications(spark: SparkSession, sf_dir: str, *, text_types: list[str] = TEXT_TYPES) -> DataFrame:
+    """Label maps of ``scores``: every 11th prompt has an empty map, every 5th lacks the label 'threat'.
+
+    The labels of a classifier are columns, one for each place, so scores are plain expressions; lambdas over arrays would
+    be interpreted for every row.
+    """
     doc = F.col("prompt_id").cast("string")
-    listed = F.array(
-        *[
-            F.struct(F.lit(c).alias("classifier"), F.array(*[F.lit(x) for x in labels]).alias("names"))
-            for c, labels in CLASSIFIER_LABELS.items()
-        ]
-    )
-    rows = ids(spark, sf_dir, "prompt_id").select("prompt_id", F.inline(listed))
-    rows = rows.withColumn(
-        "drawn",
-        F.transform(
-            "names",
-            lambda label: F.struct(
-                label.alias("label"),
-                (F.lit(0.2) + F.lit(0.8) * hash_unit(F.lit("b"), "classifier", label, doc)).alias("b"),
-                (F.lit(0.3) * hash_unit(F.lit("p"), "classifier", label, doc)).alias("p"),
-            ),
-        ),
-    ).select("*", F.inline(structs(MODELS, ["model", "epoch", "decay"])))
-
-    def output(x: Column) -> Column:
-        noise = hash_unit(F.lit("n"), "model", "classifier", x["label"], doc)
-        tuned = F.greatest(F.lit(0.0), F.least(F.lit(1.0), x["b"] * F.col("decay") + F.lit(0.2) * (noise - F.lit(0.5))))
-        return F.when(F.col("epoch") == 0, x["b"]).otherwise(tuned)
-
-    rows = rows.withColumn(
-        "drawn", F.transform("drawn", lambda x: F.struct(x["label"].alias("label"), x["p"].alias("p"), output(x).alias("o")))
-    )
-    rows = rows.withColumn(
-        "drawn",
-        F.filter(
-            "drawn",
-            lambda x: (F.col("prompt_id") % 11 != 0) & ~((F.col("prompt_id") % 5 == 0) & (x["label"] == "threat")),
-        ),
-    )
+    places = range(max(len(labels) for labels in CLASSIFIER_LABELS.values()))
+
+    def listed(wanted) -> Column:
+        rows = []
+        for classifier, labels in CLASSIFIER_LABELS.items():
+            names = [x for x in labels if wanted(x)]
+            columns = [F.lit(names[i] if i < len(names) else None).cast("string").alias(f"l{i}") for i in places]
+            found = F.array(*[F.lit(x) for x in names]).cast("array<string>")
+            rows.append(F.struct(F.lit(classifier).alias("classifier"), found.alias("names"), *columns))
+        return F.array(*rows)
+
+    without = F.when(F.col("prompt_id") % 5 == 0, listed(lambda x: x != "threat")).otherwise(listed(lambda x: True))
+    labels = F.when(F.col("prompt_id") % 11 != 0, without).otherwise(listed(lambda x: False))
+
+    def drawn(kind: str, i: int, *more: str) -> Column:
+        return hash_unit(F.lit(kind), *more, "classifier", f"l{i}", doc)
+
+    def present(i: int, value: Column) -> Column:
+        return F.when(F.col(f"l{i}").isNotNull(), value)
+
+    rows = ids(spark, sf_dir, "prompt_id").select("prompt_id", F.inline(labels))
+    rows = rows.withColumns({f"b{i}": present(i, F.lit(0.2) + F.lit(0.8) * drawn("b", i)) for i in places})
+    rows = rows.withColumns({f"p{i}": present(i, F.lit(0.3) * drawn("p", i)) for i in places})
+    rows = rows.select("*", F.inline(structs(MODELS, ["model", "epoch", "decay"])))
+
+    def output(i: int) -> Column:
+        noise = drawn("n", i, "model")
+        b = F.col(f"b{i}")
+        tuned = F.greatest(F.lit(0.0), F.least(F.lit(1.0), b * F.col("decay") + F.lit(0.2) * (noise - F.lit(0.5))))
+        return present(i, F.when(F.col("epoch") == 0, b).otherwise(tuned))
+
+    rows = rows.withColumns({f"o{i}": output(i) for i in places})
 
     def entries(value) -> Column:
-        return F.map_from_entries(
-            F.transform("drawn", lambda x: F.struct(x["label"].alias("key"), cut3(value(x)).alias("value")))
-        )
+        return F.map_from_arrays("names", F.slice(F.array(*[cut3(value(i)) for i in places]), F.lit(1), F.size("names")))
 
-    values = {"output": lambda x: x["o"], "full_text": lambda x: F.lit(0.9) * x["o"], "prompt": lambda x: x["p"]}
+    values = {
+        "output": lambda i: F.col(f"o{i}"), "full_text": lambda i: F.lit(0.9) * F.col(f"o{i}"), "prompt": lambda i: F.col(f"p{i}")
+    }
     typed = F.array(
-        *[F.struct(F.lit(t).alias("text_type"), entries(values[t]).alias("labels")) for t in TEXT_TYPES]
+        *[F.struct(F.lit(t).alias("text_type"), entries(values[t]).alias("labels")) for t in text_types]
     )
     return rows.select("prompt_id", "model", "epoch", "classifier", F.inline(typed))
 

@@ -94,7 +94,7 @@ _MAP_ROUND_TRIP = with_tables("label_scores", rounded("prompt_id model classifie
 
 
 def outputs(spark, d):
-    return sc.classifications(spark, d).where("text_type = 'output'").select("prompt_id", "model", "classifier", "labels")
+    return sc.classifications(spark, d, text_types=["output"]).select("prompt_id", "model", "classifier", "labels")
 
 
 @query("a7_csv_map_columns", _MAP_ROUND_TRIP)

@@ -198,7 +198,7 @@ def g15(spark, d):
 @query("g16_category_metrics", with_tables("filled", rounded("model classifier label n", "mean std min max",
   f"SELECT * EXCLUDE (text_type) FROM ({_LABEL_STATS}) WHERE text_type = 'output'")))
 def g16(spark, d):
-    outputs = sc.classifications(spark, d).where("text_type = 'output'")
+    outputs = sc.classifications(spark, d, text_types=["output"])
     return tidy(describe.label_map_summary(outputs, ["model", "classifier"]))
 
 

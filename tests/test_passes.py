@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scorelens import storage
 from scorelens.operators import describe, metrics, quantiles, ranks
 from scorelens.plans import catalog
+from scorelens.plans import scenario as sc
 
 
 def plan(df) -> str:
@@ -62,6 +63,22 @@ def test_label_maps_are_counted_without_lambdas(spark):
     assert got[("m", "b")][0] == 2 and got[(None, "a")][0] == 2
 
 
+def test_classifications_are_plain_expressions(spark, folder):
+    rows = sc.classifications(spark, folder)
+    assert "lambda" not in plan(rows)
+    scores = {tuple(r)[:1] + (r.model, r.text_type, r.classifier, r.label): r.score for r in sc.scores(spark, folder).collect()}
+    found = rows.collect()
+    assert len(found) == 120 * 6 * 3 * 3
+    for r in found:
+        labels = [] if r.prompt_id is None or r.prompt_id % 11 == 0 else [
+            x for x in sc.CLASSIFIER_LABELS[r.classifier] if not (r.prompt_id % 5 == 0 and x == "threat")
+        ]
+        assert sorted(r.labels) == sorted(labels)
+        assert all(s == scores[r.prompt_id, r.model, r.text_type, r.classifier, x] for x, s in r.labels.items())
+    few = sc.classifications(spark, folder, text_types=["output"]).collect()
+    assert sorted(map(str, few)) == sorted(str(r) for r in found if r.text_type == "output")
+
+
 @pytest.mark.parametrize("batch", ["7", "10000"])
 def test_crossings_equal_all_pairs(spark, batch):
     """Groups of one row, short and long segments, hot ranks, over many partitions and batches."""
