@@ -39,6 +39,10 @@ BLOCK_BYTES = 32 << 20
 PAGE_BYTES = 2 << 20
 #: Words of so many blocks are joined apart.
 HOT_BLOCKS = 100_000
+#: Level of the compression of packed numbers.
+PACK_LEVEL = 9
+#: Options of the tables that lie beside large shuffles.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": str(PACK_LEVEL)}
 #: Longer words are merged with a heap.
 LONG_WORD = 64
 _ID_BITS = 24
@@ -179,16 +183,27 @@ def vocabulary_of(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-def _pack(positions: np.ndarray) -> bytes:
-    """Small numbers as compressed byte planes."""
-    planes = np.ascontiguousarray(positions.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-    return len(positions).to_bytes(8, "little") + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+def _squeeze(data: bytes) -> bytes:
+    return pa.Codec("zstd", compression_level=PACK_LEVEL).compress(data, asbytes=True)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Small numbers as compressed byte planes; the lowest bytes of numbers below 256 lie apart, as they are spread otherwise."""
+    values = numbers.astype("<i4")
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, 4).T)
+    small = values < 256
+    return len(values).to_bytes(8, "little") + _squeeze(planes[1:].tobytes() + planes[0][small].tobytes() + planes[0][~small].tobytes())
 
 
 def _unpack(packed: bytes) -> np.ndarray:
     n = int.from_bytes(packed[:8], "little")
-    planes = pa.decompress(packed[8:], decompressed_size=4 * n, codec="zstd", asbytes=True)
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<i4").reshape(-1)
+    data = np.frombuffer(pa.decompress(packed[8:], decompressed_size=4 * n, codec="zstd", asbytes=True), np.uint8)
+    planes = np.empty((4, n), np.uint8)
+    planes[1:] = data[: 3 * n].reshape(3, n)
+    small = ~planes[1:].any(axis=0)
+    count = int(small.sum())
+    planes[0][small], planes[0][~small] = data[3 * n : 3 * n + count], data[3 * n + count :]
+    return np.ascontiguousarray(planes.T).view("<i4").reshape(-1)
 
 
 class _Block:
@@ -256,7 +271,7 @@ def _blocks(source: DataFrame, key: str, items: str, item_type: str, limit: int)
     kind = source.schema[key].dataType.simpleString()
     fields = f"block long, keys array<{kind}>, sizes array<int>, rows array<int>, pages array<binary>, items array<{item_type}>"
     arrow = pa.string() if item_type == "string" else pa.int32()
-    return materialize(source.select(key, items).mapInArrow(_into_blocks(limit, arrow), fields), "blocks", compression="zstd")
+    return materialize(source.select(key, items).mapInArrow(_into_blocks(limit, arrow), fields), "blocks", **PACKED)
 
 
 def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
@@ -271,24 +286,34 @@ def encode_words(words: DataFrame, vocabulary: str) -> DataFrame:
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
 
-def _by_position(entries: DataFrame) -> DataFrame:
-    """(block, pos, ids) to one row a block: the packed ids of its words by position, end to end, and their bytes."""
+def _by_position(entries: DataFrame, vocabulary: str) -> DataFrame:
+    """(block, pos, ids) to one row a block: the ids of its words by position, end to end, and their numbers, both packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = vocabulary_of(vocabulary).packed
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids = _pack(np.frombuffer(batch.column(1)[row].as_py(), kind))
+                lengths = _pack(_values(batch, "word_sizes", row).to_numpy(zero_copy_only=False) // kind.itemsize)
+                columns = [batch.column(0).slice(row, 1), pa.array([ids], pa.binary()), pa.array([lengths], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "word_ids", "word_sizes"])
+
     ordered = entries.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("_words"))
-    return ordered.select(
+    joined = ordered.select(
         "block",
         F.array_join(F.transform("_words", lambda e: e["ids"].cast("string")), "").cast("binary").alias("word_ids"),
         F.transform("_words", lambda e: F.octet_length(e["ids"])).alias("word_sizes"),
     )
+    return joined.mapInArrow(run, "block long, word_ids binary, word_sizes binary")
 
 
-def _used(word_ids: DataFrame, vocabulary: str) -> DataFrame:
+def _used(word_ids: DataFrame) -> DataFrame:
     """(block, id): the distinct ids of every block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = vocabulary_of(vocabulary).packed
         for batch in batches:
             for block, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.unique(np.frombuffer(packed.as_py(), kind)).astype(np.int32)
+                ids = np.unique(_unpack(packed.as_py()))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), block, np.int64)), pa.array(ids)], names=["block", "id"])
 
     return word_ids.select("block", "word_ids").mapInArrow(run, "block long, id int")
@@ -346,17 +371,17 @@ def _pages(batch: pa.RecordBatch, row: int) -> Iterator[tuple[pa.Array, np.ndarr
         first += count
 
 
-def _pick_ids(vocabulary: str, key: str, decoded: bool):
+def _pick_ids(key: str, decoded: bool):
     """From blocks with the ids of their words to documents (key, ids[, decoded])."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = vocabulary_of(vocabulary).packed
         for batch in batches:
             for row in range(batch.num_rows):
-                length = _values(batch, "word_sizes", row).to_numpy(zero_copy_only=False).astype(np.int64) // kind.itemsize
+                # null: a block without words
+                word_ids, sizes = (batch.column(batch.schema.names.index(c))[row].as_py() for c in ("word_ids", "word_sizes"))
+                length = _unpack(sizes or _pack(np.array([], np.int32))).astype(np.int64)
                 bounds = pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32())
-                packed = batch.column(batch.schema.names.index("word_ids"))[row].as_py() or b""
-                lists = pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(packed, kind).astype(np.int32)))
+                lists = pa.ListArray.from_arrays(bounds, pa.array(_unpack(word_ids or _pack(np.array([], np.int32)))))
                 decoder = _Decoder(_values(batch, "used", row), _values(batch, "pieces", row)) if decoded else None
                 for keys, sizes, places in _pages(batch, row):
                     ids = lists.take(pa.array(places)).flatten() if len(places) else pa.array([], pa.int32())
@@ -380,10 +405,12 @@ def _encoded_blocks(df: DataFrame, vocabulary: str, key: str, text: str, limit:
         entries = blocks.select("block", F.posexplode("items").alias("pos", "word"))
         # every table goes as soon as the next one is written, and so do the shuffle files of each join
         with Scratch(df.sparkSession) as inner:
-            distinct = materialize(encode_words(entries.groupBy("word").agg(F.count("*").alias("n")), vocabulary), "words")
+            # sorted words compress better
+            counted = entries.groupBy("word").agg(F.count("*").alias("n")).sortWithinPartitions("word")
+            distinct = materialize(encode_words(counted, vocabulary), "words", **PACKED)
             joined = join_hot_values(entries, distinct, ["word"], "ids", HOT_BLOCKS).select("block", "pos", "ids")
-            joined = inner.keep(joined, "joined", compression="zstd")
-        word_ids = scratch.keep(_by_position(joined), "word_ids", compression="zstd")
+            joined = inner.keep(joined, "joined", **PACKED)
+        word_ids = scratch.keep(_by_position(joined, vocabulary), "word_ids", compression="zstd")
         return scratch.keep(blocks.drop("items"), "pages", compression="zstd"), word_ids
 
 
@@ -391,7 +418,7 @@ def encode(df: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "tex
     """Token ids of every text: (key, ids array<int>). ``vocabulary`` is the path of a file that every worker has."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
     kind = df.schema[key].dataType.simpleString()
-    return blocks.join(word_ids, "block", "left").mapInArrow(_pick_ids(vocabulary, key, False), f"`{key}` {kind}, ids array<int>")
+    return blocks.join(word_ids, "block", "left").mapInArrow(_pick_ids(key, False), f"`{key}` {kind}, ids array<int>")
 
 
 def decode(df: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -419,7 +446,7 @@ def encode_and_decode(
 ) -> DataFrame:
     """``encode``, then ``decode`` of the ids block by block: (key, ids, decoded)."""
     blocks, word_ids = _encoded_blocks(df, vocabulary, key, text, block_bytes)
-    lists = materialize(_piece_lists(_used(word_ids, vocabulary), vocabulary), "piece_lists")
+    lists = materialize(_piece_lists(_used(word_ids), vocabulary), "piece_lists")
     kind = df.schema[key].dataType.simpleString()
     joined = blocks.join(word_ids, "block", "left").join(lists, "block", "left")
-    return joined.mapInArrow(_pick_ids(vocabulary, key, True), f"`{key}` {kind}, ids array<int>, decoded string")
+    return joined.mapInArrow(_pick_ids(key, True), f"`{key}` {kind}, ids array<int>, decoded string")
