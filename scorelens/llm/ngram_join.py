@@ -13,9 +13,15 @@ segments, one per fragment.
   counts bounds a pair's overlap from above; pairs whose bound is too low are no links.
 * Overlaps. For the pairs left the common n-grams are counted in every fragment separately and summed per pair.
 * Large groups. In a segment shared by many documents every document is first compared with one pivot only, one of those
-  that share most segments with others, as the originals of near copies do; rounds vary the pivot while they help. Only
-  pairs that are in different components afterwards are compared one by one, so the members of a large group of near
-  copies are not paired with each other, and no link between components is lost.
+  that share most segments with others, as the originals of near copies do. Only nodes that are in different components
+  afterwards go on, so the members of a large group of near copies are not paired with each other, and no link between
+  components is lost.
+* Differences. In a segment of two nodes these are then paired. In larger ones every node is described by its difference
+  A from a reference, a node of the segment: the n-grams that only one of the two has. As
+  ``|a ^ b| = |A ^ B| = |A| + |B| - 2 |A & B|``, two similar nodes that are not both similar to the reference have so
+  many n-grams of their differences in common, one at least, that the first common one, from the rarest in the group on,
+  leaves enough of both behind it. Only such pairs are compared. Copies that were changed in different places have little
+  but the reference in common, and that is in no difference.
 
 Documents with equal sets count as one node, identified by a 64-bit hash of the set.
 
@@ -26,7 +32,6 @@ Extra columns are dropped.
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from fractions import Fraction
@@ -48,11 +53,6 @@ CLASS_RATIO = 1.25
 OVERLAP_FRAGMENTS = 8
 #: Ranges of the order in which a set's n-grams are counted.
 PROFILE_CELLS = 256
-#: Wider ranges of a second, small profile, which the pairing of large groups checks as it goes.
-COARSE_CELLS = 64
-#: Rounds in which nodes meet one pivot of another component: at least so many, and until one leaves more than this share
-#: of what was apart.
-PIVOT_ROUNDS, LEFT_APART = 3, 0.95
 #: Fragments for each n-gram in which similar sets may differ.
 FRAGMENTS = 1.5
 #: Chance, for a similar pair, of more touched fragments than assumed.
@@ -148,14 +148,8 @@ def profile_of(grams: np.ndarray) -> np.ndarray:
     return np.minimum(np.bincount(cell, minlength=PROFILE_CELLS), 0xFFFF).astype(np.uint16)
 
 
-def coarse_of(counts: np.ndarray, size: int) -> np.ndarray:
-    """A profile added up to COARSE_CELLS ranges; a range that may have overflown counts as the whole set."""
-    cells = counts.reshape(COARSE_CELLS, -1)
-    return np.where((cells == 0xFFFF).any(axis=1), size, cells.sum(axis=1)).astype(np.int32)
-
-
 def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) -> DataFrame:
-    """(doc_id, n_shingles, node, keys, spares, profile, coarse): set size, set hash (null: empty set), meeting keys, by
+    """(doc_id, n_shingles, node, keys, spares, profile): set size, set hash (null: empty set), meeting keys, by
     size class the number of them that may be left out (shifted by the class), counts by range.
 
     A task sends the keys and profile of equal sets once.
@@ -166,13 +160,12 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
         seen: set[int] = set()
         for batch in batches:
             for row, data, offsets in text_slices(batch.column(1)):
-                sizes, nodes, keys, spares, profiles, coarse = [], [], [], [], [], []
+                sizes, nodes, keys, spares, profiles = [], [], [], [], []
                 for grams in _sets(data, offsets, n):
                     sizes.append(len(grams))
                     keys.append(None)
                     spares.append(None)
                     profiles.append(None)
-                    coarse.append(None)
                     if len(grams) == 0:
                         nodes.append(None)
                         continue
@@ -185,8 +178,7 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                     seen.add(node)
                     met, spare = meeting_keys(grams, share)
                     keys[-1], spares[-1] = _signed(met), [(s << LEVEL_BITS) + level for level, s in spare]
-                    counts = profile_of(grams)
-                    profiles[-1], coarse[-1] = counts.tobytes(), coarse_of(counts, len(grams))
+                    profiles[-1] = profile_of(grams).tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(row, len(sizes)),
@@ -195,13 +187,12 @@ def set_keys(docs: DataFrame, n: int, similarity: float, key: str, text: str) ->
                         pa.array(keys, pa.list_(pa.int64())),
                         pa.array(spares, pa.list_(pa.int64())),
                         pa.array(profiles, pa.binary()),
-                        pa.array(coarse, pa.list_(pa.int32())),
                     ],
-                    names=["doc_id", "n_shingles", "node", "keys", "spares", "profile", "coarse"],
+                    names=["doc_id", "n_shingles", "node", "keys", "spares", "profile"],
                 )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, spares array<long>, profile binary, coarse array<int>")
+    return source.mapInArrow(run, "doc_id long, n_shingles long, node long, keys array<long>, spares array<long>, profile binary")
 
 
 def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,8 +316,8 @@ def similar_pairs(pairs: DataFrame, profiles: DataFrame, segments: DataFrame, si
 def _labelled(postings: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings of keys whose nodes are in more than one component, with the label of each node."""
     named = materialize(
-        postings.select("key", "node", "weight").join(labels, "node", "left")
-        .select("key", "node", "weight", F.coalesce("label", "node").alias("label")), "labelled",
+        postings.select("key", "node").join(labels, "node", "left")
+        .select("key", "node", F.coalesce("label", "node").alias("label")), "labelled",
     )
     mixed = named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
     return materialize(named.join(mixed, "key"), "mixed")
@@ -339,11 +330,11 @@ def _weighed(postings: DataFrame) -> DataFrame:
     return postings.select("key", "node").join(weight, "node")
 
 
-def _star(rows: DataFrame, k: int) -> DataFrame:
-    """One pivot (src, dst) for each node: a heavy node of its segments, in another component; ``k`` varies the choice."""
-    rank = F.struct("weight", F.xxhash64("node", F.lit(k)).alias("draw"), "node", "label")
-    heavy = rows.groupBy("key").agg(F.max(rank).alias("top")).select("key", F.col("top.node").alias("pivot"), F.col("top.label").alias("_of"))
-    return _most_frequent(rows.join(materialize(heavy, "heavy"), "key").filter("label <> _of"), "node", "pivot")
+def _star(rows: DataFrame) -> DataFrame:
+    """One pivot (src, dst) for each node: a heavy node of its segments."""
+    rank = F.struct("weight", F.xxhash64("node").alias("draw"), "node")
+    heavy = rows.groupBy("key").agg(F.max(rank).alias("top")).select("key", F.col("top.node").alias("pivot"))
+    return _most_frequent(rows.join(materialize(heavy, "heavy"), "key").filter("node <> pivot"), "node", "pivot")
 
 
 def _most_frequent(rows: DataFrame, node: str, partner: str) -> DataFrame:
@@ -354,19 +345,80 @@ def _most_frequent(rows: DataFrame, node: str, partner: str) -> DataFrame:
     )
 
 
-def _between_components(mixed: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (src, dst) of nodes in one segment and different components whose coarse profiles allow the similarity."""
+def _references(large: DataFrame) -> DataFrame:
+    """(node, ref) of postings (key, node): by key the node that meets most others is the reference of the rest."""
+    size = large.groupBy("key").agg(F.count("*").alias("n"))
+    weight = large.join(size, "key").groupBy("node").agg(F.sum("n").alias("weight"))
+    heavy = large.join(weight, "node").groupBy("key").agg(F.max(F.struct("weight", "node")).alias("top"))
+    heavy = materialize(heavy.select("key", F.col("top.node").alias("ref")), "heavy")
+    return large.join(heavy, "key").filter("node <> ref").select("node", "ref").distinct()
+
+
+def _differences(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """(node, ref, size, ref_size, fragment, grams) of ``pairs`` (node, ref): the n-grams that one of the two has."""
+    own = segments.withColumnRenamed("grams", "_a")
+    other = segments.select(F.col("node").alias("ref"), "fragment", F.col("size").alias("ref_size"), F.col("grams").alias("_b"))
+    # few nodes are references; written first, they are mostly small enough to be broadcast
+    other = materialize(other.join(pairs.select("ref").distinct(), "ref"), "reference_sets")
+    grams = F.concat(F.array_except("_a", "_b"), F.array_except("_b", "_a"))
+    return pairs.join(own, "node").join(other, ["ref", "fragment"]).select("node", "ref", "size", "ref_size", "fragment", grams.alias("grams"))
+
+
+def _near_by_differences(differences: DataFrame, measured: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (src, dst) of nodes of different labels whose differences from one reference may have enough in common.
+
+    ``measured`` has (node, ref, label, differ, size): the number of n-grams in the difference. With ``s = num / den``
+    and ``need = differ (den + num) - size (den - num)``, similar nodes have ``2 (den + num) |A & B| >= need + need'``.
+    """
+    share = _share(similarity)
+    both, either = share.denominator + share.numerator, share.denominator - share.numerator
+    each = differences.select("ref", "node", F.explode("grams").alias("gram"))
+    often = materialize(each.groupBy("ref", "gram").agg(F.count("*").alias("n")).filter("n > 1"), "often")
+    shared = materialize(each.join(often, ["ref", "gram"]), "shared")
+    found = shared.groupBy("ref", "node").agg(F.count("*").alias("found"))
+    rare = Window.partitionBy("ref", "node").orderBy("n", "gram")
+    # n-grams of one difference only come first; left: the n-grams from this one on
+    left = F.col("found") - F.row_number().over(rare) + 1
+    ranked = shared.join(found, ["ref", "node"]).withColumn("left", left).join(measured, ["ref", "node"])
+    need = F.col("differ") * both - F.col("size") * either
+    rows = materialize(ranked.select("ref", "gram", "node", "label", need.alias("need"), (2 * both * F.col("left") - need).alias("most")), "ranked")
+    # no other node of the n-gram needs so little
+    range_ = rows.groupBy("ref", "gram").agg(
+        F.min("need").alias("_least"), F.max("most").alias("_most"), F.min("label").alias("_low"), F.max("label").alias("_high")
+    ).filter("_low <> _high")
+    rows = materialize(rows.join(range_, ["ref", "gram"]).filter("most >= _least and need <= _most").drop("_least", "_most", "_low", "_high"), "ranked")
+    a, b = rows.alias("a"), rows.alias("b")
+    meet = (F.col("a.ref") == F.col("b.ref")) & (F.col("a.gram") == F.col("b.gram")) & (F.col("a.label") < F.col("b.label"))
+    enough = (F.col("a.most") >= F.col("b.need")) & (F.col("b.most") >= F.col("a.need"))
+    return a.join(b, meet & enough).select(F.col("a.node").alias("src"), F.col("b.node").alias("dst")).distinct()
+
+
+def _last_links(mixed: DataFrame, links: DataFrame, profiles: DataFrame, segments: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) that join all components of ``links`` which a similar pair of ``mixed`` (key, node, label) joins."""
     share = _share(similarity)
-    rows = materialize(mixed.join(profiles.select("node", "size", *[F.col("coarse")[i].alias(f"c{i}") for i in range(COARSE_CELLS)]), "node"), "profiled")
-    names = ["node", "label", "size", *(f"c{i}" for i in range(COARSE_CELLS))]
-    a = rows.select("key", *[F.col(c).alias(f"a_{c}") for c in names])
-    b = rows.select("key", *[F.col(c).alias(f"b_{c}") for c in names])
-    most = F.lit(0)
-    for i in range(COARSE_CELLS):
-        most = most + F.least(f"a_c{i}", f"b_c{i}")
-    fits = most * (share.denominator + share.numerator) >= (F.col("a_size") + F.col("b_size")) * share.numerator
-    joined = a.join(b, (a["key"] == b["key"]) & (F.col("a_label") < F.col("b_label")) & fits)
-    return joined.select(F.col("a_node").alias("src"), F.col("b_node").alias("dst")).distinct()
+    both, either = share.denominator + share.numerator, share.denominator - share.numerator
+    # nodes without a text are similar to no other
+    placed = mixed.select("key", "node", "label").join(segments.select("node").distinct(), "node")
+    size = placed.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("node").alias("src"), F.max("node").alias("dst"), F.min("label").alias("low"), F.max("label").alias("high")
+    )
+    size = materialize(size.filter("low <> high"), "sizes")
+    two = size.filter("n = 2").select("src", "dst").distinct()
+    large = placed.join(size.filter("n > 2").select("key"), "key").select("key", "node")
+    refs = materialize(_references(large), "references")
+    # a repeated row gives a fragment twice
+    needed = segments.join(large.select("node").distinct(), "node").dropDuplicates(["node", "fragment"])
+    differences = materialize(_differences(refs, materialize(needed, "needed")), "differences")
+    measured = materialize(
+        differences.groupBy("node", "ref").agg(F.sum(F.size("grams")).alias("differ"), F.max("size").alias("size"), F.max("ref_size").alias("ref_size")), "measured",
+    )
+    to_ref = measured.filter(F.col("differ") * both <= (F.col("size") + F.col("ref_size")) * either)
+    found = materialize(to_ref.select(F.col("node").alias("src"), F.col("ref").alias("dst")), "links")
+    labels = connected_components(links.union(found))
+    measured = measured.join(labels, "node", "left").select("node", "ref", "differ", "size", F.coalesce("label", "node").alias("label"))
+    near = _near_by_differences(differences, materialize(measured, "measured"), similarity)
+    rest = materialize(two.union(near), "rest")
+    return found.union(materialize(similar_pairs(rest, profiles, segments, similarity), "links"))
 
 
 def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -383,7 +435,7 @@ def similar_components(docs: DataFrame, n: int = 4, similarity: float = 0.85, ke
         postings = wide.keep(rarest_postings(postings, spares), "postings")
         sets = wide.keep(keyed.select("doc_id", "n_shingles", "node"), "sets")
         met = postings.select("node").distinct()
-        profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile", "coarse")
+        profiles = keyed.filter("profile is not null").select("node", F.col("n_shingles").alias("size"), "profile")
         profiles = wide.keep(profiles.join(met, "node").dropDuplicates(["node"]), "profiles")
     with Scratch(spark) as inner:
         labels = inner.keep(_labels(docs, sets, postings, profiles, n, similarity, key, text), "components")
@@ -401,18 +453,10 @@ def _labels(docs: DataFrame, sets: DataFrame, postings: DataFrame, profiles: Dat
     wanted = chosen.join(profiles.select("node"), "node").filter("doc_id is not null")
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     segments = materialize(fragments_of(source.join(wanted, "doc_id").select("node", "size", "text"), n), "segments")
-    mixed = postings.withColumn("label", F.col("node"))
-    links, apart = None, mixed.count()
-    for k in itertools.count():
-        more = materialize(similar_pairs(_star(mixed, k), profiles, segments, similarity), "links")
-        links = more if links is None else links.union(more)
-        labels = connected_components(links)
-        mixed = _labelled(mixed, labels)
-        before, apart = apart, mixed.count()
-        if apart == 0:
-            return labels
-        if k + 1 >= PIVOT_ROUNDS and apart > LEFT_APART * before:
-            break
-    rest = materialize(_between_components(mixed, profiles, similarity), "rest")
-    last = materialize(similar_pairs(rest, profiles, segments, similarity), "links")
+    links = materialize(similar_pairs(_star(postings), profiles, segments, similarity), "links")
+    labels = connected_components(links)
+    mixed = _labelled(postings, labels)
+    if mixed.isEmpty():
+        return labels
+    last = _last_links(mixed, links, profiles, segments, similarity)
     return labels if last.isEmpty() else connected_components(links.union(last))

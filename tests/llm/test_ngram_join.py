@@ -94,6 +94,48 @@ def test_unrelated_documents_with_one_long_passage_are_not_paired(spark, monkeyp
     assert got == {**{i: i for i in range(3000)}, **{10_000 + i: i for i, _ in linked}}
 
 
+def test_copies_just_below_the_threshold_are_not_compared_pairwise(spark, monkeypatch):
+    from scorelens.llm import ngram_join
+
+    rng = random.Random(4)
+    original = [f"w{k}" for k in range(800)]
+    texts = [original]
+    for i in range(200):
+        words = list(original)
+        for k in rng.sample(range(4, 795, 5), 17):  # 729 of 865 shingles stay
+            words[k] = f"e{i}x{k}"
+        texts.append(words)
+    texts += [[*words[:-1], "end"] for words in texts[1:21]]
+    rows = [(i, " ".join(words)) for i, words in enumerate(texts)]
+    compared, similar_pairs = [], ngram_join.similar_pairs
+    monkeypatch.setattr(ngram_join, "similar_pairs", lambda pairs, *a: compared.append(pairs.count()) or similar_pairs(pairs, *a))
+    got = sorted(tuple(r) for r in similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect())
+    assert got == brute(rows)
+    assert sum(compared) < 10 * len(rows)
+
+
+@pytest.mark.parametrize("seed,n,num", [(1, 4, 85), (2, 5, 80)])
+def test_links_between_copies_that_are_far_from_the_original(spark, seed, n, num):
+    rng = random.Random(seed)
+    original = [f"w{k}" for k in range(150)]
+    edits = [(k, rng.choice(["", f"e{k}", f"e{k} f{k}"])) for k in range(4, 145, 10)]
+    texts = [" ".join(original)]
+    for _ in range(150):
+        words = list(original)
+        for k, word in rng.sample(edits, rng.randint(2, 8)):
+            words[k] = word
+        words = words[: rng.choice([150, 150, 140, 125])]
+        if rng.random() < 0.3:
+            words[rng.randrange(len(words))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rows = [(i + 1, t) for i, t in enumerate(texts[1:])]
+    # a text that only a row without an id has links nothing
+    docs = spark.createDataFrame([*rows, (None, texts[0])], "doc_id long, text string").repartition(4)
+    got = [tuple(r) for r in similar_components(docs, n=n, similarity=num / 100).collect()]
+    assert sorted(r for r in got if r[0] is not None) == brute(rows, n, num)
+    assert [r for r in got if r[0] is None] == [(None, 150 - n + 1, None)]
+
+
 @pytest.mark.parametrize("size", [200, 2000, 20_000])
 def test_similar_pairs_meet_and_a_widespread_passage_makes_no_large_groups(size):
     import numpy as np
